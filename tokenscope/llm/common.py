@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Prefix of every internal column, so that extra columns of the input can have any ordinary name.
 OWN = "_ts_"
@@ -33,6 +33,12 @@ def prepare(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(where)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of finished phases: its cleaner follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """fn for every Arrow batch; empty batches are passed over."""
 
@@ -95,12 +101,3 @@ def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     back = np.multiply.accumulate(np.concatenate([[power], np.full(len(words), np.uint64(inverse), dtype=np.uint64)]))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers[: len(words)], dtype=np.uint64)])
     return mix((sums[width:] - sums[:-width]) * back[:n], seed)
-
-
-def first_per(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.dropDuplicates(keys)
-
-
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Whether df has at most max_rows rows; reads no further than that."""
-    return df.limit(max_rows + 1).agg(F.count(F.lit(1))).first()[0] <= max_rows

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.llm import quality
+from tokenscope.llm import quality, substring
 from tokenscope.llm.common import prepare
 
 
@@ -21,6 +21,7 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op2_quality_rules": quality.op2_quality_rules,
+        "op4_substring_dedup": substring.op4_substring_dedup,
     }
     return {k: _prepared(f) for k, f in found.items()}
 
