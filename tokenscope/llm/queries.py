@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.llm import pieces, quality, substring
+from tokenscope.llm import neardup, pieces, quality, substring
 from tokenscope.llm.common import prepare
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op2_quality_rules": quality.op2_quality_rules,
         "op4_substring_dedup": substring.op4_substring_dedup,
+        "op6_minhash_neardup": neardup.op6_minhash_neardup,
         "op7_sentencepiece": pieces.op7_sentencepiece,
     }
     return {k: _prepared(f) for k, f in found.items()}
