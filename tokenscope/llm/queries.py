@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.llm import neardup, pieces, quality, substring
+from tokenscope.llm import decontam, neardup, pieces, quality, substring
 from tokenscope.llm.common import prepare
 
 
@@ -20,6 +20,7 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
+        "op1_decontamination": decontam.op1_decontamination,
         "op2_quality_rules": quality.op2_quality_rules,
         "op4_substring_dedup": substring.op4_substring_dedup,
         "op6_minhash_neardup": neardup.op6_minhash_neardup,
