@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.llm import decontam, neardup, pieces, quality, substring
+from tokenscope.llm import decontam, neardup, pieces, quality, styletree, substring, urls, warc
 from tokenscope.llm.common import prepare
 
 
@@ -25,9 +25,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": substring.op4_substring_dedup,
         "op6_minhash_neardup": neardup.op6_minhash_neardup,
         "op7_sentencepiece": pieces.op7_sentencepiece,
+        "op8_warc_derivatives": warc.op8_warc_derivatives,
+        "op9_url_filters": urls.op9_url_filters,
+        "op10_html_extraction": styletree.op10_html_extraction,
     }
     return {k: _prepared(f) for k, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filters": urls.SQL}
