@@ -28,8 +28,8 @@ def _block(pairs: list[tuple[np.ndarray, np.ndarray]], half: int) -> np.ndarray:
     """Distances of the pairs inside a band of half diagonals to each side; right where they are at most half."""
     n = max(len(a) for a, _ in pairs)
     width, count = 2 * half + 1, len(pairs)
-    left = np.full((count, n), -1, dtype=np.int64)
-    right = np.full((count, n + width + half), -2, dtype=np.int64)
+    left = np.full((count, n), -1, dtype=np.int32)
+    right = np.full((count, n + width + half), -2, dtype=np.int32)
     for i, (a, b) in enumerate(pairs):
         left[i, : len(a)] = a
         right[i, half : half + min(len(b), n + width)] = b[: n + width]
@@ -69,18 +69,27 @@ def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) ->
             out[i] = rest if rest <= limit else None
             continue
         common = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
-        if max(len(a), len(b)) - common <= limit:
-            work.append((min(limit, max(len(a), len(b))), len(a), i, a, b))
-    work.sort(key=lambda x: (x[0], x[1]))
-    at = 0
-    while at < len(work):
-        end = at + 1
-        while end < len(work) and (end + 1 - at) * (2 * work[end][0] + 1) <= CELLS and work[end][0] <= 2 * work[at][0] + 8:
-            end += 1
-        some = work[at:end]
-        for (limit, _, i, _, _), d in zip(some, _block([(x[3], x[4]) for x in some], some[-1][0])):
-            out[i] = int(d) if d <= limit else None
-        at = end
+        if (least := max(len(a), len(b)) - common) <= limit:
+            work.append((min(limit, max(len(a), len(b))), len(a), i, a, b, least))
+    # a narrow band first: it settles most pairs that are alike at a quarter of the cost
+    for narrow in (True, False):
+        left = []
+        for x in work:
+            half = -(-x[0] // 4) if narrow and x[5] <= -(-x[0] // 4) else x[0]
+            left.append((half, *x))
+        left.sort(key=lambda x: (x[0], x[2]))
+        work, at = [], 0
+        while at < len(left):
+            end = at + 1
+            while end < len(left) and (end + 1 - at) * (2 * left[end][0] + 1) <= CELLS and left[end][0] <= 2 * left[at][0] + 8:
+                end += 1
+            some = left[at:end]
+            for (half, limit, size, i, a, b, least), d in zip(some, _block([(x[4], x[5]) for x in some], some[-1][0])):
+                if d <= half:
+                    out[i] = int(d)
+                elif half < limit:
+                    work.append((limit, size, i, a, b, limit))
+            at = end
     return out
 
 
