@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.llm import decontam, neardup, pieces, quality, styletree, substring, tokencount, urls, warc
+from tokenscope.llm import decontam, neardup, pieces, quality, styletree, substring, tokencount, toxicity, urls, warc
 from tokenscope.llm.common import prepare
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": quality.op2_quality_rules,
         "op3_token_counts": tokencount.op3_token_counts,
         "op4_substring_dedup": substring.op4_substring_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_minhash_neardup": neardup.op6_minhash_neardup,
         "op7_sentencepiece": pieces.op7_sentencepiece,
         "op8_warc_derivatives": warc.op8_warc_derivatives,
