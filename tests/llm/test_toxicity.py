@@ -66,7 +66,7 @@ def test_hashing_is_the_same_in_any_company():
 
 def test_held_out_accuracy_and_columns(spark):
     prepare(spark)
-    rows = make(700, 1)
+    rows = make(1500, 1)
     extra = [(9001, ""), (9002, None), (None, "vile scum"), (3, rows[3][1]), (9003, "vile " + "on er " * 20_000)]
     df = spark.createDataFrame([r[:2] for r in rows] + extra, "doc_id long, text string").withColumns({"score": F.lit("x"), "y": F.lit(1)})
     labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows] + [(None, 1, 1), (5, 1, None), (77777, 0, 1)], "doc_id long, quality int, toxic int")
