@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.plans import cost
+from tokenscope.plans import catalog, cost, scalars, text
 
-MODULES = (cost,)
+MODULES = (cost, scalars, text, catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
