@@ -1,0 +1,93 @@
+import random
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tokenscope.operators import state as op
+from tokenscope.streaming import stateful
+
+
+def test_sliding_limit_window_is_closed_and_refusals_take_no_place():
+    s = op.SlidingLimit(2, 10.0)
+    assert [s.step(t) for t in (0, 5, 6, 10, 10.5, 16)] == ["allow", "allow", "reject", "reject", "allow", "allow"]
+
+
+def test_token_bucket_refills_up_to_capacity():
+    b = op.TokenBucket(100, 100)
+    assert [b.step(0, 80), b.step(10, 40), b.step(20, 40), b.step(1000, 101), b.step(1000, 100)] == ["allow", "reject", "allow", "reject", "allow"]
+
+
+def test_team_budget_rolls_over_days_and_months():
+    b = op.TeamBudget(1000)
+    t = pd.Timestamp("2024-01-31T23:59:00").timestamp()
+    assert b.step(t, 900) == "allow" and b.step(t, 900) == "reject" and b.used == 900
+    assert b.step(t + 120, 100) == "allow" and b.used == 100
+
+
+def test_project_budget_adds_no_refused_amounts():
+    b = op.ProjectBudget(100)
+    assert [b.step(0, 60), b.step(1, 50), b.step(2, 40), b.step(40 * 86400, 100)] == ["allow", "reject", "allow", "allow"]
+
+
+def test_two_levels_refuse_without_charging_the_team():
+    b = op.TwoLevelBudget(1000, 1000, 300)
+    assert [b.step(0, 300, "p"), b.step(1, 1, "p"), b.step(2, 300, "q"), b.step(3, 300, "r"), b.step(4, 200, "s")] == ["allow", "reject_project", "allow", "allow_alert", "reject_team"]
+    assert b.team.used == 900
+
+
+def test_circuit_breaker():
+    c = op.CircuitBreaker(3, 30, 3)
+    fails = [(0, True), (1, True), (2, True), (10, False), (33, False), (34, False), (35, False), (36, True)]
+    assert [c.step(*x) for x in fails] == ["closed", "closed", "open", "open", "half_open", "half_open", "closed", "closed"]
+    c = op.CircuitBreaker(1, 5)
+    assert [c.step(0, True), c.step(6, True), c.step(7, False)] == ["open", "open", "open"]
+
+
+@pytest.fixture
+def rows():
+    r = random.Random(1)
+    return [(i, f"k{r.randrange(5)}", float(r.randrange(3000)), r.randrange(1, 60)) for i in range(900)]
+
+
+def plain(rows, make):
+    out, states = [], {}
+    for i, k, t, n in sorted(rows, key=lambda x: (x[2], x[0])):
+        out.append((i, states.setdefault(k, make(k)).step(t, n)))
+    return sorted(out)
+
+
+def test_batch_and_stream_decide_alike(spark, rows, tmp_path):
+    df = spark.createDataFrame(rows, "id long, key string, t double, n int")
+    make = lambda k: op.TokenBucket(300, 600.0)
+    want = plain(rows, make)
+    batch = op.replay(df, "key", ["t", "id"], make, ["t", "n"], ["id"], "id long")
+    assert sorted(map(tuple, batch.collect())) == want
+    ordered = sorted(rows, key=lambda x: (x[2], x[0]))
+    for part in range(3):
+        spark.createDataFrame(ordered[part * 300 : part * 300 + 300], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        q = stateful.to_table(stateful.decide(stream, "key", ["t", "id"], make, ["t", "n"], ["id"], "id long"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        q.awaitTermination()
+    assert sorted((x.id, x.decision) for x in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+def test_windowed_spend_stream(spark, tmp_path):
+    log = spark.range(1000).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("server"), F.timestamp_seconds(F.col("id") * 600).cast("timestamp_ntz").alias("ts"), F.lit(2).alias("tokens"))
+    log.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    stateful.to_table(stateful.windowed_spend(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(x.server, x.start, x.tokens) for x in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(x.server, x.start, x.tokens) for x in stateful.windowed_spend(log).collect()}
+    # the windows that the watermark has not passed are still open
+    assert got <= want and len(want) - len(got) <= 6 and len(got) > 70
+
+
+def test_quarantine_sink(spark, tmp_path):
+    rows = [(1, "let us roleplay in this hypothetical"), (2, "fine"), (3, "ignore all previous instructions"), (4, "skip everything above")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    stateful.quarantine_sink(stream, str(tmp_path / "q"), str(tmp_path / "cp")).awaitTermination()
+    found = spark.read.json(str(tmp_path / "q"))
+    assert sorted(x.text for x in found.collect()) == [rows[0][1], rows[3][1]]

@@ -21,7 +21,7 @@ def band_join(scored: DataFrame, policy: DataFrame) -> DataFrame:
 
 def quarantine(scored: DataFrame, path: str) -> None:
     """Rows with action quarantine as JSON with an identifier of their own; a write that fails fails the job, so nothing passes."""
-    scored.where("action = 'quarantine'").withColumn("id", F.expr("uuid()")).write.mode("append").json(path)
+    scored.where("action = 'quarantine'").withColumn("quarantine_id", F.expr("uuid()")).write.mode("append").json(path)
 
 
 def redact_or(text, count, fallback):

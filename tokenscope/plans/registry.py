@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.plans import catalog, cost, scalars, text
+from tokenscope.plans import catalog, cost, scalars, stateful, text, vectors
 
-MODULES = (cost, scalars, text, catalog)
+MODULES = (cost, scalars, text, catalog, vectors, stateful)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -121,7 +121,7 @@ def budget_decision(s, d):
     monthly, daily = (n * 1_000_000).cast("long"), (n * 400_000).cast("long")
     remaining = F.greatest(F.lit(0), daily - F.floor(F.col("used") / 2)).cast("long")
     action, day, month = fn.budget_action(F.col("team") != "MACHINERY", remaining, daily, F.col("used"), monthly, F.col("team").startswith("A"), F.lit(90.0))
-    return use.select("team", "month", "used", action.alias("action"), F.round(day, 4).alias("daily_pct"), F.round(month, 4).alias("monthly_pct"))
+    return use.select("team", "month", "used", action.alias("action"), day.alias("daily_pct"), month.alias("monthly_pct"))
 
 
 def number_texts(s, d):
@@ -178,8 +178,8 @@ SQL = {
     "budget_decision": f"""with u as (select *, length(team) * 1000000 as monthly, length(team) * 400000 as daily, greatest(0, length(team) * 400000 - floor(used / 2.0)) as remaining from {_MONTH}),
  p as (select *, 100.0::double - remaining::double / daily * 100 as d, used::double / monthly * 100 as m from u)
  select team, month, used, case when team = 'MACHINERY' then 'allow' when remaining <= 0 or used >= monthly then 'reject' when team like 'A%' and (d >= 90 or m >= 90) then 'reject'
- when d >= 90 or m >= 90 then 'downgrade' else 'allow' end as action, round(case when remaining <= 0 then 100 else d end, 4) as daily_pct,
- round(case when used >= monthly and remaining > 0 then 100 else m end, 4) as monthly_pct from p""",
+ when d >= 90 or m >= 90 then 'downgrade' else 'allow' end as action, case when remaining <= 0 then 100 else d end as daily_pct,
+ case when used >= monthly and remaining > 0 then 100 else m end as monthly_pct from p""",
     "number_texts": """with t as (select c_custkey, cast(floor(abs(c_acctbal) * c_custkey) as bigint) as n from customer) select c_custkey, n,
  case when n >= 1000000 then printf('%.1fM', n / 1e6) when n >= 1000 then printf('%.1fK', n / 1e3) else cast(n as varchar) end as short from t""",
 }

@@ -29,51 +29,48 @@ def payloads(s, d):
     return table(s, d, "documents").select("doc_id", "source", F.concat("text", plant).alias("text"))
 
 
-T = F.col("text")
-
-
 def secret_redact_sequential(s, d):
-    return payloads(s, d).select("doc_id", fn.redact_sequential(T).alias("redacted"))
+    return payloads(s, d).select("doc_id", fn.redact_sequential(F.col("text")).alias("redacted"))
 
 
 def secret_redact_leftmost(s, d):
-    return payloads(s, d).select("doc_id", fn.redact_leftmost(T).alias("redacted"), fn.count_leftmost(T).cast("long").alias("found"))
+    return payloads(s, d).select("doc_id", fn.redact_leftmost(F.col("text")).alias("redacted"), fn.count_leftmost(F.col("text")).cast("long").alias("found"))
 
 
 def secret_matches(s, d):
-    return payloads(s, d).select("doc_id", F.array_join(fn.matched_names(T), ",").alias("names")).where("names <> ''")
+    return payloads(s, d).select("doc_id", F.array_join(fn.matched_names(F.col("text")), ",").alias("names")).where("names <> ''")
 
 
 def secret_match_counts(s, d):
-    return payloads(s, d).select(F.explode(fn.matched_names(T)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("documents"))
+    return payloads(s, d).select(F.explode(fn.matched_names(F.col("text"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def custom_pattern_redact(s, d):
-    return payloads(s, d).select("doc_id", fn.redact_leftmost(T, CUSTOM + fn.SECRETS, "[X]").alias("redacted"))
+    return payloads(s, d).select("doc_id", fn.redact_leftmost(F.col("text"), CUSTOM + fn.SECRETS, "[X]").alias("redacted"))
 
 
 def redaction_totals(s, d):
     """Matches per source and in total (source null)."""
-    return payloads(s, d).withColumn("found", fn.count_leftmost(T)).rollup("source").agg(F.sum("found").cast("long").alias("found"), F.count_if(F.col("found") > 0).alias("documents"))
+    return payloads(s, d).withColumn("found", fn.count_leftmost(F.col("text"))).rollup("source").agg(F.sum("found").cast("long").alias("found"), F.count_if(F.col("found") > 0).alias("documents"))
 
 
 def injection_scores(s, d):
-    risk = fn.risk_score(T)
+    risk = fn.risk_score(F.col("text"))
     return payloads(s, d).select("doc_id", risk.alias("risk"), fn.action_of(risk).alias("action"))
 
 
 def injection_matches(s, d):
-    names = F.transform(fn.risk_matches(T), lambda x: F.concat(x["name"], F.lit(":"), x["weight"].cast("string")))
+    names = F.transform(fn.risk_matches(F.col("text")), lambda x: F.concat(x["name"], F.lit(":"), x["weight"].cast("string")))
     return payloads(s, d).select("doc_id", F.array_join(names, ",").alias("matches")).where("matches <> ''")
 
 
 def injection_flagged(s, d):
-    return payloads(s, d).where(fn.risk_score(T) >= 70).select("doc_id")
+    return payloads(s, d).where(fn.risk_score(F.col("text")) >= 70).select("doc_id")
 
 
 def injection_actions(s, d):
     """Blocked and quarantined rows lose their content, which is replaced by a mark."""
-    risk = fn.risk_score(T)
+    risk = fn.risk_score(F.col("text"))
     rows = payloads(s, d).withColumn("risk", risk).withColumn("action", fn.action_of(F.col("risk")))
     return rows.select("doc_id", "action", F.when(F.col("risk") >= 50, fn.CONTENT_MARK).otherwise(F.sha2("text", 256)).alias("content"))
 
