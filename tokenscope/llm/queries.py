@@ -35,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": urls.SQL}
+    return {"op4_substring_dedup": substring.SQL, "op9_url_filters": urls.SQL}

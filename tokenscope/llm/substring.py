@@ -254,3 +254,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
+
+
+#: The definition itself: every window of every document by its words.
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, w, unnest(range(1, greatest(len(w) - 48, 1))) as i from d),
+h as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) as k from s),
+m as (select k, min(doc_id) as least from h group by k),
+g as (select doc_id, i, max(i) over (partition by doc_id order by i range between 49 preceding and current row) as x from h join m using (k) where doc_id > least),
+c as (select distinct doc_id, unnest(range(i, i + 50)) as p from g),
+n as (select doc_id, list(p) as gone from c group by doc_id),
+k as (select d.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
+ case when gone is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: not list_contains(gone, z[2])), lambda z: z[1]) end as kept from d left join n using (doc_id))
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from k
+"""
