@@ -61,16 +61,20 @@ def brute_kept(docs, labels, alpha, delta):
             low[d] = min(low.get(d, q), q)
     feats = [(d, lang or "", quality.base_counts(t or "")) for d, t, lang in docs]
     good = [(lang, f[6:]) for d, lang, f in feats if not f[5] and low.get(d) == 1]
+    bad = [(lang, f[6:]) for d, lang, f in feats if not f[5] and low.get(d, 1) != 1]
     strata, cut = {x for x, _ in good}, {}
     for lang in strata:
         for i, rule in enumerate(quality.RULES):
             scores = [f[i] for x, f in good if x == lang]
+            poor = [f[i] for x, f in bad if x == lang]
+            gain = -1
             for c in range(100, -1, -1):
                 k = sum(s > c for s in scores)
                 n = len(scores)
                 if k >= alpha * n or sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) > delta / (len(strata) * 3):
                     break
-                cut[lang, rule] = c
+                if (now := sum(s > c for s in poor) / max(1, len(poor)) - k / n) > gain:
+                    cut[lang, rule], gain = c, now
     return [(d, not f[5] and not any(f[6 + i] > cut.get((lang, r), 100) for i, r in enumerate(quality.RULES))) for d, lang, f in feats]
 
 
@@ -90,9 +94,11 @@ def test_judgement_and_filter_agree_with_brute_force(spark):
 
 
 def test_too_few_labels_give_no_cutoff():
-    assert quality.choose_cutoff([0] * 101, 50, 0.02, 0.01) is None
-    assert quality.choose_cutoff([0] * 101, 500, 0.02, 0.01) == 0
-    assert quality.choose_cutoff([30] * 40 + [0] * 61, 500, 0.02, 0.01) == 40
+    few, many = [0] * 101, [9] * 30 + [0] * 71
+    assert quality.choose_cutoff(few, 50, many, 9, 0.02, 0.01) is None
+    assert quality.choose_cutoff(few, 500, many, 9, 0.02, 0.01) == 29
+    assert quality.choose_cutoff([30] * 40 + [0] * 61, 500, [9] * 50 + [0] * 51, 9, 0.02, 0.01) == 49
+    assert quality.choose_cutoff([30] * 40 + [0] * 61, 500, [9] * 20 + [0] * 81, 9, 0.02, 0.01) == 100
 
 
 def test_empty_tables(spark):

@@ -9,7 +9,8 @@ of which k(c) score above c, cutoff c is safe if P(X <= k(c)) <= delta / tests f
 then the exact (Clopper-Pearson) upper bound of the false rejection rate is at most alpha. Within a rule
 and stratum, cutoffs are tested from 100 downwards and testing stops at the first that is not safe
 (fixed-sequence testing); between rules and strata delta is divided by their number (Bonferroni). So with
-probability 1 - delta no rule rejects more than alpha of any stratum's good documents. A stratum with too
+probability 1 - delta no rule rejects more than alpha of any stratum's good documents. Of the safe cutoffs the one is taken that best sets the stratum's
+labelled bad documents apart, so that good ones are not rejected for nothing. A stratum with too
 few labels gets no cutoff: there the base rules alone decide.
 
 Defined cases: null or blank text has no words and fails the base rules; null lang is a stratum of its
@@ -108,46 +109,49 @@ def is_safe(k: int, n: int, alpha: float, delta: float) -> bool:
     return n > 0 and k < alpha * n and log_binomial_tail(k, n, alpha) <= math.log(delta)
 
 
-def choose_cutoff(above: list[int], n: int, alpha: float, delta: float) -> int | None:
-    """Lowest cutoff reached from 100 downwards without meeting one that is not safe; above[c]: good ones with score > c."""
-    best = None
+def choose_cutoff(above: list[int], n: int, bad_above: list[int], n_bad: int, alpha: float, delta: float) -> int | None:
+    """Of the safe cutoffs the one that sets most of the bad apart from the good, the highest of equals; above[c], bad_above[c]: good and bad ones with score > c.
+
+    Safe are the cutoffs from 100 downwards until the first that is not.
+    """
+    best, gain = None, -1.0
     for c in range(100, -1, -1):
         if not is_safe(above[c], n, alpha, delta):
             break
-        best = c
+        now = bad_above[c] / max(1, n_bad) - above[c] / n
+        if now > gain:
+            best, gain = c, now
     return best
 
 
 def fit_cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """(stratum, rule) -> cutoff. All labelled rows count; the driver gets at most 303 counts per language."""
-    good = (
+    """(stratum, rule) -> cutoff. All labelled rows count; the driver gets at most 606 counts per language."""
+    labelled = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
         .where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
         .agg(F.min("quality").alias(OWN + "quality"))
-        .where(F.col(OWN + "quality") == 1)
-        .select("doc_id")
     )
     scores = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"{r}_score").alias("score")) for r in RULES]))
     counts = (
         feats.where("not base_failed")
-        .join(good, "doc_id", "left_semi")
-        .select(F.coalesce("lang", F.lit("")).alias("lang"), scores.alias("s"))
-        .groupBy("lang", "s.rule", "s.score")
+        .join(labelled, "doc_id")
+        .select(F.coalesce("lang", F.lit("")).alias("lang"), (F.col(OWN + "quality") == 1).alias("good"), scores.alias("s"))
+        .groupBy("lang", "good", "s.rule", "s.score")
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    strata = sorted({x.lang for x in counts})
+    strata = sorted({x.lang for x in counts if x.good})
     tests = max(1, len(strata) * len(RULES))
     out = {}
     for lang in strata:
         for rule in RULES:
-            hist = [0] * 101
+            hist = {True: [0] * 101, False: [0] * 101}
             for x in counts:
                 if x.lang == lang and x.rule == rule:
-                    hist[x.score] += x.n
-            above = [sum(hist[c + 1 :]) for c in range(101)]
-            if (c := choose_cutoff(above, sum(hist), alpha, delta / tests)) is not None and c < 100:
+                    hist[x.good][x.score] += x.n
+            above = {k: [sum(h[c + 1 :]) for c in range(101)] for k, h in hist.items()}
+            if (c := choose_cutoff(above[True], sum(hist[True]), above[False], sum(hist[False]), alpha, delta / tests)) is not None and c < 100:
                 out[lang, rule] = c
     return out
 
