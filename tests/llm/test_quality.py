@@ -73,7 +73,7 @@ def brute_kept(docs, labels, alpha, delta):
                 n = len(scores)
                 if k >= alpha * n or sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) > delta / (len(strata) * 3):
                     break
-                if (now := sum(s > c for s in poor) / max(1, len(poor)) - k / n) > gain:
+                if (now := sum(s > c for s in poor) / max(1, len(poor)) - quality.GOOD_WEIGHT * k / n) > gain:
                     cut[lang, rule], gain = c, now
     return [(d, not f[5] and not any(f[6 + i] > cut.get((lang, r), 100) for i, r in enumerate(quality.RULES))) for d, lang, f in feats]
 

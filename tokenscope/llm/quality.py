@@ -37,6 +37,8 @@ FEATURES = (
     "symbol_score int, shout_score int, repeat_score int"
 )
 ALPHA, DELTA, MIN_WORDS = 0.02, 0.05, 50
+#: How many times the share of rejected good documents counts against the share of rejected bad ones, among safe cutoffs.
+GOOD_WEIGHT = 10
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -118,7 +120,7 @@ def choose_cutoff(above: list[int], n: int, bad_above: list[int], n_bad: int, al
     for c in range(100, -1, -1):
         if not is_safe(above[c], n, alpha, delta):
             break
-        now = bad_above[c] / max(1, n_bad) - above[c] / n
+        now = bad_above[c] / max(1, n_bad) - GOOD_WEIGHT * above[c] / n
         if now > gain:
             best, gain = c, now
     return best
