@@ -86,6 +86,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _sum_rows(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of each index from 0 to size - 1, by sorting, which is much faster than adding one by one."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        ordered = index[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        out[ordered[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 class Network:
     """Vectors, two recurrent passes, attention, output. Parameters are float32 arrays by name."""
 
@@ -147,7 +158,7 @@ class Network:
         d_x = np.zeros_like(x)
         for side, at in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
             u = p[f"U{side}"]
-            d_in = np.zeros((len(x) + 1, 3 * HIDDEN), np.float32)
+            seen, into = [], []
             d_u, d_h = np.zeros_like(u), np.zeros((len(ids), HIDDEN), np.float32)
             for t, h, z, r, c, gc, m in reversed(saved[side]):
                 d_new = d_h + d_states[t][:, at]
@@ -155,10 +166,13 @@ class Network:
                 d_z = -m * d_new * (c - h) * z * (1 - z)
                 d_r = d_c * gc * r * (1 - r)
                 parts = np.concatenate([d_z, d_r, d_c], axis=1)
-                np.add.at(d_in, ids[:, t], parts)
+                seen.append(ids[:, t])
+                into.append(parts)
                 through = np.concatenate([d_z, d_r, d_c * r], axis=1)
                 d_u += h.T @ through
                 d_h = d_new * (1 - m * (1 - z)) + through @ u.T
+            where = np.concatenate(seen)
+            d_in = _sum_rows(np.where(where < 0, len(x), where), np.concatenate(into), len(x) + 1)
             g[f"U{side}"], g[f"b{side}"] = d_u, d_in[:-1].sum(axis=0)
             g[f"W{side}"] = x.T @ d_in[:-1]
             d_x += d_in[:-1] @ p[f"W{side}"].T
@@ -251,8 +265,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
             adam.step(net.p, g)
             for name, slots, grad in (("words", word[used], d_x[:, :WIDTH]), ("grams", g_slots, np.repeat(d_x[:, WIDTH:] / np.maximum(1, sizes)[:, None], sizes, axis=0))):
                 u, inverse = np.unique(slots, return_inverse=True)
-                total = np.zeros((len(u), WIDTH), np.float32)
-                np.add.at(total, inverse, grad)
+                total = _sum_rows(inverse, grad, len(u))
                 square[name][u] += (total**2).mean(axis=1)
                 getattr(net, name)[u] -= 0.02 * total / np.sqrt(square[name][u])[:, None]
 
