@@ -1,4 +1,4 @@
-"""Banded edit distance of integer sequences, many pairs at a time."""
+"""Banded edit distance of integer sequences."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import numpy as np
 
 FAR = 1 << 28
 CELLS = 120_000
+#: Diagonals to each side of the first, narrow band.
+NARROW = 12
 
 
 def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,7 +27,7 @@ def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block(pairs: list[tuple[np.ndarray, np.ndarray]], half: int) -> np.ndarray:
-    """Distances of the pairs inside a band of half diagonals to each side; right where they are at most half."""
+    """Distances of the pairs by alignments inside a band of half diagonals to each side: exact up to half, else upper bounds."""
     n = max(len(a) for a, _ in pairs)
     width, count = 2 * half + 1, len(pairs)
     left = np.full((count, n), -1, dtype=np.int32)
@@ -53,43 +55,69 @@ def _block(pairs: list[tuple[np.ndarray, np.ndarray]], half: int) -> np.ndarray:
     return out
 
 
-def distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> list[int | None]:
-    """Edit distance of each pair, or None where it is above the pair's limit.
+def banded(a: list[int], b: list[int], limit: int) -> int | None:
+    """Edit distance of a and b if it is at most limit, else None, by an alignment kept to limit diagonals on each side.
 
-    Differences in length and in the words' counts give lower bounds that spare most alignments of unlike pairs.
+    Bit r of the vectors stands for row j - limit + r of column j, so the band moves down with each column: vertical
+    steps up and down (up, down), horizontal ones likewise (right, left), and diagonals without cost (free). The
+    distance is followed along the band's lowest diagonal to b's end, then along b's last row.
     """
-    out: list[int | None] = [None] * len(pairs)
-    work = []
+    n, m = len(b), len(a)
+    if abs(n - m) > limit:
+        return None
+    width = 2 * limit + 1
+    mask, top = (1 << width) - 1, 1 << (2 * limit)
+    places: dict[int, int] = {}
+    for i, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << i
+    up, down, d = mask ^ ((1 << limit) - 1), 0, min(limit, n)
+    get = places.get
+    for j, x in enumerate(a, 1):
+        same, shift = get(x, 0), j - limit - 1
+        if same:
+            same = (same >> shift if shift >= 0 else same << -shift) & mask
+        free = ((((same & up) + up) ^ up) | same | down) & mask
+        right, left = (down | ~(free | up)) & mask, free & up
+        if j + limit <= n:
+            d += not free & top
+        else:
+            at = n - j + limit
+            d += (right >> at & 1) - (left >> at & 1)
+        if d - (m - j) > limit:
+            return None
+        free >>= 1
+        up, down = (left | ~(free | right)) & mask, free & right
+    return d if d <= limit else None
+
+
+def within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> list[bool]:
+    """Whether the edit distance of each pair is at most its limit.
+
+    Differences in length and in the words' counts spare most alignments of unlike pairs. Many pairs at a time are then
+    aligned in a narrow band: a distance found there is an upper bound, which settles most like pairs. The rest are
+    aligned in a band as wide as the limit.
+    """
+    out, work = [False] * len(pairs), []
     for i, ((a, b), limit) in enumerate(zip(pairs, limits)):
         if abs(len(a) - len(b)) > limit:
             continue
         a, b = _trimmed(a, b)
         if not len(a) or not len(b):
-            rest = max(len(a), len(b))
-            out[i] = rest if rest <= limit else None
+            out[i] = max(len(a), len(b)) <= limit
             continue
         common = sum((Counter(a.tolist()) & Counter(b.tolist())).values())
-        if (least := max(len(a), len(b)) - common) <= limit:
-            work.append((min(limit, max(len(a), len(b))), len(a), i, a, b, least))
-    # a narrow band first: it settles most pairs that are alike at a quarter of the cost
-    for narrow in (True, False):
-        left = []
-        for x in work:
-            half = -(-x[0] // 4) if narrow and x[5] <= -(-x[0] // 4) else x[0]
-            left.append((half, *x))
-        left.sort(key=lambda x: (x[0], x[2]))
-        work, at = [], 0
-        while at < len(left):
-            end = at + 1
-            while end < len(left) and (end + 1 - at) * (2 * left[end][0] + 1) <= CELLS and left[end][0] <= 2 * left[at][0] + 8:
-                end += 1
-            some = left[at:end]
-            for (half, limit, size, i, a, b, least), d in zip(some, _block([(x[4], x[5]) for x in some], some[-1][0])):
-                if d <= half:
-                    out[i] = int(d)
-                elif half < limit:
-                    work.append((limit, size, i, a, b, limit))
-            at = end
+        if max(len(a), len(b)) - common <= limit:
+            work.append((abs(len(a) - len(b)) + NARROW, len(a), i, a, b))
+    work.sort(key=lambda x: (x[0] // 16, x[1]))
+    at = 0
+    while at < len(work):
+        end, half = at + 1, work[at][0]
+        while end < len(work) and (end + 1 - at) * (2 * max(half, work[end][0]) + 1) <= CELLS and work[end][0] < half + 16 and work[end][1] <= 2 * work[at][1] + 64:
+            half, end = max(half, work[end][0]), end + 1
+        some = work[at:end]
+        for (_, _, i, a, b), d in zip(some, _block([x[3:] for x in some], half)):
+            out[i] = bool(d <= limits[i]) or (half < limits[i] and banded(a.tolist(), b.tolist(), min(limits[i], max(len(a), len(b)))) is not None)
+        at = end
     return out
 
 
