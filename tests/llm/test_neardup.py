@@ -144,3 +144,72 @@ def test_components(spark):
     linked = {x for a, b in links if a != b for x in (a, b)}
     got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in linked)
+
+
+def aligned_classes(rows):
+    """As brute_classes, by alignment of all pairs, for more rows of distinct doc_ids."""
+    words = [(d, neardup.normal_words(t)) for d, t in rows]
+    known = {}
+    ids = [np.array([known.setdefault(x, len(known)) for x in w]) for _, w in words]
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if 5 * abs(len(ids[i]) - len(ids[j])) <= max(len(ids[i]), len(ids[j]))]
+    good = alignment.within([(ids[i], ids[j]) for i, j in pairs], [max(len(ids[i]), len(ids[j])) // 5 for i, j in pairs])
+    label = list(range(len(ids)))
+    for (i, j), ok in zip(pairs, good):
+        if ok and label[i] != label[j]:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    least = {}
+    for (d, _), x in zip(words, label):
+        least[x] = min(least.get(x, d), d)
+    return sorted((d, least[x]) for (d, _), x in zip(words, label))
+
+
+def test_many_edits_equal_all_pairs(spark):
+    prepare(spark)
+    r = random.Random(6)
+    rows = []
+    for i in range(160):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([20, 50, 63, 64, 100, 130, 260, 600]))]
+        share = r.choice([0.1, 0.15, 0.19])
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(f"n{r.randrange(10**6)}" if r.random() < share else w for w in base))]
+    # every fifth word changed: the least like pairs, without common shingles of five words
+    for i in range(30):
+        base = [f"v{r.randrange(5000)}" for _ in range(r.choice([25, 60, 70, 200, 900]))]
+        rows += [(1000 + 2 * i, " ".join(base)), (1001 + 2 * i, " ".join(f"m{i}x{k}" if k % 5 == 4 else w for k, w in enumerate(base)))]
+    want = aligned_classes(rows)
+    got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert sum(d != c for d, c in want) > 120
+    assert got == want
+
+
+def test_short_texts_equal_all_pairs(spark):
+    prepare(spark)
+    r = random.Random(7)
+    rows = []
+    for n in range(1, 13):
+        for _ in range(12):
+            base = [f"s{r.randrange(400)}" for _ in range(n)]
+            other = list(base)
+            other[n // 2] = "changed"
+            rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((base, other, base[: n // 2] + base[n // 2 + 1 :] or ["none"]))]
+    # short texts that share a common beginning
+    rows += [(len(rows) + k, f"see the list of all {x} for {y} here now") for k, (x, y) in enumerate((f"a{k % 9}", f"b{k // 9}") for k in range(60))]
+    want = aligned_classes(rows)
+    got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert sum(d != c for d, c in want) > 100
+    assert got == want
+
+
+def test_passage_shared_by_many_texts(spark):
+    prepare(spark)
+    r = random.Random(8)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for i in range(250):
+        own = [f"w{r.randrange(20000)}" for _ in range(40)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 25 == 3:
+            rows.append((1000 + i, " ".join(passage + [f"c{i}x{k}" if k % 2 else w for k, w in enumerate(own)])))
+    want = aligned_classes(rows)
+    got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert sum(d != c for d, c in want) == 10
+    assert got == want

@@ -1,16 +1,26 @@
-"""Near-duplicate classes by order MinHash.
+"""Near-duplicate classes by sampled shingles, with an exact way for what many texts share.
 
-Words are lower-cased and stripped of punctuation at their ends. A text's k-mers are its five-word shingles,
-labelled with their occurrence number in the text, so that a multiset is sampled. For each of SEEDS hash
-functions the least 2, 4 and 8 labelled k-mers are taken and kept in text order: equal samples then speak for
-a small edit distance, not just for common shingles. Two texts are linked if the word edit distance, found by
-banded alignment, is at most 0.2 of the longer one (similarity 0.8 or more); classes are the connected
+Words are lower-cased and stripped of punctuation at their ends. Two texts are linked if the word edit distance,
+found by banded alignment, is at most 0.2 of the longer one (similarity 0.8 or more); classes are the connected
 components of links, and a class is named by its least doc_id.
 
-Texts with equal words are one node before anything is compared, so exact copies cost one row each. Texts with
-an equal sample of two k-mers share a bucket. Buckets of up to SMALL texts give all their pairs. In a larger
-bucket every text is paired with the least one, which grows in proportion, and its texts go on to the buckets
-of their samples of four, then eight k-mers, where the same holds. No partner or candidate is dropped.
+Candidates: each edit changes at most three of a text's three-word shingles (labelled with their occurrence
+number, so that a multiset is compared), so like texts of n words or more share at least 0.4 n - 2 of them.
+Texts of under WHOLE words give all their shingles, those of four or five words also their pairs of words, which
+makes the search exact there. Of longer texts a share is taken that halves with each doubling of the length:
+those with the least hashes, the same ones in every text, so that 32 to 64 remain. Texts with an equal shingle
+share a bucket, and buckets of up to SMALL texts give all their pairs.
+
+Shingles of larger buckets are common. A text is found by its other ones as long as the shingles that it must
+share outnumber its common ones, in the sample by LEAST or more. The texts for which that fails are crowded, and
+all pairs of them are found exactly: like texts of n words share at least 0.8 n words, so they share one of the
+n - ceil(0.8 n) + 1 rarest ones of each. Pairs that are linked already, over any number of links, are not compared
+again: each crowded text is first compared with the least crowded one of its length in its large buckets.
+
+So a pair is missed only if both texts have WHOLE words or more (or nearly), one is not crowded, and none of 8 or
+more expected common shingles is in the sample: a chance of exp(-8), 0.0003, at most. No bucket, partner or
+candidate is dropped. Texts with equal words are one node before anything is compared, so exact copies cost one
+row each.
 
 Defined cases: null and blank texts are alike to nothing and form classes of their own; rows with a null
 doc_id get the class of an equal text, if any, else null; several texts of one doc_id are one node; repeated
@@ -24,23 +34,23 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenscope.llm.alignment import within
 from tokenscope.llm.common import OWN, map_batches, mix, release, spread_hash, table, texts_of, window_hashes
 from tokenscope.llm.graph import components
 
-SHINGLE = 5
-SEEDS = 32
-LEVELS = (2, 4, 8)
+SHINGLE = 3
+WHOLE = 64
+LEAST = 8
 SMALL = 16
 SIMILARITY = 0.8
+SLOTS = 1 << 18
+BINS, MOST = 128, 65_535
 
 _cache: dict[bytes, int] = {}
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
-_factors = mix(np.arange(1, SEEDS + 1, dtype=np.uint64), 11) | np.uint64(1)
-_offsets = mix(np.arange(1, SEEDS + 1, dtype=np.uint64), 12)
 
 
 def normal_words(text: str) -> list[bytes]:
@@ -59,27 +69,39 @@ def occurrence(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(keys: np.ndarray, seed: int) -> np.ndarray:
+    """Keys mixed with their occurrence numbers."""
+    return mix(keys + mix(occurrence(keys), 7) * np.uint64(2), seed)
+
+
+def halvings(n: int) -> int:
+    """How often the share of shingles is halved for n words."""
+    return max(0, (n // WHOLE).bit_length())
+
+
 def samples(words: np.ndarray) -> np.ndarray:
-    """Hashes of the ordered samples, for each level all seeds; words are 64-bit hashes of one or more words."""
-    keys = window_hashes(words, min(SHINGLE, len(words)), 5)
-    labelled = mix(keys + mix(occurrence(keys), 7) * np.uint64(2), 8)
-    n, most = len(labelled), LEVELS[-1]
-    rows = np.arange(SEEDS)[:, None]
-    best = np.empty((SEEDS, 0), dtype=np.int64)
-    for at in range(0, n, 4096):
-        part = labelled[None, at : at + 4096] * _factors[:, None] + _offsets[:, None]
-        pick = np.argpartition(part, most - 1, axis=1)[:, :most] if part.shape[1] > most else np.tile(np.arange(part.shape[1]), (SEEDS, 1))
-        best = np.concatenate([best, pick + at], axis=1)
-    values = labelled[best] * _factors[:, None] + _offsets[:, None]
-    best = best[rows, np.argsort(values, axis=1, kind="stable")]
-    out = []
-    for number, level in enumerate(LEVELS):
-        ordered = labelled[np.sort(best[:, : min(level, n)], axis=1)]
-        h = mix(np.arange(SEEDS, dtype=np.uint64) + np.uint64(1000 * number), 9)
-        for i in range(ordered.shape[1]):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + ordered[:, i], 10)
-        out.append(h)
-    return np.concatenate(out).view(np.int64)
+    """Hashes of the sampled shingles; words are 64-bit hashes of one or more words. Texts of under four words are like equal ones only and give none."""
+    n = len(words)
+    if n < 4:
+        return np.empty(0, dtype=np.int64)
+    keys = labelled(window_hashes(words, SHINGLE, 5), 8)
+    if h := halvings(n):
+        keys = keys[keys >> np.uint64(64 - h) == 0]
+        return mix(keys, 9).view(np.int64)
+    if n < 6:
+        keys = np.concatenate([keys, labelled(window_hashes(words, 2, 6), 10)])
+    return mix(keys, 9).view(np.int64)
+
+
+def _crowded(n: Column, sampled: Column, common: Column) -> Column:
+    """Whether a text of n words with so many sampled shingles, of them so many common ones, may share only common ones with a like text.
+
+    Where the longer of two like texts can have a smaller share of shingles, twice as many have to remain.
+    """
+    sure = F.greatest(F.ceil(n * 0.4 - 2 - 1e-9), F.lit(1)) - common < 1
+    share = lambda x: F.floor(F.log2(F.greatest(x / WHOLE, F.lit(0.5))) + 1e-12)
+    need = F.when(share(F.floor(n / SIMILARITY + 1e-9)) > share(n), 2 * LEAST).otherwise(LEAST)
+    return F.when(n < 6, common > 0).when(F.floor(n / SIMILARITY + 1e-9) < WHOLE, sure).otherwise(sampled * (n * 0.4 - 2) / (n - 2) - common < need)
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -100,48 +122,93 @@ def _scan(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), one, "doc long, whole binary, n long, samples array<long>")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that share a small bucket, or a bucket whose least node is a."""
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, to align, and the crowded nodes (node, n)."""
     spark = nodes.sparkSession
-    key = lambda seed, level: F.col("samples")[seed + level * SEEDS]
-    each = F.transform(F.sequence(F.lit(0), F.lit(SEEDS - 1)), lambda s: F.struct(*[key(s, i).alias(f"k{i}") for i in range(len(LEVELS))]))
-    places = nodes.select("node", "n", F.explode(each).alias("s")).select("node", "n", "s.*")
-    near = (F.least("xn", "yn") >= F.greatest("xn", "yn") * SIMILARITY) & (F.col("x") < F.col("y"))
-    found, rows = [], places
-    for level in range(len(LEVELS)):
-        rows = rows.withColumnRenamed(f"k{level}", "key")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("x"), F.min_by("n", "node").alias("xn")).where("size > 1")
-        full = rows.join(sizes, "key").checkpoint()
-        release(spark)
-        lists = full.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("all"))
-        pairs = lists.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q"))
-        pairs = pairs.select(F.col("p.node").alias("x"), F.col("p.n").alias("xn"), F.col("q.node").alias("y"), F.col("q.n").alias("yn"))
-        large = full.where(F.col("size") > SMALL)
-        stars = large.select("x", "xn", F.col("node").alias("y"), F.col("n").alias("yn"))
-        found.append(pairs.union(stars).where(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().checkpoint())
-        rows = large.drop("key", "size", "x", "xn")
-        release(spark)
-        if not rows.take(1):
-            break
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.distinct()
+    places = nodes.select("node", "n", F.explode("samples").alias("key"))
+    sizes = places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    full = places.join(sizes, "key").checkpoint()
+    release(spark)
+    lists = full.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("all"))
+    # each text with those after it in its bucket's list
+    pairs = lists.select(F.posexplode("all").alias("at", "p"), "all").select("p", F.explode(F.slice("all", F.col("at") + 2, SMALL)).alias("q"))
+    pairs = pairs.where(F.least("p.n", "q.n") >= F.greatest("p.n", "q.n") * SIMILARITY - 1e-9).select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).where("a < b")
+    pairs = pairs.distinct().checkpoint()
+    release(spark)
+    large = full.where(F.col("size") > SMALL)
+    common = large.groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    crowded = nodes.select("node", "n", F.size("samples").alias("sampled")).join(common, "node").where(_crowded(F.col("n"), F.col("sampled"), F.col("common")))
+    # texts too few of whose shingles are in the sample are crowded whatever their common ones
+    poor = nodes.where(_crowded(F.col("n"), F.size("samples"), F.lit(0)) & (F.col("n") >= 4)).select("node", "n")
+    crowded = crowded.select("node", "n").union(poor).distinct().checkpoint()
+    members = large.join(crowded.select("node"), "node").withColumn("length", F.floor(F.log(F.col("n").cast("double")) * 10)).select("key", "length", "node")
+    first = members.groupBy("key", "length").agg(F.min("node").alias("a"))
+    stars = members.join(first, ["key", "length"]).where("a < node").select("a", F.col("node").alias("b"))
+    out = pairs.union(stars).distinct().checkpoint()
+    del full, places, large
+    release(spark)
+    return out, crowded
+
+
+def _crowded_pairs(bodies: DataFrame, crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs of crowded nodes that may be alike, by their rarest words, but for those that links connect."""
+    some = bodies.join(crowded, "node", "left_semi")
+    words_of = lambda x: labelled(np.frombuffer(x, dtype="<u4").astype(np.uint64), 12)
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = np.concatenate([words_of(x) for x in batch.column(1).to_pylist()]) % np.uint64(SLOTS)
+        slots, times = np.unique(found, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(times.astype(np.int64))], names=["slot", "times"])
+
+    # how common words are, by slots of their hashes; sharing a slot changes the order but no result
+    times = np.zeros(SLOTS, dtype=np.int64)
+    for r in map_batches(some.select("node", "body"), count, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).collect():
+        times[r.slot] = r.times
+
+    def rarest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, lengths, keys = [], [], []
+        for node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = words_of(body)
+            n = len(words)
+            most = n - int(np.ceil(n * SIMILARITY - 1e-9)) + 1
+            best = words[np.lexsort((words, times[words % np.uint64(SLOTS)]))[:most]]
+            nodes.append(np.full(len(best), node))
+            lengths.append(np.full(len(best), n))
+            keys.append(best.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), type=pa.int64()) for x in (nodes, lengths, keys)], names=["node", "n", "key"])
+
+    rows = map_batches(some.select("node", "body"), rarest, "node long, n long, key long")
+    labels = components(links)
+    rows = rows.join(labels, "node", "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    rows = rows.join(mixed, "key").checkpoint()
+    x, y = (rows.toDF("key", *[f"{side}_{c}" for c in ("node", "n", "label")]) for side in "xy")
+    near = F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * SIMILARITY - 1e-9
+    return x.join(y, "key").where((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label")) & near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and body (32-bit hashes of its words) of the wanted nodes."""
+    """node, body (32-bit hashes of its words) and counts (of its words by BINS parts of their labelled hashes) of the wanted nodes."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [(spread_hash(normal_words(t), _cache) >> np.uint64(32)).astype("<u4").tobytes() for t in texts_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=["node", "body"])
+        words = [spread_hash(normal_words(t), _cache) >> np.uint64(32) for t in texts_of(batch.column(1))]
+        out = [x.astype("<u4").tobytes() for x in words]
+        counts = [np.bincount((labelled(x, 12) >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS).clip(max=MOST).astype("<u2").tobytes() for x in words]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary()), pa.array(counts, type=pa.binary())], names=["node", "body", "counts"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
-    return map_batches(texts, one, "node long, body binary").distinct()
+    return map_batches(texts, one, "node long, body binary, counts binary").distinct()
 
 
 def _links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs whose alignment shows a similarity of SIMILARITY or more."""
+    """The pairs whose alignment shows a similarity of SIMILARITY or more. Counts of words, which are short, spare most texts the way there."""
+
+    def maybe(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u2").reshape(-1, BINS) for i in (2, 3))
+        common = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+        longer = np.maximum(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64))
+        good = (common >= longer * SIMILARITY - 1e-6) | (np.maximum(x, y).max(axis=1) == MOST)
+        return batch.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         read = lambda i: [np.frombuffer(x, dtype="<u4").view(np.int32) for x in batch.column(i).to_pylist()]
@@ -150,8 +217,12 @@ def _links(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
         good = within(both, limits)
         return batch.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
 
-    a, b = bodies.toDF("a", "body_a"), bodies.toDF("b", "body_b")
-    return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b"), one, "a long, b long")
+    def joined(pairs: DataFrame, column: str) -> DataFrame:
+        a, b = (bodies.select("node", column).toDF(side, f"{column}_{side}") for side in "ab")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", f"{column}_a", f"{column}_b")
+
+    some = map_batches(joined(pairs, "counts"), maybe, "a long, b long").distinct()
+    return map_batches(joined(some, "body"), one, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -164,13 +235,20 @@ def classes(docs: DataFrame) -> DataFrame:
     scan = scan.select("doc", "whole").checkpoint()
     del some, least
     release(spark)
-    pairs = _candidates(nodes).checkpoint()
+    pairs, crowded = _candidates(nodes)
+    nodes = nodes.select("whole", "node").distinct().checkpoint()
     release(spark)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
     bodies = _bodies(docs, wanted).checkpoint()
     release(spark)
     links = _links(pairs, bodies)
-    of_text = nodes.select("whole", "node").distinct()
+    if crowded.take(1):
+        links = links.checkpoint()
+        release(spark)
+        more = _crowded_pairs(bodies, crowded, links).checkpoint()
+        release(spark)
+        links = links.union(_links(more, bodies))
+    of_text = nodes
     own_nodes = scan.where("whole is not null and doc is not null").select("doc", "whole").distinct().join(of_text, "whole")
     several = own_nodes.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc", "a")
     same_doc = own_nodes.join(several, "doc").where("node > a").select("a", F.col("node").alias("b"))
