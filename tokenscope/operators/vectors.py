@@ -27,12 +27,12 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 
 def scored(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every query against every vector: qid, id, score. The queries are a stated set, checked to be small, and go to the tasks that hold vectors."""
-    if queries.limit(MAX_QUERY_ROWS + 1).count() > MAX_QUERY_ROWS:
-        raise ValueError(f"more than {MAX_QUERY_ROWS} queries in one block; split them")
+    """Every query against every vector: qid, id, score. Up to MAX_QUERY_ROWS queries go to the tasks that hold vectors; more are dealt in blocks of about so many, each block meeting each part of the vectors."""
     q = queries.select("qid", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
+    n = queries.count()
+    q = F.broadcast(q) if n <= MAX_QUERY_ROWS else q.repartition(-(-n // MAX_QUERY_ROWS)).hint("shuffle_replicate_nl")
     v = vectors.select("id", "vector", norm(F.col("vector")).alias("vn"))
-    return v.join(F.broadcast(q), F.lit(True)).select("qid", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn")).alias("score"))
+    return v.join(q, F.lit(True)).select("qid", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn")).alias("score"))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
