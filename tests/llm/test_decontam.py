@@ -77,3 +77,13 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert decontam.found_items(docs.limit(0), b, ["doc_id"]).count() == 0
     assert decontam.drop_leaks(docs, b.limit(0)).count() == len(rows)
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    prepare(spark)
+    b = spark.createDataFrame([(1, "What is 2+2?"), (2, "too short"), (3, "???"), (4, " ")], "item_id long, text string")
+    rows = [(1, "so: WHAT  is 2+2? Four"), (2, "It is Too\nshort."), (3, "too shorts, stoo short"), (4, "x??? y"), (5, "too, short"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x[0]: x[1] for x in decontam.found_items(docs, b, ["doc_id"]).collect()}
+    assert got == {1: [1], 2: [2], 3: [], 4: [3], 5: [], 6: []}
+    assert sorted(x.doc_id for x in decontam.drop_leaks(docs, b).collect()) == [3, 5, 6]

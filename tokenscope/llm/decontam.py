@@ -14,13 +14,14 @@ on diagonals (text position minus item position) no more than e apart. So per te
 The benchmark is a small fixed table: it is sent to every task, and a size above MAX_ITEM_BYTES is refused
 rather than cut.
 
-Defined cases: null and empty texts are clean; items that are null or shorter than MIN_ITEM characters after
-normalisation are left out, as they would match by chance; equal items are all reported; every row gives one
+Defined cases: null and empty texts are clean; null and empty items are left out; items shorter than MIN_ITEM
+characters after normalisation would match by chance with edits, so they are found as they are, as whole words; equal items are all reported; every row gives one
 result row, whatever its doc_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +38,7 @@ MIN_ITEM = 40
 MAX_ITEM_BYTES = 64 << 20
 BITS = 22
 _BYTES = 4 << 20
+_word = re.compile(r"\w+")
 
 
 def normal(text: str) -> bytes:
@@ -161,28 +163,65 @@ class Index:
         return out
 
 
+class Short:
+    """Items under MIN_ITEM characters by their first word; those without a word stand under ""."""
+
+    def __init__(self, items: tuple[tuple[int, bytes], ...]) -> None:
+        self.by_word: dict[str, list[tuple[int, re.Pattern]]] = {}
+        for i, x in items:
+            text = x.decode()
+            first = _word.search(text)
+            left, right = (r"(?<!\w)" if text[0].isalnum() or text[0] == "_" else ""), (r"(?!\w)" if text[-1].isalnum() or text[-1] == "_" else "")
+            self.by_word.setdefault(first[0] if first else "", []).append((i, re.compile(left + re.escape(text) + right)))
+
+    def search(self, data: bytes) -> list[int]:
+        """Ids of the items that a normalised text holds."""
+        if not self.by_word:
+            return []
+        text = data.decode()
+        words = self.by_word.keys() & {"", *_word.findall(text)}
+        return [i for w in words for i, pattern in self.by_word[w] if pattern.search(text)]
+
+
+@lru_cache(maxsize=2)
+def _short(items: tuple[tuple[int, bytes], ...]) -> Short:
+    return Short(items)
+
+
 @lru_cache(maxsize=2)
 def _index(items: tuple[tuple[int, bytes], ...]) -> Index:
     return Index(items)
 
 
-def load_items(benchmark: DataFrame) -> tuple[tuple[int, bytes], ...]:
-    """Normalised items of MIN_ITEM characters or more. The benchmark's size is checked before it is gathered."""
+def _load(benchmark: DataFrame) -> list[tuple[int, bytes]]:
+    """Normalised items. The benchmark's size is checked before it is gathered."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MAX_ITEM_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; at most {MAX_ITEM_BYTES} can be sent to every task")
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").collect()
-    return tuple(sorted((i, x) for i, x in ((r[0], normal(r[1])) for r in rows) if len(x.decode()) >= MIN_ITEM))
+    return sorted((i, x) for i, x in ((r[0], normal(r[1])) for r in rows) if x)
+
+
+def _split(items: list[tuple[int, bytes]]) -> tuple[tuple[tuple[int, bytes], ...], tuple[tuple[int, bytes], ...]]:
+    """Items of MIN_ITEM characters or more, and shorter ones."""
+    long = [len(x.decode()) >= MIN_ITEM for _, x in items]
+    return tuple(x for x, y in zip(items, long) if y), tuple(x for x, y in zip(items, long) if not y)
+
+
+def load_items(benchmark: DataFrame) -> tuple[tuple[int, bytes], ...]:
+    """Normalised items of MIN_ITEM characters or more."""
+    return _split(_load(benchmark))[0]
 
 
 def found_items(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """Columns keep of docs with the ids of the items that each text holds."""
-    items = load_items(benchmark)
+    items, short = _split(_load(benchmark))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         index = _index(items)
-        found = index.search_all([normal(t) for t in texts_of(batch.column(len(keep)))])
-        ids = [sorted({index.ids[i] for i in x}) for x in found]
+        texts = [normal(t) for t in texts_of(batch.column(len(keep)))]
+        found = index.search_all(texts)
+        ids = [sorted({index.ids[i] for i in x} | set(_short(short).search(t))) for x, t in zip(found, texts)]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(ids, type=pa.list_(pa.int64()))], names=[*keep, OWN + "items"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
@@ -191,11 +230,12 @@ def found_items(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataF
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns; they are filtered where they are read."""
-    items, at = load_items(benchmark), docs.columns.index("text")
+    (items, short), at = _split(_load(benchmark)), docs.columns.index("text")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _index(items).search_all([normal(t) for t in texts_of(batch.column(at))])
-        return batch.filter(pa.array([not x for x in found], type=pa.bool_()))
+        texts = [normal(t) for t in texts_of(batch.column(at))]
+        found = _index(items).search_all(texts)
+        return batch.filter(pa.array([not x and not _short(short).search(t) for x, t in zip(found, texts)], type=pa.bool_()))
 
     return map_batches(docs, one, docs.schema)
 
