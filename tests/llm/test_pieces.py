@@ -2,6 +2,7 @@ import hashlib
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -62,3 +63,18 @@ def test_query_columns(spark):
     got = map(tuple, pieces.digests(df, pieces.model_path()).collect())
     assert sorted(got, key=str) == sorted(want, key=str)
     assert pieces.digests(df.limit(0), pieces.model_path()).count() == 0
+
+
+def test_agrees_compares_the_own_decoding(spark, monkeypatch):
+    prepare(spark)
+    df = spark.createDataFrame([(1, "some words"), (2, "")], "doc_id long, text string")
+    out = pieces.encode_texts(df, pieces.model_path(), ["doc_id"])
+    assert all(x[-1] for x in out.collect())
+    # the workers' own decoding is at fault here, the ids are right
+    broken = type("Broken", (pieces.Encoder,), {"decode": lambda self, ids: "wrong"})
+    seen = {}
+    monkeypatch.setattr(pieces, "_tools", lambda model: (broken(pieces.Vocabulary(model)), sentencepiece.SentencePieceProcessor(model_proto=model)))
+    monkeypatch.setattr(pieces, "map_batches", lambda df, fn, schema: seen.setdefault("fn", fn))
+    pieces.encode_texts(df, pieces.model_path(), ["doc_id"])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})
+    assert seen["fn"](batch).column(3).to_pylist() == [False]

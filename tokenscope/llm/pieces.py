@@ -196,6 +196,7 @@ class Encoder:
         self.runs = _Memory(lambda run: b"".join(map(self.parts.__getitem__, v.cut(run))), limit)
         self.words = _Memory(lambda word: b"".join(map(self.parts.__getitem__, v.cut(MARK + word))), limit)
         self.begin, self.end = pack([v.bos]), pack([v.eos])
+        self.plain = [p if k == NORMAL else None if k in (BYTE, UNKNOWN) else "" for p, k in zip(v.pieces, v.types)]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, with begin and end."""
@@ -210,8 +211,12 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks are spaces, the first one from the leading mark is dropped; bytes that are no UTF-8 become U+FFFD each."""
-        out, raw = [], bytearray()
         v, first = self.v, self.v.prefix
+        try:
+            text = "".join(map(self.plain.__getitem__, ids))
+            return (text[1:] if first and text[:1] == MARK else text).replace(MARK, " ")
+        except TypeError:  # bytes or unknown ones
+            out, raw = [], bytearray()
 
         def flush() -> None:
             if raw:
@@ -261,7 +266,7 @@ def _tools(model: bytes):
 
 
 def encode_texts(df: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
-    """Columns keep of df with ids (binary, see Encoder.encode), decoded (the library's decoding of them) and agrees: the library finds the same ids and decoding gives the same text here.
+    """Columns keep of df with ids (binary, see Encoder.encode), decoded (the library's decoding of them) and agrees: the library finds the same ids and decoding gives the same text here (Encoder.decode).
 
     The model's file is read once, on the driver, and travels with the tasks (0.5 MB).
     """
@@ -281,7 +286,7 @@ def encode_texts(df: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
             back = library.decode(ids, num_threads=1)
             found += ours
             decoded += back
-            agrees += [a == b for a, b in zip(ids, theirs)]
+            agrees += [a == b and encoder.decode(a) == t for a, b, t in zip(ids, theirs, back)]
         names = [*keep, OWN + "ids", OWN + "decoded", OWN + "agrees"]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(found, type=pa.binary()), pa.array(decoded, type=pa.string()), pa.array(agrees, type=pa.bool_())], names=names)
 
