@@ -90,3 +90,13 @@ def test_empty_and_one_sided_tables(spark):
     assert {x.score for x in tox.score(df, labels, ["doc_id"]).collect()} == {0.0}
     assert {x.score for x in tox.score(df, labels.limit(0), ["doc_id"]).collect()} == {0.0}
     assert tox.score(df.limit(0), labels, ["doc_id"]).count() == 0
+
+
+def test_every_window_is_scored():
+    for n in (24, 25, 36, 61):
+        assert [w[0] for w in tox.windows(np.arange(n)).tolist()] == list(range(n - tox.WINDOW + 1))
+    # the windows around a passage are scored alike wherever it stands
+    texts = [" ".join(["on"] * k + ["vile", "scum"] + ["er"] * 60) for k in (30, 31, 35, 41)]
+    net = tox.Network(5)
+    net.words[:] *= 20
+    assert len(set(tox.score_texts(net, texts))) == 1

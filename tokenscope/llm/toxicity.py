@@ -1,7 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is lower-cased and cut into words of letters and digits; every window of WINDOW words, one beginning
-every STRIDE, is scored, and the text's score is the largest. Each word enters with a hashed word vector and
+at each word, is scored, and the text's score is the largest. Each word enters with a hashed word vector and
 the mean of its hashed character 3- to 6-gram vectors (word borders included). Two recurrent passes read a
 window in both directions, additive attention pools their states, a logistic unit scores the pool.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenscope.llm.common import map_batches, mix, table, texts_of
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_FIT_CHARS = 800, 1600, 12_000
-WINDOW, STRIDE = 24, 12
+WINDOW = 24
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN, ATTENTION = 15, 18, 6, 8, 8
 GRAMS = (3, 4, 5, 6)
 THRESHOLD, EPOCHS, LEAST_STEPS, BATCH, SEED = 0.7, 3, 120, 256, 7
@@ -76,10 +76,9 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def windows(ids: np.ndarray) -> np.ndarray:
     """All windows over a text's word numbers, -1 where it has no more words; a text without words has one empty window."""
-    n = max(1, -(-max(0, len(ids) - WINDOW) // STRIDE) + 1)
-    padded = np.full((n - 1) * STRIDE + WINDOW, -1, dtype=np.int64)
+    padded = np.full(max(WINDOW, len(ids)), -1, dtype=np.int64)
     padded[: len(ids)] = ids
-    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
