@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tokenscope.llm import alignment, graph, neardup
@@ -101,14 +102,14 @@ def test_empty_table(spark):
 def test_distances():
     r = random.Random(3)
     pairs = []
-    for _ in range(300):
+    for _ in range(200):
         a = [r.randrange(8) for _ in range(r.randrange(30))]
         b = edited(r, a, 0.3) if r.random() < 0.7 else [r.randrange(8) for _ in range(r.randrange(30))]
         b = [x if isinstance(x, int) else int(x[1:]) for x in b]
         pairs.append((np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)))
     long = [r.randrange(50) for _ in range(150)]
     pairs += [(np.array(long), np.array(long[k:] + long[: k // 2])) for k in range(0, 60, 4)]
-    limits = [r.randrange(12) for _ in range(300)] + [40] * 15
+    limits = [r.randrange(12) for _ in range(200)] + [40] * 15
     for (a, b), limit, got in zip(pairs, limits, alignment.within(pairs, limits)):
         d = distance(list(a), list(b))
         assert got == (d <= limit)
@@ -127,7 +128,7 @@ def test_best_in_text():
 def test_components(spark):
     prepare(spark)
     r = random.Random(5)
-    links = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(50)]
+    links = [(r.randrange(200), r.randrange(200)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(50)]
     parent = {}
     for a, b in links:
         for x in (a, b):
@@ -146,40 +147,84 @@ def test_components(spark):
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in linked)
 
 
-def aligned_classes(rows):
-    """As brute_classes, by alignment of all pairs, for more rows of distinct doc_ids."""
+def like_pairs(rows):
+    """All pairs of doc_ids whose texts' alignment shows a similarity of 0.8 or more."""
     words = [(d, neardup.normal_words(t)) for d, t in rows]
     known = {}
     ids = [np.array([known.setdefault(x, len(known)) for x in w]) for _, w in words]
-    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if 5 * abs(len(ids[i]) - len(ids[j])) <= max(len(ids[i]), len(ids[j]))]
+    counts = np.zeros((len(ids), 512), dtype=np.int16)
+    for i, x in enumerate(ids):
+        np.add.at(counts[i], x % 512, 1)
+    sizes, pairs = counts.sum(axis=1), []
+    for i in range(len(ids)):
+        common, longer = np.minimum(counts[:i], counts[i]).sum(axis=1), np.maximum(sizes[:i], sizes[i])
+        pairs += [(i, j) for j in np.flatnonzero(5 * (longer - common) <= longer).tolist()]
     good = alignment.within([(ids[i], ids[j]) for i, j in pairs], [max(len(ids[i]), len(ids[j])) // 5 for i, j in pairs])
-    label = list(range(len(ids)))
-    for (i, j), ok in zip(pairs, good):
-        if ok and label[i] != label[j]:
+    return [(rows[i][0], rows[j][0]) for (i, j), ok in zip(pairs, good) if ok]
+
+
+def labels_of(rows, pairs):
+    label = {d: d for d, _ in rows}
+    for i, j in pairs:
+        if label[i] != label[j]:
             old, new = max(label[i], label[j]), min(label[i], label[j])
-            label = [new if x == old else x for x in label]
-    least = {}
-    for (d, _), x in zip(words, label):
-        least[x] = min(least.get(x, d), d)
-    return sorted((d, least[x]) for (d, _), x in zip(words, label))
+            label = {d: new if x == old else x for d, x in label.items()}
+    return label
 
 
-def test_many_edits_equal_all_pairs(spark):
+def aligned_classes(rows):
+    """As brute_classes, by alignment of all pairs, for more rows of distinct doc_ids."""
+    return sorted(labels_of(rows, like_pairs(rows)).items())
+
+
+def recall(spark, rows):
+    """(share of the like pairs, found by aligning all pairs, whose texts are in one class; whether some class joins what all pairs don't; like pairs)."""
     prepare(spark)
+    pairs = like_pairs(rows)
+    want = labels_of(rows, pairs)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return sum(got[x] == got[y] for x, y in pairs) / len(pairs), any(want[d] != want[c] for d, c in got.items()), len(pairs)
+
+
+def changed(r, words, share, tag):
+    """Words of which exactly that share, at random places, are others."""
+    places = set(r.sample(range(len(words)), int(share * len(words) + 1e-9)))
+    return [f"{tag}x{k}" if k in places else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("share, least", [(0.2, 0.9), (0.18, 0.94), (0.15, 0.99)])
+def test_recall_of_isolated_pairs(spark, share, least):
     r = random.Random(6)
     rows = []
-    for i in range(160):
-        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([20, 50, 63, 64, 100, 130, 260, 600]))]
-        share = r.choice([0.1, 0.15, 0.19])
-        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(f"n{r.randrange(10**6)}" if r.random() < share else w for w in base))]
-    # every fifth word changed: the least like pairs, without common shingles of five words
-    for i in range(30):
-        base = [f"v{r.randrange(5000)}" for _ in range(r.choice([25, 60, 70, 200, 900]))]
-        rows += [(1000 + 2 * i, " ".join(base)), (1001 + 2 * i, " ".join(f"m{i}x{k}" if k % 5 == 4 else w for k, w in enumerate(base)))]
-    want = aligned_classes(rows)
-    got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert sum(d != c for d, c in want) > 120
-    assert got == want
+    for i in range(200):
+        base = [f"w{r.randrange(5000)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(changed(r, base, share, f"c{i}")))]
+    found, wrong, n = recall(spark, rows)
+    assert n >= 200 and not wrong and found >= least
+
+
+def test_recall_of_edits_of_all_kinds(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(200):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([20, 40, 63, 64, 100, 130, 260, 600]))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(edited(r, base, r.choice([0.1, 0.15, 0.18]))))]
+    found, wrong, n = recall(spark, rows)
+    assert n > 150 and not wrong and found >= 0.95
+
+
+@pytest.mark.parametrize("own_only, share", [(False, 0.2), (False, 0.15), (True, 0.2), (True, 0.12)])
+def test_recall_with_a_shared_template(spark, own_only, share):
+    """200 pairs that share a template of 120 of their 200 words; edits anywhere, or only in the 80 words of their own."""
+    r = random.Random(10)
+    template, rows = [f"t{k}" for k in range(120)], []
+    for i in range(200):
+        own = [f"w{r.randrange(5000)}" for _ in range(80)]
+        one = own[:40] + template + own[40:]
+        other = changed(r, own, share * 200 / 80, f"c{i}") if own_only else None
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other[:40] + template + other[40:] if own_only else changed(r, one, share, f"c{i}")))]
+    found, wrong, n = recall(spark, rows)
+    assert n >= 200 and not wrong and found >= 0.9
 
 
 def test_short_texts_equal_all_pairs(spark):
@@ -197,7 +242,8 @@ def test_short_texts_equal_all_pairs(spark):
     want = aligned_classes(rows)
     got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert sum(d != c for d, c in want) > 100
-    assert got == want
+    # 24 samples of two-word shingles: of some hundred pairs that a changed word leaves with the least in common a few are missed
+    assert sum(x != y for x, y in zip(got, want)) <= 0.05 * len(want)
 
 
 def test_passage_shared_by_many_texts(spark):
