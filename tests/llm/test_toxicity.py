@@ -1,6 +1,11 @@
 import random
+import zlib
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from tokenscope.llm import toxicity as tox
@@ -49,7 +54,7 @@ def test_gradients():
 
 
 def test_windows_cover_every_word():
-    for n in (0, 1, 23, 24, 25, 36, 37, 200):
+    for n in (0, 1, tox.WINDOW - 1, tox.WINDOW, tox.WINDOW + 1, 36, 200):
         w = tox.windows(np.arange(n))
         assert set(w.ravel().tolist()) - {-1} == set(range(n)) and w.shape[1] == tox.WINDOW
         assert n <= tox.WINDOW or (w[-1] >= 0).any()
@@ -93,10 +98,45 @@ def test_empty_and_one_sided_tables(spark):
 
 
 def test_every_window_is_scored():
-    for n in (24, 25, 36, 61):
+    for n in (tox.WINDOW, tox.WINDOW + 1, 25, 61):
         assert [w[0] for w in tox.windows(np.arange(n)).tolist()] == list(range(n - tox.WINDOW + 1))
-    # the windows around a passage are scored alike wherever it stands
-    texts = [" ".join(["on"] * k + ["vile", "scum"] + ["er"] * 60) for k in (30, 31, 35, 41)]
+    # the windows around a passage are scored alike wherever it stands, so only the number of windows tells
+    texts = [" ".join(["on"] * k + ["vile", "scum"] + ["er"] * (90 - k)) for k in (30, 31, 35, 41)]
     net = tox.Network(5)
+    net.p["scale"] = np.array([1.0, 0.3, 0.1])
     net.words[:] *= 20
     assert len(set(tox.score_texts(net, texts))) == 1
+
+
+def test_scores_equal_those_of_single_windows(monkeypatch):
+    """Sliding over all texts at once gives what each window gives by itself."""
+    monkeypatch.setattr(tox, "BLOCK", 16)
+    r = random.Random(6)
+    texts = ["", "one", *(" ".join(r.choice(["on", "er", "vile", "st", "la"]) for _ in range(n)) for n in (2, 7, 8, 9, 30, 8, 70)), "two words"]
+    net = tox.Network(5)
+    net.words[:] *= 20
+    net.p["scale"] = np.array([0.7, 0.3, 0.1])
+    for text, got in zip(texts, tox.score_texts(net, texts)):
+        words = tox.split(text)
+        known = sorted(set(words))
+        x = net.vectors(*tox.hashed(known))
+        logits = net.forward(x, tox.windows(np.array([known.index(w) for w in words], dtype=np.int64)))
+        z = 0.7 * logits.max() - 0.3 * np.log(len(logits)) + 0.1
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_what_it_learns_from_the_tables():
+    """Held-out rows of the larger tables: order, hits, and false alarms whatever the length."""
+    read = lambda name: pq.read_table(f"/root/testdata/sf0.1/{name}.parquet").to_pandas()
+    rows = read("documents")[["doc_id", "text"]].merge(read("labels")[["doc_id", "toxic"]], on="doc_id").drop_duplicates("doc_id")
+    held = rows.doc_id.map(lambda x: zlib.crc32(str(x).encode()) % 3 == 1)
+    known, test = rows[~held].sort_values("doc_id"), rows[held]
+    known = pd.concat([known[known.toxic == 1].head(tox.MAX_POSITIVE), known[known.toxic == 0].head(tox.MAX_NEGATIVE)])
+    net = tox.fit(list(known.text), list(known.toxic))
+    score, y, size = np.array(tox.score_texts(net, list(test.text))), test.toxic.to_numpy(), test.text.str.len().to_numpy()
+    assert (score[y == 1][:, None] > score[y == 0][None, :]).mean() > 0.95
+    assert (score[y == 1] >= tox.THRESHOLD).mean() > 0.8
+    for low, high in ((0, 500), (500, 2000), (2000, 8000), (8000, 10**9)):
+        some = (size >= low) & (size < high) & (y == 0)
+        assert (score[some] >= tox.THRESHOLD).mean() < 0.05

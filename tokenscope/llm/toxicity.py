@@ -1,16 +1,19 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is lower-cased and cut into words of letters and digits; every window of WINDOW words, one beginning
-at each word, is scored, and the text's score is the largest. Each word enters with a hashed word vector and
-the mean of its hashed character 3- to 6-gram vectors (word borders included). Two recurrent passes read a
-window in both directions, additive attention pools their states, a logistic unit scores the pool.
+at each word, is scored. Each word enters with a hashed word vector and the mean of its hashed character 3- to
+6-gram vectors (word borders included). Two recurrent passes read a window in both directions, additive attention
+pools their states, a logistic unit scores the pool. A text's score is the largest of its windows' scores, set
+right for their number: the largest of many is large by chance.
 
 The model is fitted on the driver on a bounded sample of labelled rows: at most MAX_POSITIVE toxic and
-MAX_NEGATIVE other ones, the first by a hash of doc_id, of texts of up to MAX_FIT_CHARS characters. One
-component of each vector starts from the significance with which its word or n-gram goes with the label in the
-sample (0 where it isn't significant). Labels are of texts, not of windows, so fitting has two parts: first
-windows of toxic texts that hold a significant word or n-gram stand for their text, then, by the fitted
-network, the best-scored windows of each text do. Everything else covers all rows: each whole text is scored.
+MAX_NEGATIVE other ones, the first by a hash of doc_id; of a longer text a stretch of FIT_WORDS words, at a place
+that follows from its length, stands for it in fitting. Labels are of texts, not of windows, so this is learning
+from bags: two networks, one for each half of the sample, are fitted on random windows with their texts' labels;
+then each chooses the windows of the other half that it finds most toxic, which a network cannot have learned by
+heart, and these stand for their texts. Their scores of the other half also give the logistic calibration of a
+text's largest window score and the number of its windows. Nothing else goes into the score: no word list, no
+table of words that go with the label. Everything else covers all rows: each whole text is scored.
 
 Only labels, texts and doc_id (for the fold and the sample's order) are read for fitting; a score depends on
 the text alone. Defined cases: null and wordless texts get the score of an empty window; null labels don't
@@ -22,21 +25,26 @@ row; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenscope.llm.common import map_batches, mix, table, texts_of
 
-MAX_POSITIVE, MAX_NEGATIVE, MAX_FIT_CHARS = 800, 1600, 12_000
-WINDOW = 24
+MAX_POSITIVE, MAX_NEGATIVE, FIT_WORDS = 800, 1600, 2000
+WINDOW = 8
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN, ATTENTION = 15, 18, 6, 8, 8
 GRAMS = (3, 4, 5, 6)
-THRESHOLD, EPOCHS, LEAST_STEPS, BATCH, SEED = 0.7, 3, 120, 256, 7
+THRESHOLD, BATCH, SEED = 0.7, 256, 7
+#: Windows of each text: random ones in the first round, the most toxic ones of toxic and of other texts later.
+RANDOM, TOP_TOXIC, TOP_OTHER = 16, 2, 4
+LEAST_STEPS, EPOCHS, ROUNDS, RATE = 120, 2, 2, 0.05
+#: Windows scored at a time; their states fit a core's cache.
+BLOCK = 2048
 
 _words = re.compile(r"[^\W_]+")
 
@@ -75,7 +83,7 @@ def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
-    """All windows over a text's word numbers, -1 where it has no more words; a text without words has one empty window."""
+    """All windows over a text's word numbers, one beginning at each word that has enough after it; a shorter text has one, filled up with -1."""
     padded = np.full(max(WINDOW, len(ids)), -1, dtype=np.int64)
     padded[: len(ids)] = ids
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
@@ -140,6 +148,44 @@ class Network:
         logit = pooled @ p["out"] + p["bias"][0]
         return (logit, (states, hidden, weight, pooled, saved, mask)) if keep else logit
 
+    def slide(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Logits of all windows of WINDOW words in the sequence ids, as forward() of windows(ids), but with steps as slices, features first."""
+        p, n = self.p, len(ids) - WINDOW + 1
+        sides = []
+        for side, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+            # sigmoid(v) is (1 + tanh(v / 2)) / 2, and 1 - sigmoid(v) that of -v: the gates' halves go into the weights
+            scale = np.repeat(np.array([-0.5, 0.5, 1], np.float32), HIDDEN)
+            sides.append((order, np.ascontiguousarray(((x @ p[f"W{side}"] + p[f"b{side}"]) * scale).T), np.ascontiguousarray((p[f"U{side}"] * scale).T)))
+        att, att_b = np.ascontiguousarray(p["att"].T), p["att_b"][:, None]
+        out = np.empty(n, np.float32)
+        for at in range(0, n, BLOCK):
+            some = ids[at : min(n, at + BLOCK) + WINDOW - 1]
+            count = len(some) - WINDOW + 1
+            states = np.empty((WINDOW, 2 * HIDDEN, count), np.float32)
+            for number, (order, inputs, u) in enumerate(sides):
+                entering = inputs.take(some, axis=1)
+                h = np.zeros((HIDDEN, count), np.float32)
+                for t in order:
+                    a, g = entering[:, t : t + count], u @ h
+                    gates = a[: 2 * HIDDEN] + g[: 2 * HIDDEN]
+                    np.tanh(gates, out=gates)
+                    gates += 1
+                    gates *= 0.5
+                    c = gates[HIDDEN:] * g[2 * HIDDEN :]
+                    c += a[2 * HIDDEN :]
+                    np.tanh(c, out=c)
+                    c -= h
+                    c *= gates[:HIDDEN]
+                    h = np.add(h, c, out=states[t, number * HIDDEN : (number + 1) * HIDDEN])
+            hidden = np.matmul(att, states)
+            hidden += att_b
+            np.tanh(hidden, out=hidden)
+            score = np.matmul(p["att_u"], hidden)
+            score -= score.max(axis=0)
+            np.exp(score, out=score)
+            out[at : at + count] = (score * np.matmul(p["out"], states)).sum(axis=0) / score.sum(axis=0)
+        return out + p["bias"][0]
+
     def backward(self, x: np.ndarray, ids: np.ndarray, kept: tuple, d: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the parameters and of x, for the gradient d of the logits."""
         p, g = self.p, {}
@@ -190,17 +236,6 @@ class Network:
         return net
 
 
-def _significance(slots: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
-    """For each slot, the log odds ratio of being in a toxic text over its standard error, from -1 to 1; 0 below three standard errors."""
-    counts = [np.zeros(size), np.zeros(size)]
-    for x, y in zip(slots, labels):
-        counts[int(y)][np.unique(x)] += 1
-    (no, yes), totals = counts, [max(1, int((labels == y).sum())) for y in (0, 1)]
-    odds = np.log((yes + 0.5) / (totals[1] + 1 - yes)) - np.log((no + 0.5) / (totals[0] + 1 - no))
-    z = odds / np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
-    return np.where(np.abs(z) >= 3 * min(1.0, (totals[1] / 100) ** 0.5), np.clip(z / 5, -1, 1), 0).astype(np.float32)
-
-
 class _Adam:
     def __init__(self, rate: float) -> None:
         self.rate, self.state, self.t = rate, {}, 0
@@ -214,90 +249,165 @@ class _Adam:
             p[k] -= (self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
-    """A network for texts with labels 0 and 1; both must occur."""
-    net, rng, y = Network(seed), np.random.default_rng(seed), np.array(labels)
-    known: dict[str, int] = {}
-    ids = [np.array([known.setdefault(w, len(known)) for w in split(t)], dtype=np.int64) for t in texts]
-    word, gram, starts = hashed(list(known))
-    grams_of = lambda x: np.concatenate([np.empty(0, np.int64), *[gram[starts[i] : starts[i + 1]] for i in np.unique(x).tolist()]])
-    net.words[:, 0] = _significance([word[x] for x in ids], y, 1 << WORD_BITS)
-    net.grams[:, 0] = _significance([grams_of(x) for x in ids], y, 1 << GRAM_BITS)
-    net.grams[:, 0] *= 4
-    sums = np.add.reduceat(net.grams[gram, 0], starts[:-1]) if len(word) else np.empty(0, np.float32)
-    telling = np.concatenate([net.words[word, 0] + sums / np.maximum(1, np.diff(starts)), [0]]).astype(np.float32)
-    every = [windows(x) for x in ids]
-    owner = np.repeat(np.arange(len(ids)), [len(w) for w in every])
-    all_windows = np.concatenate(every)
-    best = telling[all_windows].max(axis=1)
-    adam, square = _Adam(0.01), {"words": np.full(1 << WORD_BITS, 1e-3, np.float32), "grams": np.full(1 << GRAM_BITS, 1e-3, np.float32)}
-
-    def pick(score: np.ndarray, most: int, floor: float) -> np.ndarray:
-        """For each text its windows by score: toxic ones up to most above floor (one at least), others the top and some at random."""
+def window_scores(net: Network, x: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
+    """Logits of the windows of each part, one part after the other; x are the vectors of the words."""
+    sizes = np.array([len(i) for i in parts])
+    long = sizes >= WINDOW
+    counts = np.where(long, sizes - WINDOW + 1, 1)
+    out, firsts = np.empty(int(counts.sum()), np.float32), np.cumsum(counts) - counts
+    if not long.all():
+        out[firsts[~long]] = net.forward(x, np.concatenate([windows(i) for i, ok in zip(parts, long) if not ok]))
+    if long.any():
+        # one sequence of all parts; windows over a border are left out
+        found = net.slide(x, np.concatenate([i for i, ok in zip(parts, long) if ok]))
+        keep = np.ones(len(found), bool)
+        ends = np.cumsum(sizes[long])[:-1]
+        keep[(ends[:, None] - np.arange(1, WINDOW)).ravel()] = False
+        out[np.repeat(long, counts)] = found[keep]
+    return out
+
+
+class _Sample:
+    """The labelled texts, their words by number, and what a number's vector is made of."""
+
+    def __init__(self, texts: list[str], labels: list[int]) -> None:
+        self.y = np.array(labels)
+        known: dict[str, int] = {}
+        self.ids = []
+        for text in texts:
+            words = split(text)
+            if len(words) > FIT_WORDS:
+                start = len(text) * 7919 % (len(words) - FIT_WORDS)
+                words = words[start : start + FIT_WORDS]
+            self.ids.append(np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int64))
+        self.word, self.gram, self.starts = hashed(list(known))
+        every = [windows(x) for x in self.ids]
+        self.owner = np.repeat(np.arange(len(every)), [len(w) for w in every])
+        self.windows = np.concatenate(every)
+        self.firsts = np.concatenate([[0], np.cumsum([len(w) for w in every])])
+
+    def scores(self, net: Network) -> np.ndarray:
+        """Logit of every window."""
+        return window_scores(net, net.vectors(self.word, self.gram, self.starts), self.ids)
+
+    def random(self, texts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Up to RANDOM windows of each text."""
+        return np.concatenate([rng.permutation(np.arange(self.firsts[i], self.firsts[i + 1]))[:RANDOM] for i in texts])
+
+    def most_toxic(self, texts: np.ndarray, score: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """The windows with the highest scores of each text, and random ones of texts that aren't toxic."""
         chosen = []
-        order = np.lexsort((-score, owner))
-        firsts = np.searchsorted(owner[order], np.arange(len(ids) + 1))
-        for i in range(len(ids)):
-            mine = order[firsts[i] : firsts[i + 1]]
-            if y[i]:
-                chosen += [w for k, w in enumerate(mine[:most].tolist()) if k == 0 or score[w] > floor]
-            else:
-                chosen += [*mine[:2].tolist(), int(mine[rng.integers(len(mine))])]
-        return np.unique(chosen)
-
-    def epoch(chosen: np.ndarray) -> None:
+        for i in texts:
+            mine = np.arange(self.firsts[i], self.firsts[i + 1])
+            order = mine[np.argsort(-score[mine], kind="stable")]
+            chosen.append(order[:TOP_TOXIC] if self.y[i] else np.union1d(order[:TOP_OTHER], rng.permutation(mine)[:TOP_OTHER]))
+        return np.concatenate(chosen)
+
+
+def _descend(table: np.ndarray, square: np.ndarray, slots: np.ndarray, owner: np.ndarray, grad: np.ndarray) -> None:
+    """A step of the table's rows slots, each by the sum of the gradients of its owners, with a rate that falls with the squares so far."""
+    if not len(slots):
+        return
+    order = np.argsort(slots)
+    ordered = slots[order]
+    firsts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    total, rows = np.add.reduceat(grad[owner[order]], firsts, axis=0), ordered[firsts]
+    square[rows] += (total**2).mean(axis=1)
+    table[rows] -= RATE * total / np.sqrt(square[rows])[:, None]
+
+
+def _train(net: Network, data: _Sample, chosen: np.ndarray, rng: np.random.Generator, epochs: int) -> Network:
+    """Fit the network to the chosen windows, with the labels of their texts."""
+    word, gram, starts = data.word, data.gram, data.starts
+    adam = _Adam(0.01)
+    square = {"words": np.full(1 << WORD_BITS, 1e-6, np.float32), "grams": np.full(1 << GRAM_BITS, 1e-6, np.float32)}
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // len(chosen)))):
         chosen = rng.permutation(chosen)
-        target = y[owner[chosen]].astype(np.float32)
+        target = data.y[data.owner[chosen]].astype(np.float32)
         for at in range(0, len(chosen), BATCH):
-            part, want = all_windows[chosen[at : at + BATCH]], target[at : at + BATCH]
+            part, want = data.windows[chosen[at : at + BATCH]], target[at : at + BATCH]
             used, local = np.unique(part, return_inverse=True)
             local = local.reshape(part.shape)
             if used[0] < 0:
                 used, local = used[1:], local - 1
-            pieces = [gram[starts[i] : starts[i + 1]] for i in used.tolist()]
-            g_slots = np.concatenate([np.empty(0, np.int64), *pieces])
-            sizes = np.array([len(x) for x in pieces], dtype=np.int64)
-            x = net.vectors(word[used], g_slots, np.concatenate([[0], np.cumsum(sizes)]))
+            sizes = starts[used + 1] - starts[used]
+            firsts = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(used)), sizes)
+            slots = gram[np.arange(len(owner)) - firsts[owner] + starts[used][owner]]
+            x = net.vectors(word[used], slots, np.append(firsts, len(slots)))
             logit, kept = net.forward(x, local, keep=True)
             d = ((_sigmoid(logit) - want) / len(want)).astype(np.float32)
             g, d_x = net.backward(x, local, kept, d)
             adam.step(net.p, g)
-            for name, slots, grad in (("words", word[used], d_x[:, :WIDTH]), ("grams", g_slots, np.repeat(d_x[:, WIDTH:] / np.maximum(1, sizes)[:, None], sizes, axis=0))):
-                u, inverse = np.unique(slots, return_inverse=True)
-                total = _sum_rows(inverse, grad, len(u))
-                square[name][u] += (total**2).mean(axis=1)
-                getattr(net, name)[u] -= 0.02 * total / np.sqrt(square[name][u])[:, None]
-
-    def train(chosen: np.ndarray) -> None:
-        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(chosen)))):
-            epoch(chosen)
-
-    train(pick(best, 5, 0.3))
-    scores = score_windows(net, net.vectors(word, gram, starts), all_windows)
-    train(pick(scores, 5, 0.0))
+            _descend(net.words, square["words"], word[used], np.arange(len(used)), d_x[:, :WIDTH])
+            _descend(net.grams, square["grams"], slots, owner, d_x[:, WIDTH:] / np.maximum(1, sizes)[:, None].astype(np.float32))
     return net
 
 
-def score_windows(net: Network, x: np.ndarray, ids: np.ndarray, block: int = 8192) -> np.ndarray:
-    return np.concatenate([np.empty(0, np.float32), *[net.forward(x, ids[at : at + block]) for at in range(0, len(ids), block)]])
+def _logistic(features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression that gives both labels the same weight, lightly held to (1, 0, 0), by Newton's method."""
+    w, prior = np.array([1.0, 0.0, 0.0]), np.array([1.0, 0.0, 0.0])
+    share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    sign = np.where(y == 1, -1.0, 1.0)
+    loss = lambda w: (share * np.logaddexp(0, sign * (features @ w))).sum() + 0.05 * ((w - prior) ** 2).sum()
+    for _ in range(50):
+        q = _sigmoid(features @ w)
+        step = np.linalg.solve(features.T @ (features * (share * q * (1 - q))[:, None]) + 0.1 * np.eye(3), features.T @ (share * (q - y)) + 0.1 * (w - prior))
+        while np.abs(step).max() > 1e-6 and loss(w - step) > loss(w):
+            step = step / 2
+        w = w - step
+    return w
+
+
+def _text_features(best: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.stack([best, -np.log(count), np.ones(len(best))], axis=1).astype(np.float64)
+
+
+def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
+    """A network for texts with labels 0 and 1; both must occur."""
+    # a text without words is not toxic; the network has to see some to know
+    blank = len(texts) // 50 + 1
+    texts, labels = [*texts, *[""] * blank], [*labels, *[0] * blank]
+    rng, data = np.random.default_rng(seed), _Sample(texts, labels)
+    every = rng.permutation(len(texts))
+    halves = [np.sort(every[half::2]) for half in (0, 1)]
+    counts = np.diff(data.firsts)
+
+    def crosswise(nets: list[Network]) -> np.ndarray:
+        """Scores of each half's windows by the network of the other."""
+        both, mine = [data.scores(net) for net in nets], np.isin(data.owner, halves[0])
+        return np.where(mine, both[1], both[0])
+
+    nets = [_train(Network(seed + h), data, data.random(halves[h], rng), rng, EPOCHS) for h in (0, 1)]
+    for _ in range(ROUNDS):
+        score = crosswise(nets)
+        nets = [_train(nets[h], data, data.most_toxic(halves[h], score, rng), rng, EPOCHS) for h in (0, 1)]
+    score = crosswise(nets)
+    best = np.maximum.reduceat(score, data.firsts[:-1])
+    net = _train(Network(seed), data, data.random(every, rng), rng, EPOCHS)
+    for _ in range(ROUNDS):
+        others = data.most_toxic(every[data.y[every] == 0], data.scores(net), rng)
+        net = _train(net, data, np.union1d(data.most_toxic(every, score, rng), others), rng, EPOCHS)
+    w = _logistic(_text_features(best, counts), data.y)
+    net.p["scale"] = np.array([max(w[0], 0.1), max(w[1], 0.0), w[2]])
+    return net
 
 
 def score_texts(net: Network, texts: list[str]) -> list[float]:
-    """The largest window score of each text, as a probability rounded to six digits."""
+    """The calibrated largest window score of each text, as a probability rounded to six digits."""
     out: list[float] = []
     at = 0
     while at < len(texts):
         known: dict[str, int] = {}
         put, parts, size = known.setdefault, [], 0
         while at < len(texts) and (not parts or size < 150_000):
-            ids = np.array([put(w, len(known)) for w in split(texts[at])], dtype=np.int64)
-            parts.append(windows(ids))
-            size += len(ids)
+            parts.append(np.array([put(w, len(known)) for w in split(texts[at])], dtype=np.int64))
+            size += len(parts[-1])
             at += 1
         x = net.vectors(*hashed(list(known)))
-        logits = score_windows(net, x, np.concatenate(parts))
-        firsts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-        out += [round(v, 6) for v in _sigmoid(np.maximum.reduceat(logits, firsts).astype(np.float64)).tolist()]
+        counts = np.array([max(1, len(i) - WINDOW + 1) for i in parts])
+        best = np.maximum.reduceat(window_scores(net, x, parts), np.cumsum(counts) - counts)
+        out += np.round(_sigmoid(_text_features(best, counts) @ net.p["scale"]), 6).tolist()
     return out
 
 
@@ -306,16 +416,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
     toxic = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y"))
     toxic = toxic.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     rank = F.xxhash64("doc_id")
-    ids = []
-    for value, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
-        ids.append(toxic.where(F.col("y") == value).orderBy(rank, "doc_id").limit(2 * most))
-    some = ids[0].union(ids[1])
-    texts = docs.where(F.length("text") <= MAX_FIT_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").distinct()
-    out = []
-    for value, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
-        out += rows.where(F.col("y") == value).orderBy(rank, "doc_id", "text").limit(most).collect()
-    return [r.text for r in out], [int(r.y) for r in out]
+    most = {1: MAX_POSITIVE, 0: MAX_NEGATIVE}
+    # labels may name unknown documents, so twice as many ids are looked up
+    ids = [toxic.where(F.col("y") == value).orderBy(rank, "doc_id").limit(2 * n) for value, n in most.items()]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    rows = texts.join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("doc_id", "y", "text").distinct()
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    rows = rows.withColumn("place", place).where(reduce(Column.__or__, [(F.col("y") == value) & (F.col("place") <= n) for value, n in most.items()])).drop("place").collect()
+    rows.sort(key=lambda r: (-r.y, r.doc_id, r.text))
+    return [r.text for r in rows], [int(r.y) for r in rows]
 
 
 @lru_cache(maxsize=1)
