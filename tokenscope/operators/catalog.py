@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +29,28 @@ def resolve(asked: DataFrame, tools: DataFrame) -> DataFrame:
     return asked.join(tools, "server").where(fits).groupBy("server", "asked").agg(F.min("tool").alias("tool"))
 
 
-def match_hosts(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Provider of a URL's host: the first pattern that is the host or a parent domain of it, else other. Patterns are a small table."""
-    host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-    rows = urls.select("page_id", host.alias("h"))
-    fits = (F.col("h") == F.col("host")) | F.endswith(F.col("h"), F.concat(F.lit("."), "host"))
-    hits = rows.join(F.broadcast(patterns), fits, "left")
-    return hits.groupBy("page_id", F.col("h").alias("host")).agg(F.coalesce(F.min_by("provider", "ord"), F.lit("other")).alias("provider"))
+def first_of(cases: list[tuple[Column, str]], default: str) -> Column:
+    """The value of the first condition that holds: a lookup in a small ordered table that keeps every row, without join or grouping."""
+    return F.coalesce(*[F.when(fits, F.lit(value)) for fits, value in cases], F.lit(default))
+
+
+def match_hosts(urls: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
+    """Provider of a URL's host, for every row: of the (provider, host) patterns the first that is the host or a parent domain of it, else other."""
+    rows = urls.select("page_id", F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit(""))).alias("host"))
+    fits = lambda p: (F.col("host") == p) | F.endswith(F.col("host"), F.lit(f".{p}"))
+    return rows.withColumn("provider", first_of([(fits(p), provider) for provider, p in patterns], "other"))
+
+
+def failover(asked: DataFrame, peers: DataFrame) -> DataFrame:
+    """asked with the peer that serves from its start: the peer at that position if it is online, else the next online one in turn, around the end.
+
+    The table from position to serving peer is made once, of the peers alone, and joined by an equal position.
+    """
+    around = Window.orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    first = F.first("live", ignorenulls=True)
+    live = peers.withColumn("live", F.when(F.col("online"), F.col("peer")))
+    serving = live.select(F.col("pos").alias("start"), F.coalesce(first.over(around), first.over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("peer"))
+    return asked.join(serving, "start").drop("start")
 
 
 def with_all(servers: DataFrame, wanted: list[str]) -> DataFrame:
@@ -55,13 +71,6 @@ def best_server(servers: DataFrame, wanted: list[str], max_load: float = 0, tran
     return fit.select("server", score.alias("score")).orderBy(F.desc("score"), "server").limit(1)
 
 
-def namespaces(region: DataFrame, nation: DataFrame, supplier: DataFrame) -> DataFrame:
-    """full_name, parent, server rows of a two-level tree."""
-    roots = region.select(F.col("r_name").alias("full_name"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("server"))
-    joined = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    return roots.union(joined.select(F.concat("r_name", F.lit("."), "n_name"), "r_name", "s_suppkey"))
-
-
 def flatten(tree: DataFrame) -> DataFrame:
     """full_name, parent, depth, children of every namespace, by a recursive query."""
     nodes = tree.select("full_name", "parent").distinct()
@@ -109,10 +118,39 @@ def scored_search(tools: DataFrame, query: str) -> DataFrame:
     return tools.withColumn("score", score).where("score is not null").withColumn("match_on", F.when(F.col("score") == 100, "exact").otherwise("contains"))
 
 
-def hints(messages: DataFrame, table: DataFrame) -> DataFrame:
-    """The action of the first pattern that a message holds, else none. Patterns are a small table."""
-    hits = messages.join(F.broadcast(table), F.contains(F.lower("message"), F.col("pattern")), "left")
-    return hits.groupBy("event_id").agg(F.coalesce(F.min_by("action", "ord"), F.lit("none")).alias("action"))
+# What an error message holds and the action that is advised, in order.
+HINTS = (
+    ("repository", "check_repo"),
+    ("not running", "restart_server"),
+    ("not healthy", "restart_server"),
+    ("server not available", "check_logs"),
+    ("signal: killed", "check_logs"),
+    ("command not found", "check_dependencies"),
+    ("failed", "retry"),
+    ("not authenticated", "check_auth"),
+    ("forbidden", "check_permissions"),
+    ("not found", "verify_resource"),
+    ("rate limited", "wait_retry"),
+    ("timeout", "retry"),
+    ("invalid params", "check_params"),
+    ("connection refused", "check_server"),
+    ("tool not found", "list_tools"),
+)
+
+
+def hint(message: Column, table: Sequence[tuple[str, str]] = HINTS) -> Column:
+    """The action of the longest pattern that a message holds, case folded, of equals the first; none where there is none.
+
+    The longest, so that "tool not found" is not taken for "not found".
+    """
+    ranked = sorted(table, key=lambda x: -len(x[0]))
+    return first_of([(F.contains(F.lower(message), F.lit(p)), action) for p, action in ranked], "none")
+
+
+def with_context(message: Column, server: Column, tool: Column) -> Column:
+    """A message with the server and tool that it came from, as far as they are known."""
+    line = lambda name, c: F.when(c != "", F.concat(F.lit(f"\n  {name}: "), c))
+    return F.when((server != "") | (tool != ""), F.concat_ws("", message, F.lit("\n\n📋 Context:"), line("Server", server), line("Tool", tool))).otherwise(message)
 
 
 def override(layers: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
@@ -149,7 +187,21 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "ord int, name string, type string, nullable boolean")
 
 
-def config_errors(servers: DataFrame) -> DataFrame:
-    """One row per broken rule of a server's settings."""
-    found = F.array_compact(F.array(F.when((F.col("transport") == "http") & (F.col("requests") % 2 == 0), "url required"), F.when(F.col("load") > 0.8, "load above 0.8")))
-    return servers.select("server", F.explode(found).alias("error"))
+def config_error(name: Column, transport: Column, stdio: Column, http: Column) -> Column:
+    """(field, message) of the first rule that a server's settings break, else null; stdio has a command, http has a url, and each is null where it isn't set."""
+    fault = lambda field, *message: F.struct(F.lit(field).alias("field"), F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message]).alias("message"))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    url = http["url"]
+    remote = (
+        F.when(http.isNull(), fault("http", "http configuration is required for ", transport, " transport"))
+        .when(blank(url), fault("url", "url is required for http/sse transport"))
+        .when(~F.startswith(url, F.lit("http://")) & ~F.startswith(url, F.lit("https://")), fault("url", "invalid URL format: '", url, "'"))
+    )
+    local = F.when(stdio.isNull(), fault("stdio", "stdio configuration is required for stdio transport")).when(blank(stdio["command"]), fault("command", "command is required for stdio transport"))
+    return (
+        F.when(blank(name), fault("name", "name is required"))
+        .when(blank(transport), fault("transport", "transport type is required"))
+        .when(transport == "stdio", local)
+        .when(transport.isin("http", "sse"), remote)
+        .otherwise(fault("transport", "invalid transport '", transport, "'. Must be stdio, http, or sse"))
+    )

@@ -48,6 +48,16 @@ class TokenBucket:
         return "allow"
 
 
+def month_of(ts: float) -> int:
+    """Months since 0000-01 (UTC) of a number of seconds, by the civil calendar's days."""
+    days = int(ts // 86_400) + 719_468
+    era = days // 146_097
+    doe = days - era * 146_097
+    yoe = (doe - doe // 1460 + doe // 36_524 - doe // 146_096) // 365
+    shifted = (5 * (doe - (365 * yoe + yoe // 4 - yoe // 100)) + 2) // 153
+    return (yoe + era * 400) * 12 + shifted + 2
+
+
 class TeamBudget:
     """A bucket of the daily limit that is also filled at each UTC midnight, and a month's sum of what it let through."""
 
@@ -55,7 +65,7 @@ class TeamBudget:
         self.daily, self.bucket, self.day, self.month, self.used = daily, TokenBucket(daily, 86_400), None, None, 0
 
     def roll(self, ts: float) -> None:
-        day, month = int(ts // 86_400), pd.Timestamp(ts, unit="s").strftime("%Y-%m")
+        day, month = int(ts // 86_400), month_of(ts)
         if day != self.day:
             self.day, self.bucket = day, TokenBucket(self.daily, 86_400)
         if month != self.month:
@@ -76,7 +86,7 @@ class ProjectBudget:
         self.monthly, self.month, self.used = monthly, None, 0
 
     def step(self, ts: float, amount: int = 1) -> str:
-        month = pd.Timestamp(ts, unit="s").strftime("%Y-%m")
+        month = month_of(ts)
         if month != self.month:
             self.month, self.used = month, 0
         if self.monthly > 0 and self.used + amount > self.monthly:
@@ -93,7 +103,7 @@ class TwoLevelBudget:
 
     def step(self, ts: float, amount: int = 1, project: str = "") -> str:
         own = self.projects.setdefault(project, ProjectBudget(self.project_monthly))
-        month = pd.Timestamp(ts, unit="s").strftime("%Y-%m")
+        month = month_of(ts)
         used = own.used if own.month == month else 0
         if self.project_monthly > 0 and used + amount > self.project_monthly:
             return "reject_project"
@@ -128,20 +138,22 @@ class CircuitBreaker:
         return self.state
 
 
-def replay(df: DataFrame, key: str, order: list[str], make: Callable[[object], object], args: list[str], out: list[str], kinds: str) -> DataFrame:
-    """Columns out of df and decision: the result of make(key).step(*args) for each row, in order.
+def replay(df: DataFrame, key: str | list[str], order: list[str], make: Callable[[object], object], args: list[str], out: list[str], kinds: str) -> DataFrame:
+    """Columns out of df and decision: the result of make(key).step(*args) for each row, in order; several key columns make a tuple.
 
     Rows of a key meet in one task, as each decision needs the one before, but they pass one by one.
     """
 
+    keys = [key] if isinstance(key, str) else key
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = object(), None
         for part in parts:
             decisions = []
-            for k, *values in zip(part[key], *(part[a] for a in args)):
+            for k, *values in zip(zip(*(part[c] for c in keys)), *(part[a] for a in args)):
                 if k != now:
-                    now, state = k, make(k)
+                    now, state = k, make(k if len(k) > 1 else k[0])
                 decisions.append(state.step(*values))
             yield part[out].assign(decision=decisions)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{kinds}, decision string")
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{kinds}, decision string")

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenscope.functions import text as fn
 
 
-def bands(spark: SparkSession, rows=fn.BANDS) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, low int, high int, action string")
+def band_action(scored: DataFrame, policy=fn.BANDS) -> DataFrame:
+    """Every row with the action of the first band (least risk, most risk or 0, action) that holds its risk, log where none does."""
+    return scored.withColumn("action", fn.action_of(F.col("risk"), policy))
 
 
-def band_join(scored: DataFrame, policy: DataFrame) -> DataFrame:
-    """action of the first band that holds risk, log where none does; the policy is a handful of rows."""
-    inside = (F.col("risk") >= F.col("low")) & ((F.col("risk") <= F.col("high")) | (F.col("high") == 0))
-    hits = scored.join(F.broadcast(policy), inside, "left")
-    return hits.groupBy(*scored.columns).agg(F.coalesce(F.min_by("action", "ord"), F.lit("log")).alias("action"))
+def quarantine(scored: DataFrame, path: str, batch: int = 0) -> None:
+    """Rows with action quarantine as JSON, in the batch's own folder, with an identifier that follows from the row.
 
-
-def quarantine(scored: DataFrame, path: str) -> None:
-    """Rows with action quarantine as JSON with an identifier of their own; a write that fails fails the job, so nothing passes."""
-    scored.where("action = 'quarantine'").withColumn("quarantine_id", F.expr("uuid()")).write.mode("append").json(path)
+    A batch that is tried again replaces what it wrote; a write that fails fails the job, so nothing passes.
+    """
+    held = scored.where("action = 'quarantine'")
+    rows = held.withColumn("quarantine_id", F.sha2(F.concat_ws("|", F.lit(batch), F.to_json(F.struct(*held.columns))), 256))
+    rows.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def redact_or(text, count, fallback):

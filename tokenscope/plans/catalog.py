@@ -60,7 +60,7 @@ def tier_models(s, d):
 
 
 def provider_match(s, d):
-    return op.match_hosts(table(s, d, "pages").select("page_id", "url"), s.createDataFrame([(i, *p) for i, p in enumerate(PATTERNS)], "ord int, provider string, host string"))
+    return op.match_hosts(table(s, d, "pages"), PATTERNS)
 
 
 def best_server(s, d):
@@ -79,13 +79,21 @@ def unhealthy_servers(s, d):
     return servers(s, d).where(F.col("health").isin("unhealthy", "unknown")).select("server", "health")
 
 
+def namespaces(s, d):
+    """full_name, parent, server rows of a two-level tree."""
+    region, nation, supplier = table(s, d, "region"), table(s, d, "nation"), table(s, d, "supplier")
+    roots = region.select(F.col("r_name").alias("full_name"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("server"))
+    joined = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    return roots.union(joined.select(F.concat("r_name", F.lit("."), "n_name"), "r_name", "s_suppkey"))
+
+
 def namespace_flatten(s, d):
-    return op.flatten(op.namespaces(table(s, d, "region"), table(s, d, "nation"), table(s, d, "supplier")))
+    return op.flatten(namespaces(s, d))
 
 
 def namespace_servers(s, d):
     """Distinct servers of each namespace and of its descendants."""
-    return op.namespace_servers(op.namespaces(table(s, d, "region"), table(s, d, "nation"), table(s, d, "supplier")))
+    return op.namespace_servers(namespaces(s, d))
 
 
 def fuzzy_names(s, d):
@@ -115,13 +123,15 @@ def search_by_server(s, d):
     return op.contains_search(tools(s, d), "tool_1", "tool", "description").groupBy("server").agg(F.count(F.lit(1)).alias("matches"))
 
 
-HINTS = (("rate limit", "wait_retry"), ("timeout", "retry"), ("not found", "verify_resource"), ("error", "check_logs"))
+ENDS = (": Rate Limited", ": TIMEOUT after 3s", " fine", ": Tool not found", ": key Not Found", ": Connection refused", " Failed: 500", ": invalid params", " is not running")
 
 
 def error_hints(s, d):
-    message = F.concat(F.lit("Call "), "event_type", F.element_at(F.array(*map(F.lit, [": Rate Limit hit", ": TIMEOUT after 3s, not found", " fine", ": key Not Found"])), (F.col("event_id") % 4 + 1).cast("int")))
-    rows = table(s, d, "events").select("event_id", message.alias("message"))
-    return op.hints(rows, s.createDataFrame([(i, *h) for i, h in enumerate(HINTS)], "ord int, pattern string, action string"))
+    """Each call's message with its context, and the advised action; every event of the table twice, as a log may repeat itself."""
+    end = F.element_at(F.array(*map(F.lit, ENDS)), (F.col("event_id") % len(ENDS) + 1).cast("int"))
+    rows = table(s, d, "events").select("event_id", F.concat(F.lit("Call "), "event_type", end).alias("message"), F.when(F.col("event_id") % 2 == 0, "srv").otherwise("").alias("server"))
+    rows = rows.union(rows)
+    return rows.select("event_id", op.hint(F.col("message")).alias("action"), op.with_context(F.col("message"), F.col("server"), F.lit("")).alias("message"))
 
 
 def layered_override(s, d):
@@ -183,8 +193,23 @@ def union_sources(s, d):
     return a.unionByName(b, allowMissingColumns=True).groupBy("source", F.coalesce("transport", F.lit("")).alias("transport")).agg(F.count(F.lit(1)).alias("n"))
 
 
+KINDS = ("stdio", "http", "sse", "", "ftp")
+
+
 def config_errors(s, d):
-    return op.config_errors(servers(s, d).select("server", "transport", "load", "requests"))
+    """The first broken rule of each supplier's settings: every 11th has no name, every 7th no command or url, every 5th of the rest an odd url."""
+    k = F.col("s_suppkey")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (k % len(KINDS) + 1).cast("int"))
+    value = lambda good: F.when(k % 7 == 0, "").when(k % 9 == 0, "nowhere").otherwise(good)
+    rows = table(s, d, "supplier").select(
+        k.alias("server"),
+        F.when(k % 11 == 0, "").otherwise(F.col("s_name")).alias("name"),
+        kind.alias("transport"),
+        F.when(k % 13 != 0, F.struct(value(F.lit("npx")).alias("command"))).alias("stdio"),
+        F.when(k % 13 != 0, F.struct(value(F.lit("https://example.com")).alias("url"))).alias("http"),
+    )
+    error = op.config_error(F.col("name"), F.col("transport"), F.col("stdio"), F.col("http"))
+    return rows.select("server", error.alias("e")).where("e is not null").select("server", "e.*")
 
 
 QUERIES = {
@@ -201,7 +226,6 @@ _SERVERS = """(select s_suppkey as server, s_name as name, (['healthy', 'degrade
  s_suppkey & 4 > 0 as l, s_suppkey & 8 > 0 as a, case when s_suppkey % 3 = 0 then 'http' else 'stdio' end as transport, (s_suppkey % 10) / 10.0::double as load, s_suppkey * 37 % 1000 as requests, s_suppkey % 3 as tier from supplier)"""
 _METHODS = """(select event_id, case when event_id % 97 = 0 then repeat('x', 101) when event_id % 89 = 0 then 'nodot'
  else 'brand#' || cast(event_id % 6 * 10 + event_id % 5 + 1 as varchar) || '.tool_' || cast(event_id % 800 as varchar) end as method from events)"""
-_MSG = """(select event_id, 'Call ' || event_type || ([': Rate Limit hit', ': TIMEOUT after 3s, not found', ' fine', ': key Not Found'])[event_id % 4 + 1] as message from events)"""
 _NS = """(select r_name as full_name, null as parent, null::bigint as server from region union all select r_name || '.' || n_name, r_name, s_suppkey from nation join region on n_regionkey = r_regionkey
  left join supplier on s_nationkey = n_nationkey)"""
 
@@ -233,8 +257,10 @@ SQL = {
     "scored_search": f"select p_partkey, case when tool = 'tool_69' then 100 else 50 end as score, case when tool = 'tool_69' then 'exact' else 'contains' end as match_on from {_TOOLS} where contains(tool, 'tool_69')",
     "marketplace_search": f"select p_partkey, tool from {_TOOLS} where contains(tool, '1') or contains(lower(description), '1') order by p_partkey limit 25",
     "search_by_server": f"select server, count(*) as matches from {_TOOLS} where contains(tool, 'tool_1') or contains(lower(description), 'tool_1') group by server",
-    "error_hints": f"""with h(ord, p, action) as (values (0, 'rate limit', 'wait_retry'), (1, 'timeout', 'retry'), (2, 'not found', 'verify_resource'), (3, 'error', 'check_logs'))
- select event_id, coalesce(min_by(action, ord), 'none') as action from {_MSG} m left join h on contains(lower(message), p) group by event_id""",
+    "error_hints": f"""with h(ord, p, action) as (values {', '.join(f"({i}, '{p}', '{a}')" for i, (p, a) in enumerate(op.HINTS))}),
+ m as (select event_id, 'Call ' || event_type || ({list(ENDS)})[event_id % {len(ENDS)} + 1] as message from events),
+ f as (select event_id, message, coalesce((select arg_max(action, length(p) * 100 - ord) from h where contains(lower(message), p)), 'none') as action from m)
+ select event_id, action, case when event_id % 2 = 0 then message || chr(10) || chr(10) || '📋 Context:' || chr(10) || '  Server: srv' else message end as message from f, (values (1), (2)) twice(t)""",
     "layered_override": """select c_mktsegment as key, max_by(c_name, c_custkey) filter (c_custkey % 3 = 0) as a, max_by(c_nationkey, c_custkey) filter (c_custkey % 7 = 0) as b from customer group by 1""",
     "key_glob": "select count(*) as keys, min(c_name) as first from customer where c_name glob 'Customer#*1?'",
     "key_exists": "select count(*) as found from (values (1), (1), (5), (1000000000)) t(k) where k in (select c_custkey from customer)",
@@ -245,5 +271,9 @@ SQL = {
     "access_allowed": "select count(*) as n from part where p_size % 3 <> 2 or p_brand = 'Brand#11'",
     "transports": "select s_suppkey, (['stdio', 'http', 'http', 'sse', 'stdio'])[s_suppkey % 5 + 1] as transport from supplier",
     "union_sources": "select 'supplier' as source, 'stdio' as transport, count(*) as n from supplier union all select 'nation', '', count(*) from nation",
-    "config_errors": f"""select server, 'url required' as error from {_SERVERS} where transport = 'http' and requests % 2 = 0 union all select server, 'load above 0.8' from {_SERVERS} where load > 0.8""",
+    "config_errors": """with t as (select s_suppkey as k, (['stdio', 'http', 'sse', '', 'ftp'])[s_suppkey % 5 + 1] as kind, s_suppkey % 13 = 0 as bare, case when s_suppkey % 7 = 0 then '' when s_suppkey % 9 = 0 then 'nowhere' else 'ok' end as v from supplier)
+ select k as server, split_part(e, '@', 1) as field, split_part(e, '@', 2) as message from (select k, case when k % 11 = 0 then 'name@name is required' when kind = '' then 'transport@transport type is required'
+ when kind = 'ftp' then 'transport@invalid transport ' || chr(39) || 'ftp' || chr(39) || '. Must be stdio, http, or sse' when kind = 'stdio' and bare then 'stdio@stdio configuration is required for stdio transport'
+ when kind = 'stdio' and v = '' then 'command@command is required for stdio transport' when kind = 'stdio' then null when bare then 'http@http configuration is required for ' || kind || ' transport'
+ when v = '' then 'url@url is required for http/sse transport' when v = 'nowhere' then 'url@invalid URL format: ' || chr(39) || v || chr(39) end as e from t) where e is not null""",
 }

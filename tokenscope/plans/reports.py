@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tokenscope.functions import render, scalars
+from tokenscope.operators import catalog
 from tokenscope.plans.catalog import servers, tools
 from tokenscope.plans.scalars import savings_by_server
 from tokenscope.sources.tables import call_log, table
@@ -32,7 +33,7 @@ def markdown_rows(s, d):
 
 
 def escaped_cells(s, d):
-    return table(s, d, "documents").where("source = 'src5'").select("doc_id", F.sha2(render.markdown_cell(F.col("text")), 256).alias("cell"))
+    return table(s, d, "documents").select("doc_id", F.sha2(render.markdown_cell(F.col("text")), 256).alias("cell"))
 
 
 def file_names(s, d):
@@ -89,10 +90,8 @@ def split_names(s, d):
 def federation_routes(s, d):
     """The online peer that serves each tool: the indexed one, or, if it is offline, the next online one in turn."""
     peers = table(s, d, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("peer"), (F.col("n_nationkey") % 4 != 0).alias("online"))
-    asked = tools(s, d).select("p_partkey", (F.col("p_partkey") % 25).alias("start"))
-    turn = (F.col("pos") - F.col("start") + 25) % 25
-    ranked = asked.join(F.broadcast(peers.where("online")), F.lit(True)).groupBy("p_partkey").agg(F.min_by("peer", turn).alias("peer"))
-    return ranked
+    asked = tools(s, d).select("p_partkey", (F.col("p_partkey") % 25).cast("int").alias("start"))
+    return catalog.failover(asked, peers)
 
 
 def peer_index(s, d):
@@ -104,9 +103,10 @@ def peer_index(s, d):
 
 
 def limiter_counters(s, d):
-    """Per server: calls, those over 60 tokens as refused, and the mean wait in tokens of the rest."""
+    """Per server: calls, those over 60 tokens as refused, and the sum and mean wait, in tokens, of the rest."""
     log, over = call_log(s, d), F.col("tokens") > 60
-    return log.groupBy("server").agg(F.count(F.lit(1)).alias("submitted"), F.count_if(over).alias("rejected"), F.sum(F.when(~over, F.col("tokens"))).alias("waited"), F.count_if(~over).alias("completed"))
+    out = log.groupBy("server").agg(F.count(F.lit(1)).alias("submitted"), F.count_if(over).alias("rejected"), F.sum(F.when(~over, F.col("tokens"))).alias("waited"), F.count_if(~over).alias("completed"))
+    return out.withColumn("mean_wait", F.round(F.try_divide("waited", "completed"), 6))
 
 
 def lazy_cache_stats(s, d):
@@ -118,7 +118,7 @@ def manifest_reduction(s, d):
     """Percent of floor(bytes / 4) tokens that the first half of a turn saves."""
     t = table(s, d, "conversations")
     a, b = scalars.floor_tokens(F.col("text")), scalars.floor_tokens(F.expr("substring(text, 1, cast(length(text) / 2 as int))"))
-    return t.select("conv_id", "turn", a.alias("before"), b.alias("after"))
+    return t.select("conv_id", "turn", a.alias("before"), b.alias("after"), F.round(F.coalesce(F.try_divide((a - b) * 100, a), F.lit(0.0)), 6).alias("percent"))
 
 
 def schema_lookup(s, d):
@@ -160,7 +160,7 @@ SQL = {
     "markdown_rows": f"""with t as (select 'srv_' || cast(conv_id % 8 as varchar) as server, {_EST.format('text')} as original, least({_EST.format('substr(text, 1, 120)')}, {_EST.format('text')}) as optimized from conversations),
  u as (select server, cast(sum(original) as bigint) as o, cast(sum(optimized) as bigint) as p from t group by server)
  select server, '| ' || server || ' | ' || o || ' | ' || p || ' | ' || (o - p) || ' |' as line, round((o - p) * 100::double / o, 2) as percent from u""",
-    "escaped_cells": r"select doc_id, sha256(replace(replace(text, '|', '\|'), '`', '\`')) as cell from documents where source = 'src5'",
+    "escaped_cells": r"select doc_id, sha256(replace(replace(text, '|', '\|'), '`', '\`')) as cell from documents",
     "file_names": "select page_id, regexp_replace(url, '[^a-zA-Z0-9_-]', '_', 'g') as name from pages",
     "risk_summary": """select event_type, count(*) filter (event_id % 7 % 4 = 0) as api_key, count(*) filter (event_id % 7 % 4 = 1) as secret, count(*) filter (event_id % 7 % 4 = 2) as pii,
  count(*) filter (event_id % 7 % 4 = 3) as custom_pattern from events group by 1""",
@@ -174,9 +174,10 @@ SQL = {
     "federation_routes": """select p_partkey, min_by(n_name, (n_nationkey - p_partkey % 25 + 25) % 25) as peer from part, nation where n_nationkey % 4 <> 0 group by p_partkey""",
     "peer_index": "select 'a@b' || cast(p_partkey % 300 as varchar) as tool, max_by('peer' || cast(p_partkey % 7 as varchar), p_partkey) as peer from part group by 1",
     "limiter_counters": f"""select server, count(*) as submitted, count(*) filter (tokens > 60) as rejected, cast(sum(tokens) filter (tokens <= 60) as bigint) as waited,
- count(*) filter (tokens <= 60) as completed from {_LOG} group by server""",
+ count(*) filter (tokens <= 60) as completed, round(sum(tokens) filter (tokens <= 60) / nullif(count(*) filter (tokens <= 60), 0)::double, 6) as mean_wait from {_LOG} group by server""",
     "lazy_cache_stats": "select count(*) as cached, count(*) filter (last < timestamp '2024-01-25') as expired from (select user_id, max(ts) as last from events group by 1)",
-    "manifest_reduction": "select conv_id, turn, cast(strlen(text) // 4 as bigint) as before, cast(strlen(substr(text, 1, length(text) // 2)) // 4 as bigint) as after from conversations",
+    "manifest_reduction": """select *, round(coalesce((before - after) * 100 / nullif(before, 0)::double, 0), 6) as percent from (select conv_id, turn, cast(strlen(text) // 4 as bigint) as before,
+ cast(strlen(substr(text, 1, length(text) // 2)) // 4 as bigint) as after from conversations)""",
     "schema_lookup": f"select p_partkey, case when p_partkey % 3 = 0 then 'cached:' || tool when p_partkey % 5 <> 0 then 'fetched:' || tool end as schema from {_TOOLS}",
     "description_limits": "select p_partkey, p_size * 13 as max_description_chars from part where not (p_size = 0 or p_size * 13 between 50 and 500)",
     "latest_turns": "select conv_id, max(turn) as turn, max_by(role, turn) as role from conversations group by conv_id",

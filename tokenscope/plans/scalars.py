@@ -65,16 +65,20 @@ def monthly_comparison(s, d):
 
 def prompt_cache_stats(s, d):
     """Counters over turns: system turns are cacheable, a repeated text is a hit, its tokens are cached input."""
-    turns = table(s, d, "conversations").withColumn("tokens", fn.estimate_tokens(F.col("text")))
-    seen = F.row_number().over(Window.partitionBy("text").orderBy("conv_id", "turn")) > 1
-    c = turns.withColumn("hit", seen).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("role") != "assistant").alias("matched"),
-        F.count_if(F.col("role") == "system").alias("cacheable"),
-        F.count_if((F.col("role") != "assistant") & F.col("hit")).alias("hits"),
-        F.count_if((F.col("role") != "assistant") & ~F.col("hit")).alias("misses"),
-        F.sum("tokens").alias("input_tokens"),
-        F.coalesce(F.sum(F.when(F.col("hit"), F.col("tokens"))), F.lit(0)).alias("cached_tokens"),
+    asks = F.col("role") != "assistant"
+    turns = table(s, d, "conversations").select(F.sha2("text", 256).alias("hash"), "conv_id", "turn", "role", fn.estimate_tokens(F.col("text")).alias("tokens"))
+    # counts of each text's turns, gathered before the shuffle; only its first turn is no hit
+    each = turns.groupBy("hash", "tokens").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(asks).alias("asked"), F.count_if(F.col("role") == "system").alias("system"), F.min_by(asks, F.struct("conv_id", "turn")).cast("long").alias("first_asks")
+    )
+    c = each.agg(
+        F.sum("n").alias("total"),
+        F.sum("asked").alias("matched"),
+        F.sum("system").alias("cacheable"),
+        F.sum(F.col("asked") - F.col("first_asks")).alias("hits"),
+        F.sum("first_asks").alias("misses"),
+        F.sum(F.col("n") * F.col("tokens")).alias("input_tokens"),
+        F.sum((F.col("n") - 1) * F.col("tokens")).alias("cached_tokens"),
     )
     rate = F.round(F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("hits"), F.col("matched"))), F.lit(0.0)), 6)
     return c.withColumn("hit_rate", rate)

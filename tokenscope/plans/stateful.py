@@ -30,8 +30,9 @@ def team_budget(s, d):
 
 
 def project_budget_admission(s, d):
+    """A month's limit of each project of a team: projects of one name in two teams are two."""
     use = _usage(s, d).withColumn("t", F.expr(SECONDS))
-    return op.replay(use, "team", ["ts", "project", "tokens"], lambda k: op.ProjectBudget(3_000_000), ["t", "tokens"], ["team", "project", "tokens"], "team string, project string, tokens long")
+    return op.replay(use, ["team", "project"], ["ts", "tokens"], lambda k: op.ProjectBudget(600_000), ["t", "tokens"], ["team", "project", "tokens"], "team string, project string, tokens long")
 
 
 def two_level_budget(s, d):
@@ -85,7 +86,7 @@ def embed_input(s, d):
 def breakpoint_inject(s, d):
     t = table(s, d, "conversations")
     item = lambda c: F.struct(c.alias("name"))
-    body = F.to_json(F.struct(F.array(item(F.col("role"))).alias("system"), F.array(item(F.lit("a")), item(F.substring("text", 1, 20))).alias("tools")))
+    body = F.to_json(F.struct(F.array(item(F.col("role"))).alias("system"), F.array(item(F.lit("a")), item(F.col("text"))).alias("tools")))
     return t.select("conv_id", "turn", jsontext.column_of(lambda x: jsontext.inject_breakpoint(x, "balanced"), body).alias("body"))
 
 
