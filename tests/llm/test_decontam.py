@@ -1,6 +1,6 @@
 import random
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tokenscope.llm import decontam
@@ -19,10 +19,10 @@ def prose(r, n):
 
 
 def brute(items, text):
-    data = np.frombuffer(decontam.normal(text or ""), dtype=np.uint8)
+    data = decontam.codes(decontam.normal(text or ""))
     out = []
     for i, x in items:
-        p = np.frombuffer(x, dtype=np.uint8)
+        p = decontam.codes(x)
         if best_in(p, data, 0, len(data) + len(p)) <= int(decontam.BUDGET * len(p)):
             out.append(i)
     return out
@@ -87,3 +87,56 @@ def test_short_items_are_found_as_whole_words(spark):
     got = {x[0]: x[1] for x in decontam.found_items(docs, b, ["doc_id"]).collect()}
     assert got == {1: [1], 2: [2], 3: [], 4: [3], 5: [], 6: []}
     assert sorted(x.doc_id for x in decontam.drop_leaks(docs, b).collect()) == [3, 5, 6]
+
+
+LATIN, CYRILLIC, HAN = "abcdeéñopqr", "абвгдежзийк", "的一是不了人我在有他这"
+
+
+def text_of(r, letters, n):
+    """n characters; words of 2 to 6 in scripts that have them."""
+    if letters == HAN:
+        return "".join(r.choice(letters) for _ in range(n))
+    out = ""
+    while len(out) < n:
+        out += "".join(r.choice(letters) for _ in range(r.randrange(2, 7))) + " "
+    return (out[: n - 1] + r.choice(letters))[:n]
+
+
+@pytest.mark.parametrize("letters", [LATIN, CYRILLIC, HAN])
+def test_items_of_any_length_and_script(spark, letters):
+    """Items of 1 to 60 characters against alignment, or against every place where they stand whole."""
+    prepare(spark)
+    r = random.Random(ord(letters[0]))
+    bench = [(n, text_of(r, letters, n)) for n in range(1, 61)] + [(100, "x"), (101, "x")]
+    rows = []
+    for n, item in bench * 2:
+        chars = list(item)
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            chars[r.randrange(len(chars))] = r.choice([r.choice(letters), "", r.choice(letters) * 2])
+        rows.append((len(rows), text_of(r, letters, r.randrange(1, 80)) + r.choice([" ", "", ", "]) + "".join(chars) + r.choice([" ", "", "."]) + text_of(r, letters, r.randrange(1, 40))))
+    rows.append((len(rows), text_of(r, letters, 200_000) + " " + bench[44][1]))
+
+    def whole(item, text):
+        word = lambda c: c.isalnum() and letters != HAN
+        for at in range(len(text) - len(item) + 1):
+            end = at + len(item)
+            if text[at:end] == item and not (at and word(item[0]) and word(text[at - 1])) and not (end < len(text) and word(item[-1]) and word(text[end])):
+                return True
+        return False
+
+    def want(text):
+        text = decontam.normal(text)
+        data, out = decontam.codes(text), []
+        for i, x in bench:
+            x = decontam.normal(x)
+            if len(x) < decontam.EXACT:
+                out += [i] * whole(x, text)
+            elif len(text) < 1000 and best_in(decontam.codes(x), data, 0, len(text) + len(x)) <= int(decontam.BUDGET * len(x)):
+                out.append(i)
+        return sorted(out)
+
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = {x[0]: x[1] for x in decontam.found_items(spark.createDataFrame(rows, "doc_id long, text string"), b, ["doc_id"]).collect()}
+    for d, text in rows[:-1]:
+        assert got[d] == want(text), (d, text)
+    assert 45 in got[len(rows) - 1]

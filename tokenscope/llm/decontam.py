@@ -1,9 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts and benchmark items are lower-cased, and runs of white space become one space. An item of n characters
-(UTF-8 bytes) is found in a text if some stretch is within edit distance e = floor(BUDGET * n) of it. By the
-q-gram lemma such a stretch shares at least n + 1 - q * (1 + e) of the item's character q-grams, and those lie
-on diagonals (text position minus item position) no more than e apart. So per text:
+Texts and benchmark items are lower-cased, and runs of white space become one space. Characters are code points,
+whatever the script. An item of n characters is found in a text if some stretch is within edit distance
+e = floor(BUDGET * n) of it. By the q-gram lemma such a stretch shares at least n + 1 - q * (1 + e) of the item's
+character q-grams, and those lie on diagonals (text position minus item position) no more than e apart. So per text:
 
 1. q-grams that occur in any item are marked; a text goes on only if some stretch of n + e positions holds as
    many marks as the most lenient item length class asks for. This looks at whole texts with vector operations.
@@ -11,17 +11,20 @@ on diagonals (text position minus item position) no more than e apart. So per te
    overlapping bands of diagonals, 2e + 1 wide, one beginning every e + 1; bands that reach the bound are kept.
 3. Each kept band is verified by banded alignment of the item to the text.
 
+Items of under EXACT characters leave no room for the lemma and would be found by chance with an edit. They are
+searched as they are, all at once by an automaton, and count where they are whole: where a word of the item does not
+go on in the text. Scripts written without spaces (HAN_LIKE) have no such borders and count anywhere.
+
 The benchmark is a small fixed table: it is sent to every task, and a size above MAX_ITEM_BYTES is refused
-rather than cut.
+rather than cut (split the benchmark by item_id and take the union then).
 
-Defined cases: null and empty texts are clean; null and empty items are left out; items shorter than MIN_ITEM
-characters after normalisation would match by chance with edits, so they are found as they are, as whole words; equal items are all reported; every row gives one
-result row, whatever its doc_id; an empty table gives an empty result.
+Defined cases: null and empty texts are clean; null and empty items are left out; equal items are all reported; a text
+of any length is searched whole; every row gives one result row, whatever its doc_id; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -30,44 +33,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenscope.llm.alignment import best_in
-from tokenscope.llm.common import OWN, map_batches, table, texts_of
+from tokenscope.llm.common import OWN, map_batches, mix, table, texts_of
 
 Q = 8
 BUDGET = 0.07
-MIN_ITEM = 40
+EXACT = 16
 MAX_ITEM_BYTES = 64 << 20
 BITS = 22
-_BYTES = 4 << 20
-_word = re.compile(r"\w+")
+_CHARS = 1 << 20
+#: First and last code points of scripts written without spaces.
+HAN_LIKE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def normal(text: str) -> str:
+    return " ".join(text.lower().split())
 
 
-def normal(text: str) -> bytes:
-    return " ".join(text.lower().split()).encode()
+def codes(text: str) -> np.ndarray:
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """Every run of 8 bytes as an integer."""
-    n = len(data) - Q + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    out = np.empty(n, dtype="<u8")
-    for shift in range(Q):
-        whole = (len(data) - shift) // Q
-        part = data[shift : shift + whole * Q].view("<u8")
-        out[shift::Q] = part[: len(out[shift::Q])]
+    """A hash of every run of Q = 8 code points, by doubling."""
+    out = mix(data.astype(np.uint64), 3)
+    for size in (1, 2, 4):
+        if len(out) <= size:
+            return np.empty(0, dtype=np.uint64)
+        out = out[:-size] * np.uint64(pow(0x9E3779B97F4A7C15, size, 1 << 64)) + out[size:]
     return out
 
 
 def slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Index:
     """Items by their q-grams."""
 
-    def __init__(self, items: tuple[tuple[int, bytes], ...]) -> None:
+    def __init__(self, items: tuple[tuple[int, str], ...]) -> None:
         self.ids = [i for i, _ in items]
-        self.data = [np.frombuffer(x, dtype=np.uint8) for _, x in items]
+        self.data = [codes(x) for _, x in items]
         self.budget = [int(BUDGET * len(x)) for x in self.data]
         self.bound = [len(x) + 1 - Q * (1 + e) for x, e in zip(self.data, self.budget)]
         found = [grams(x) for x in self.data]
@@ -141,16 +147,16 @@ class Index:
                         found.add(item)
         return sorted(found)
 
-    def search_all(self, texts: list[bytes]) -> list[list[int]]:
+    def search_all(self, texts: list[str]) -> list[list[int]]:
         """search() for every text; q-grams of many texts are marked at once."""
         out: list[list[int]] = []
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= _BYTES):
+            while end < len(texts) and (end == at or size + len(texts[end]) <= _CHARS):
                 size += len(texts[end]) + 1
                 end += 1
-            data = np.frombuffer(b"\n".join(texts[at:end]), dtype=np.uint8)
+            data = codes("\n".join(texts[at:end]))
             keys = grams(data)
             marks = self.table[slots(keys)]
             start = 0
@@ -163,37 +169,50 @@ class Index:
         return out
 
 
+def _spaced(char: str) -> bool:
+    """Whether a character belongs to a word of a script that parts its words."""
+    return (char.isalnum() or char == "_") and not any(first <= ord(char) <= last for first, last in HAN_LIKE)
+
+
 class Short:
-    """Items under MIN_ITEM characters by their first word; those without a word stand under ""."""
+    """Items under EXACT characters in an automaton."""
+
+    def __init__(self, items: tuple[tuple[int, str], ...]) -> None:
+        import ahocorasick
 
-    def __init__(self, items: tuple[tuple[int, bytes], ...]) -> None:
-        self.by_word: dict[str, list[tuple[int, re.Pattern]]] = {}
-        for i, x in items:
-            text = x.decode()
-            first = _word.search(text)
-            left, right = (r"(?<!\w)" if text[0].isalnum() or text[0] == "_" else ""), (r"(?!\w)" if text[-1].isalnum() or text[-1] == "_" else "")
-            self.by_word.setdefault(first[0] if first else "", []).append((i, re.compile(left + re.escape(text) + right)))
+        ids: dict[str, list[int]] = {}
+        for i, text in items:
+            ids.setdefault(text, []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for text, found in ids.items():
+            self.automaton.add_word(text, (text, found))
+        if ids:
+            self.automaton.make_automaton()
 
-    def search(self, data: bytes) -> list[int]:
+    def search(self, text: str) -> list[int]:
         """Ids of the items that a normalised text holds."""
-        if not self.by_word:
+        if not len(self.automaton):
             return []
-        text = data.decode()
-        words = self.by_word.keys() & {"", *_word.findall(text)}
-        return [i for w in words for i, pattern in self.by_word[w] if pattern.search(text)]
+        out: set[int] = set()
+        for end, (item, ids) in self.automaton.iter(text):
+            start = end - len(item) + 1
+            begins = start == 0 or not (_spaced(item[0]) and _spaced(text[start - 1]))
+            if begins and (end + 1 == len(text) or not (_spaced(item[-1]) and _spaced(text[end + 1]))):
+                out.update(ids)
+        return sorted(out)
 
 
 @lru_cache(maxsize=2)
-def _short(items: tuple[tuple[int, bytes], ...]) -> Short:
+def _short(items: tuple[tuple[int, str], ...]) -> Short:
     return Short(items)
 
 
 @lru_cache(maxsize=2)
-def _index(items: tuple[tuple[int, bytes], ...]) -> Index:
+def _index(items: tuple[tuple[int, str], ...]) -> Index:
     return Index(items)
 
 
-def _load(benchmark: DataFrame) -> list[tuple[int, bytes]]:
+def _load(benchmark: DataFrame) -> list[tuple[int, str]]:
     """Normalised items. The benchmark's size is checked before it is gathered."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MAX_ITEM_BYTES:
@@ -202,14 +221,14 @@ def _load(benchmark: DataFrame) -> list[tuple[int, bytes]]:
     return sorted((i, x) for i, x in ((r[0], normal(r[1])) for r in rows) if x)
 
 
-def _split(items: list[tuple[int, bytes]]) -> tuple[tuple[tuple[int, bytes], ...], tuple[tuple[int, bytes], ...]]:
-    """Items of MIN_ITEM characters or more, and shorter ones."""
-    long = [len(x.decode()) >= MIN_ITEM for _, x in items]
+def _split(items: list[tuple[int, str]]) -> tuple[tuple[tuple[int, str], ...], tuple[tuple[int, str], ...]]:
+    """Items of EXACT characters or more, and shorter ones."""
+    long = [len(x) >= EXACT for _, x in items]
     return tuple(x for x, y in zip(items, long) if y), tuple(x for x, y in zip(items, long) if not y)
 
 
-def load_items(benchmark: DataFrame) -> tuple[tuple[int, bytes], ...]:
-    """Normalised items of MIN_ITEM characters or more."""
+def load_items(benchmark: DataFrame) -> tuple[tuple[int, str], ...]:
+    """Normalised items of EXACT characters or more."""
     return _split(_load(benchmark))[0]
 
 
