@@ -143,12 +143,13 @@ class Vocabulary:
         ranks = [get(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
         while ranks and (best := min(ranks)) < NEVER:
             i = ranks.index(best)
-            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            joined = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = joined
             del ranks[i]
             if i < len(ranks):
-                ranks[i] = get(symbols[i] + symbols[i + 1], NEVER)
+                ranks[i] = get(joined + symbols[i + 1], NEVER)
             if i:
-                ranks[i - 1] = get(symbols[i - 1] + symbols[i], NEVER)
+                ranks[i - 1] = get(symbols[i - 1] + joined, NEVER)
         return symbols
 
     def to_ids(self, pieces: list[str]) -> list[int]:
@@ -164,27 +165,25 @@ class Vocabulary:
 
     def cut(self, text: str) -> list[str]:
         """Parts of text between which nothing can be joined."""
-        joined, parts, start = self.joined, [], 0
-        if joined.issuperset(map(add, text, text[1:])):
-            return [text]
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in joined:
-                parts.append(text[start:i])
-                start = i
-        parts.append(text[start:])
-        return parts
+        joined = self.joined
+        breaks = [i for i, pair in enumerate(map(add, text, text[1:]), 1) if pair not in joined]
+        return [text[i:j] for i, j in zip([0, *breaks], [*breaks, len(text)])] if breaks else [text]
 
 
 class _Memory(dict):
-    """Ids, as bytes, of parts; emptied when full."""
+    """Ids, as bytes, of parts. At half the limit what is there becomes the older half, which the next such step drops; what is used again moves up."""
 
     def __init__(self, make, limit: int) -> None:
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, max(1, limit // 2), {}
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -196,7 +195,9 @@ class Encoder:
         self.runs = _Memory(lambda run: b"".join(map(self.parts.__getitem__, v.cut(run))), limit)
         self.words = _Memory(lambda word: b"".join(map(self.parts.__getitem__, v.cut(MARK + word))), limit)
         self.begin, self.end = pack([v.bos]), pack([v.eos])
-        self.plain = [p if k == NORMAL else None if k in (BYTE, UNKNOWN) else "" for p, k in zip(v.pieces, v.types)]
+        byte = lambda p: chr(b) if (b := int(p[3:5], 16)) < 128 else chr(0xDC00 + b)
+        #: Text of each piece; bytes beyond ASCII stand for themselves as lone surrogates, which no text holds.
+        self.plain = [p if k == NORMAL else byte(p) if k == BYTE else None if k == UNKNOWN else "" for p, k in zip(v.pieces, v.types)]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, with begin and end."""
@@ -214,8 +215,9 @@ class Encoder:
         v, first = self.v, self.v.prefix
         try:
             text = "".join(map(self.plain.__getitem__, ids))
-            return (text[1:] if first and text[:1] == MARK else text).replace(MARK, " ")
-        except TypeError:  # bytes or unknown ones
+            text = (text[1:] if first and text[:1] == MARK else text).replace(MARK, " ")
+            return text if text.isascii() else text.encode("utf-8", "surrogateescape").decode()
+        except (TypeError, UnicodeDecodeError):  # unknown ones, or bytes that are no text
             out, raw = [], bytearray()
 
         def flush() -> None:
@@ -281,12 +283,13 @@ def encode_texts(df: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
         for at in range(0, len(texts), 200):
             some = texts[at : at + 200]
             ours = [encoder.encode(t) for t in some]
-            ids = [np.frombuffer(x, dtype="<u4").tolist() for x in ours]
             theirs = library.encode(some, add_bos=True, add_eos=True, num_threads=1)
+            same = [np.array(b, dtype="<u4").tobytes() == a for a, b in zip(ours, theirs)]
+            ids = [b if ok else np.frombuffer(a, dtype="<u4").tolist() for a, b, ok in zip(ours, theirs, same)]
             back = library.decode(ids, num_threads=1)
             found += ours
             decoded += back
-            agrees += [a == b and encoder.decode(a) == t for a, b, t in zip(ids, theirs, back)]
+            agrees += [ok and encoder.decode(i) == t for i, t, ok in zip(ids, back, same)]
         names = [*keep, OWN + "ids", OWN + "decoded", OWN + "agrees"]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), pa.array(found, type=pa.binary()), pa.array(decoded, type=pa.string()), pa.array(agrees, type=pa.bool_())], names=names)
 
