@@ -59,23 +59,20 @@ def brute_kept(docs, labels, alpha, delta):
     for d, q, _ in labels:
         if d is not None and q is not None:
             low[d] = min(low.get(d, q), q)
-    feats = [(d, lang or "", quality.base_counts(t or "")) for d, t, lang in docs]
-    good = [(lang, f[6:]) for d, lang, f in feats if not f[5] and low.get(d) == 1]
-    bad = [(lang, f[6:]) for d, lang, f in feats if not f[5] and low.get(d, 1) != 1]
+    feats = [(d, lang, quality.base_counts(t or "")) for d, t, lang in docs]
+    good = [(lang, max(f[6:])) for d, lang, f in feats if not f[5] and low.get(d) == 1]
+    bad = [(lang, max(f[6:])) for d, lang, f in feats if not f[5] and low.get(d, 1) != 1]
     strata, cut = {x for x, _ in good}, {}
     for lang in strata:
-        for i, rule in enumerate(quality.RULES):
-            scores = [f[i] for x, f in good if x == lang]
-            poor = [f[i] for x, f in bad if x == lang]
-            gain = -1
-            for c in range(100, -1, -1):
-                k = sum(s > c for s in scores)
-                n = len(scores)
-                if k >= alpha * n or sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) > delta / (len(strata) * 3):
-                    break
-                if (now := sum(s > c for s in poor) / max(1, len(poor)) - quality.GOOD_WEIGHT * k / n) > gain:
-                    cut[lang, rule], gain = c, now
-    return [(d, not f[5] and not any(f[6 + i] > cut.get((lang, r), 100) for i, r in enumerate(quality.RULES))) for d, lang, f in feats]
+        scores, poor = [f for x, f in good if x == lang], [f for x, f in bad if x == lang]
+        gain, n = -1, len(scores)
+        for c in range(100, -1, -1):
+            k = sum(s > c for s in scores)
+            if k >= alpha * n or sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) > delta / len(strata):
+                break
+            if (now := sum(s > c for s in poor) / max(1, len(poor)) - quality.GOOD_WEIGHT * k / n) > gain:
+                cut[lang], gain = c, now
+    return [(d, not f[5] and max(f[6:]) <= cut.get(lang, 100)) for d, lang, f in feats]
 
 
 def test_judgement_and_filter_agree_with_brute_force(spark):
@@ -93,6 +90,32 @@ def test_judgement_and_filter_agree_with_brute_force(spark):
     assert sorted((x.doc_id for x in out.collect()), key=str) == sorted((d for d, k in want if k), key=str)
 
 
+def test_no_stratum_loses_more_than_alpha():
+    """Of many samples of good scores the bound fails, by the true rate of the chosen cutoff, in no more than delta."""
+    r = random.Random(5)
+    fails = 0
+    for _ in range(300):
+        above = [0] * 101
+        for _ in range(600):
+            score = min(100, int(r.expovariate(0.1)))
+            for c in range(score):
+                above[c] += 1
+        c = quality.choose_cutoff(above, 600, [100 - c for c in range(101)], 100, 0.02, 0.05)
+        fails += c is not None and math.exp(-0.1 * (c + 1)) > 0.02
+    assert fails <= 0.05 * 300
+
+
+def test_null_and_empty_lang_are_two_strata(spark):
+    prepare(spark)
+    docs = [(i, " ".join(f"{'%%' if i % 2 else ''}x{i}y{k}" for k in range(60)), "" if i < 700 else None) for i in range(900)]
+    docs.append((5000, " ".join(f"long{k}" for k in range(100_000)), ""))
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert quality.fit_cutoffs(quality.features(df), labels).keys() == {""}
+    kept = {x.doc_id for x in quality.keep_good(df, labels).collect()}
+    assert kept == {i for i in range(900) if i >= 700 or i % 2 == 0} | {5000}
+
+
 def test_too_few_labels_give_no_cutoff():
     few, many = [0] * 101, [9] * 30 + [0] * 71
     assert quality.choose_cutoff(few, 50, many, 9, 0.02, 0.01) is None

@@ -2,19 +2,20 @@
 
 Every document gets base counts (see ``base_counts``) and three badness scores from 0 to 100:
 symbols per 100 words, shouted words per 100 words, and words of repeated three-word windows per 100
-words. A rule rejects a document whose score is above the rule's cutoff for the document's stratum (lang).
+words. A document is rejected if any of them is above the cutoff of its stratum (lang).
 
 Cutoffs come from the labelled documents. For a stratum with n good ones (quality 1, base rules passed),
-of which k(c) score above c, cutoff c is safe if P(X <= k(c)) <= delta / tests for X ~ Binomial(n, alpha):
-then the exact (Clopper-Pearson) upper bound of the false rejection rate is at most alpha. Within a rule
-and stratum, cutoffs are tested from 100 downwards and testing stops at the first that is not safe
-(fixed-sequence testing); between rules and strata delta is divided by their number (Bonferroni). So with
-probability 1 - delta no rule rejects more than alpha of any stratum's good documents. Of the safe cutoffs the one is taken that best sets the stratum's
-labelled bad documents apart, so that good ones are not rejected for nothing. A stratum with too
-few labels gets no cutoff: there the base rules alone decide.
+of which k(c) have some score above c, cutoff c is safe if P(X <= k(c)) <= delta / strata for
+X ~ Binomial(n, alpha): then the exact (Clopper-Pearson) upper bound of the stratum's false rejection rate, by all
+rules together, is at most alpha. Within a stratum cutoffs are tested from 100 downwards and testing stops at
+the first that is not safe (fixed-sequence testing: what a lower cutoff rejects holds what a higher one does);
+between strata delta is divided by their number (Bonferroni). So with probability 1 - delta no stratum loses more
+than alpha of its good documents. Of the safe cutoffs the one is taken that best sets the stratum's labelled bad
+documents apart, so that good ones are not rejected for nothing. A stratum with too few labels gets no cutoff:
+there the base rules alone decide.
 
 Defined cases: null or blank text has no words and fails the base rules; null lang is a stratum of its
-own; labels with nulls, or for unknown documents, count for nothing; when a document has several labels
+own, as is an empty one; labels with nulls, or for unknown documents, count for nothing; when a document has several labels
 the lowest counts; repeated rows are judged each by itself; an empty table gives an empty result.
 """
 
@@ -126,43 +127,39 @@ def choose_cutoff(above: list[int], n: int, bad_above: list[int], n_bad: int, al
     return best
 
 
-def fit_cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """(stratum, rule) -> cutoff. All labelled rows count; the driver gets at most 606 counts per language."""
+def fit_cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, int]:
+    """stratum -> cutoff. All labelled rows count; the driver gets at most 202 counts per language."""
     labelled = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
         .where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
         .agg(F.min("quality").alias(OWN + "quality"))
     )
-    scores = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"{r}_score").alias("score")) for r in RULES]))
     counts = (
         feats.where("not base_failed")
         .join(labelled, "doc_id")
-        .select(F.coalesce("lang", F.lit("")).alias("lang"), (F.col(OWN + "quality") == 1).alias("good"), scores.alias("s"))
-        .groupBy("lang", "good", "s.rule", "s.score")
+        .groupBy("lang", (F.col(OWN + "quality") == 1).alias("good"), F.greatest(*[f"{r}_score" for r in RULES]).alias("score"))
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     )
-    strata = sorted({x.lang for x in counts if x.good})
-    tests = max(1, len(strata) * len(RULES))
+    strata = {x.lang for x in counts if x.good}
     out = {}
     for lang in strata:
-        for rule in RULES:
-            hist = {True: [0] * 101, False: [0] * 101}
-            for x in counts:
-                if x.lang == lang and x.rule == rule:
-                    hist[x.good][x.score] += x.n
-            above = {k: [sum(h[c + 1 :]) for c in range(101)] for k, h in hist.items()}
-            if (c := choose_cutoff(above[True], sum(hist[True]), above[False], sum(hist[False]), alpha, delta / tests)) is not None and c < 100:
-                out[lang, rule] = c
+        hist = {True: [0] * 101, False: [0] * 101}
+        for x in counts:
+            if x.lang == lang:
+                hist[x.good][x.score] += x.n
+        above = {k: [sum(h[c + 1 :]) for c in range(101)] for k, h in hist.items()}
+        if (c := choose_cutoff(above[True], sum(hist[True]), above[False], sum(hist[False]), alpha, delta / len(strata))) is not None and c < 100:
+            out[lang] = c
     return out
 
 
-def accepted(cutoffs: dict[tuple[str, str], int]) -> Column:
-    """Whether a row of features passes the base rules and every rule of its stratum."""
-    bad = F.col("base_failed")
-    for (lang, rule), c in sorted(cutoffs.items()):
-        bad = bad | ((F.coalesce("lang", F.lit("")) == lang) & (F.col(f"{rule}_score") > c))
+def accepted(cutoffs: dict[str | None, int]) -> Column:
+    """Whether a row of features passes the base rules and its stratum's cutoff."""
+    bad, worst = F.col("base_failed"), F.greatest(*[f"{r}_score" for r in RULES])
+    for lang, c in sorted(cutoffs.items(), key=str):
+        bad = bad | (F.col("lang").eqNullSafe(F.lit(lang)) & (worst > c))
     return ~bad
 
 
@@ -181,7 +178,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs = batch.column(at_lang).to_pylist()
         rows = map(base_counts, texts_of(batch.column(at_text)))
-        mask = [not r[5] and not any(r[6 + i] > cutoffs.get((lang or "", rule), 100) for i, rule in enumerate(RULES)) for r, lang in zip(rows, langs)]
+        mask = [not r[5] and max(r[6:]) <= cutoffs.get(lang, 100) for r, lang in zip(rows, langs)]
         return batch.filter(pa.array(mask, type=pa.bool_()))
 
     return map_batches(docs, one, docs.schema)
