@@ -270,6 +270,8 @@ SQL = {
     "first_definition": "select p_partkey % 50 as name, min(p_partkey) as seq, min_by(p_type, p_partkey) as p_type from part group by 1",
     "access_allowed": "select count(*) as n from part where p_size % 3 <> 2 or p_brand = 'Brand#11'",
     "transports": "select s_suppkey, (['stdio', 'http', 'http', 'sse', 'stdio'])[s_suppkey % 5 + 1] as transport from supplier",
+    "table_columns": """select cast(row_number() over (order by column_index) - 1 as integer) as ord, column_name as name, case data_type when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' else lower(data_type) end as type,
+ is_nullable as nullable from duckdb_columns() where table_name = 'orders'""",
     "union_sources": "select 'supplier' as source, 'stdio' as transport, count(*) as n from supplier union all select 'nation', '', count(*) from nation",
     "config_errors": """with t as (select s_suppkey as k, (['stdio', 'http', 'sse', '', 'ftp'])[s_suppkey % 5 + 1] as kind, s_suppkey % 13 = 0 as bare, case when s_suppkey % 7 = 0 then '' when s_suppkey % 9 = 0 then 'nowhere' else 'ok' end as v from supplier)
  select k as server, split_part(e, '@', 1) as field, split_part(e, '@', 2) as message from (select k, case when k % 11 = 0 then 'name@name is required' when kind = '' then 'transport@transport type is required'

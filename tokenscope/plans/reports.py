@@ -153,6 +153,10 @@ _LOG = "(select 'srv_' || cast(user_id % 8 as varchar) as server, cast(floor(val
 _EST = "cast(ceil(strlen({0}) / 4.0) as bigint)"
 
 SQL = {
+    "cost_previews": """with t as (select s_suppkey as server, s_name as name, case when s_suppkey % 3 = 0 then 'http' else 'stdio' end as transport, case when s_suppkey % 9 = 0 then 2 else 35 + s_suppkey % 5 end as n from supplier),
+ u as (select *, n * 75 as native, greatest(0, n * 75 - 158) as saved, greatest(0, n * 75 - 158) / (n * 75)::double * 100 as p from t)
+ select server, case when saved > 0 then name || ' (' || transport || ', ~' || n || ' tools): ~' || native || ' native against 158 routed tokens (saves ~' || saved || ' / '
+ || case when p - floor(p) < 0.05 then cast(cast(floor(p) as bigint) as varchar) else printf('%.1f', p) end || '%)' else name || ' (' || transport || '): ~' || native || ' native against 158 routed tokens (no savings)' end as preview from u""",
     "percent_texts": """with t as (select l_orderkey % 100 as k, floor(count(*) filter (l_returnflag = 'R') * 1000::double / count(*)) / 10.0::double as p from lineitem group by 1)
  select k, case when p <= 0 then '0' when p - floor(p) < 0.05 then cast(cast(floor(p) as bigint) as varchar) else printf('%.1f', p) end as share from t""",
     "durations": """with t as (select event_id, user_id * event_id % 200000 as s from events) select event_id, case when s >= 86400 then (s // 86400) || 'd' || (s // 3600 % 24) || 'h'

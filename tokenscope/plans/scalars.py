@@ -142,6 +142,7 @@ def description_lines(s, d):
 QUERIES = {f.__name__: f for f in (token_estimate, savings_by_server, cumulative_savings, session_replay, model_savings, monthly_comparison, prompt_cache_stats, trust_scores, trust_levels, budget_month_usage, budget_decision, number_texts, description_lines)}
 QUERIES["savings_rows"] = savings
 
+_CUT = "case when strlen(text) > 200 then substr(text, 1, list_max(list_filter(range(0, 198), lambda k: strlen(substr(text, 1, cast(k as bigint))) <= 197))) || '...' else text end"
 _EST = "cast(ceil(strlen({0}) / 4.0) as bigint)"
 _SAVE = f"""(select conv_id, turn, 'srv_' || cast(conv_id % 8 as varchar) as server, {_EST.format('text')} as original,
  least({_EST.format('substr(text, 1, 120)')}, {_EST.format('text')}) as optimized, {_EST.format('text')} - least({_EST.format('substr(text, 1, 120)')}, {_EST.format('text')}) as saved from conversations)"""
@@ -159,6 +160,7 @@ _MONTH = f"(select team, date_trunc('month', ts)::timestamp as month, cast(sum(t
 _MODELS = "[" + ", ".join(f"'{m}'" for m in [*(p[0] for p in fn.PRICES), "", "unknown-model"]) + "]"
 
 SQL = {
+    "description_lines": f"select conv_id, turn, line, cast(strlen(line) as integer) as bytes from (select conv_id, turn, {_CUT} as line from conversations)",
     "token_estimate": f"select doc_id, cast(strlen(text) as bigint) as bytes, {_EST.format('text')} as tokens, cast(floor(strlen(text) / 4.0) as bigint) as floor_tokens from documents",
     "savings_rows": f"select *, round(case when original > 0 then saved::double / original * 100 else 0 end, 6) as percent from {_SAVE}",
     "savings_by_server": f"select server, cast(sum(original) as bigint) as original, cast(sum(optimized) as bigint) as optimized, cast(sum(saved) as bigint) as saved from {_SAVE} group by server",

