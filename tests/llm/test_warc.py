@@ -1,6 +1,11 @@
+import base64
 import gzip
 import hashlib
+import uuid
+import zlib
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokenscope.llm import warc
@@ -45,3 +50,61 @@ def test_query_equals_rows_made_one_by_one(spark):
     got = [(x.page_id, x.kind, x.record_id, x.refers_to, x.sha) for x in out.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.derivatives(warc.responses(df.limit(0), ["page_id"]), ["page_id"]).count() == 0
+
+
+def message(body, *lines):
+    return "\r\n".join(["HTTP/1.1 200 OK", *lines, "", ""]).encode() + body
+
+
+def made(block, **headers):
+    fields = {"WARC-Type": "response", "WARC-Record-ID": "<urn:x:1>", "WARC-Target-URI": "http://a/", "WARC-Date": "2024-05-06T07:08:09Z", **headers}
+    return warc.Record([*fields.items(), ("Content-Length", str(len(block)))], block)
+
+
+def test_conversion_record_by_hand():
+    """Every line of a conversion record, written out."""
+    block = message(b"<p>one<p>two", "Content-Type: text/html")
+    _, text = warc.derive(made(block))
+    payload_digest = "sha1:" + base64.b32encode(hashlib.sha1(b"<p>one<p>two").digest()).decode()
+    block_digest = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+    own = "sha1:" + base64.b32encode(hashlib.sha1(b"one\ntwo").digest()).decode()
+    space = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+    meta_id, text_id = (f"<urn:uuid:{uuid.uuid5(space, '<urn:x:1> ' + kind)}>" for kind in ("metadata", "conversion"))
+    want = [
+        "WARC/1.1", "WARC-Type: conversion", f"WARC-Record-ID: {text_id}", "WARC-Refers-To: <urn:x:1>", f"WARC-Concurrent-To: {meta_id}", "WARC-Target-URI: http://a/", "WARC-Date: 2024-05-06T07:08:09Z",
+        "Content-Type: text/plain; charset=utf-8", f"WARC-Block-Digest: {own}", f"WARC-Source-Payload-Digest: {payload_digest}", f"WARC-Source-Block-Digest: {block_digest}",
+        "WARC-Source-Header: HTTP/1.1 200 OK", "WARC-Source-Header: Content-Type: text/html", "Content-Length: 7", "", "one\ntwo", "", "",
+    ]
+    assert text.to_bytes().decode() == "\r\n".join(want)
+
+
+@pytest.mark.parametrize(
+    "block",
+    [
+        message("<p>café".encode("iso-8859-1"), "Content-Type: text/html; charset=ISO-8859-1"),
+        message('<meta charset="windows-1252"><p>café'.encode("cp1252")),
+        message(gzip.compress("<p>café".encode()), "Content-Encoding: gzip"),
+        message(zlib.compress("<p>café".encode()), "content-encoding: deflate", "Content-Type: text/html; charset=no-such"),
+        message(b"4\r\n<p>c\r\n3;x=y\r\naf\xc3\r\n1\r\n\xa9\r\n0\r\n\r\n", "Transfer-Encoding: chunked"),
+        "<p>café".encode(),
+    ],
+)
+def test_bodies_as_they_were_sent(block):
+    assert warc.derive(made(block))[1].block.decode() == "café"
+
+
+def test_damaged_archives_go_on(spark):
+    prepare(spark)
+    good = [made(message(f"<p>{i}".encode())).to_bytes() for i in range(4)]
+    bad_length = good[0].replace(b"Content-Length: ", b"Content-Length: x", 1)
+    cut = good[1][:40]
+    long = good[2].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    data = good[0] + bad_length + good[1] + b"junk" + cut + b"\r\n" + good[2] + good[3] + long
+    kinds = [r.get("WARC-Type") for r in warc.parse(data)]
+    assert kinds.count("response") == 4 and kinds.count("malformed") == 4
+    packed = gzip.compress(good[0]) + gzip.compress(good[1])[:-20] + gzip.compress(good[2])
+    kinds = [r.get("WARC-Type") for r in warc.parse(packed)]
+    assert kinds == ["response", "malformed", "response"]
+    df = spark.createDataFrame([(1, data), (2, packed), (3, None), (4, b"nothing")], "page_id long, _ts_record binary")
+    got = Counter((x.page_id, x.kind) for x in warc.derivatives(df, ["page_id"]).collect())
+    assert got == {(1, "metadata"): 4, (1, "conversion"): 4, (1, "malformed"): 4, (2, "metadata"): 2, (2, "conversion"): 2, (2, "malformed"): 1, (4, "malformed"): 1}

@@ -2,24 +2,29 @@
 
 A response record becomes two records that refer to it by its identifier: ``metadata`` (application/warc-fields:
 title, language, outlinks, the source's HTTP header lines and its digests) and ``conversion`` (text/plain: the
-document's text without markup). Both keep the target URI and date, carry the digest of their own block, and
-name the other as concurrent. Identifiers are derived from the response's identifier, so that a task that runs
-again writes the same records.
-
-Defined cases: a response without an HTTP head has no header lines and its whole block is payload; null blocks
-and HTML are empty; null URIs are written as an empty value; a body that is not UTF-8 is read with replacement
-characters, its digests are of the original bytes; every response gives two records, repeated or not; an empty
-table gives an empty result.
+document's text without markup). Both keep the target URI and date, carry the digest of their own block, name the other
+as concurrent, and carry the source's digests and HTTP header lines (WARC-Source-... fields of the conversion).
+Identifiers are derived from the response's identifier, so that a task that runs again writes the same records.
+
+A body is read as it was sent: chunks are joined, gzip and deflate undone, and the charset is that of the Content-Type
+header, else of a meta element at its beginning, else UTF-8. Digests are of the bytes as they stand in the archive.
+
+Defined cases: what is no record (no blank line after its head, a length that is no number or goes beyond the file,
+a damaged gzip member) becomes a record of kind malformed with the bytes up to the next record, from where reading goes
+on, and gives one row of that kind; a damaged chunk, coding or unknown charset leaves what can be read, with replacement
+characters; a response without an HTTP head has no header lines and its whole block is payload; null blocks and HTML
+are empty; null URIs are written as an empty value; every response gives two records, repeated or not; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html as html_lib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -60,18 +65,70 @@ class Record:
         return b"WARC/1.1\r\n" + head.encode() + CRLF + self.block + CRLF + CRLF
 
 
+def _unpacked(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """(bytes, whether they could be read) of gzip members; bytes that are no gzip as they are."""
+    while data:
+        if data[:2] != b"\x1f\x8b":
+            start = data.find(b"\x1f\x8b")
+            yield (data if start < 0 else data[:start]), True
+            data = b"" if start < 0 else data[start:]
+            continue
+        reader = zlib.decompressobj(31)
+        try:
+            out = reader.decompress(data) + reader.flush()
+        except zlib.error:
+            reader, out = None, b""
+        if reader is None or not reader.eof:
+            # go on with the next member
+            start = data.find(b"\x1f\x8b\x08", 2)
+            yield (out or data[:start] if start > 0 else out or data), False
+            data = data[start:] if start > 0 else b""
+        else:
+            yield out, True
+            data = reader.unused_data
+
+
+def malformed(data: bytes) -> Record:
+    return Record([("WARC-Type", "malformed"), ("Content-Length", str(len(data)))], data)
+
+
 def parse(data: bytes) -> Iterator[Record]:
-    """Records of a WARC file, plain or of gzip members."""
+    """Records of a WARC file, plain or of gzip members, and what is none as malformed ones."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        whole = b""
+        for part, good in _unpacked(data):
+            if good:
+                whole += part
+            else:
+                yield from _records(whole)
+                yield malformed(part)
+                whole = b""
+        data = whole
+    yield from _records(data)
+
+
+def _records(data: bytes) -> Iterator[Record]:
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(CRLF + CRLF, at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    while at < len(data):
+        start = data.find(b"WARC/", at)
+        if start < 0:
+            start = len(data)
+        if data[at:start].strip(b"\r\n"):
+            yield malformed(data[at:start])
+        if start == len(data):
+            break
+        end = data.find(CRLF + CRLF, start)
+        after = data.find(b"\r\nWARC/", start)
+        after = len(data) if after < 0 else after + 2
+        lines = data[start : end if end >= 0 else start].decode("utf-8", "replace").split("\r\n")[1:]
         headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
-        size = int(next((v for k, v in headers if k.lower() == "content-length"), "0"))
-        yield Record(headers, data[end + 4 : end + 4 + size])
-        at = end + 4 + size
+        size = next((v for k, v in headers if k.lower() == "content-length"), "")
+        if end < 0 or end > after or not (size.isascii() and size.isdigit()) or end + 4 + int(size) > len(data):
+            yield malformed(data[start:after])
+            at = after
+            continue
+        at = end + 4 + int(size)
+        yield Record(headers, data[end + 4 : at])
 
 
 def response(key: str, uri: str, payload: bytes, date: str = DATE) -> Record:
@@ -106,12 +163,49 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
 
 
+_charset = re.compile(rb"""<meta\b[^>]{0,200}?charset\s*=\s*["']?([A-Za-z0-9_:.-]+)""", re.I)
+
+
+def joined_chunks(body: bytes) -> bytes:
+    """The body of a chunked message, as far as its chunks are whole."""
+    out, at = [], 0
+    while (end := body.find(CRLF, at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not size or any(c not in b"0123456789abcdefABCDEF" for c in size) or int(size, 16) == 0:
+            break
+        out.append(body[end + 2 : end + 2 + int(size, 16)])
+        at = end + 4 + int(size, 16)
+    return b"".join(out)
+
+
+def decoded(head: bytes, payload: bytes) -> str:
+    """A message's text: chunks joined, coding undone, by its charset."""
+    lines = [x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]]
+    get = lambda name: next((v.strip().lower() for k, _, v in lines if k.strip().lower() == name), "")
+    if "chunked" in get("transfer-encoding"):
+        payload = joined_chunks(payload) or payload
+    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(get("content-encoding"), ()):
+        reader = zlib.decompressobj(bits)
+        try:
+            payload = reader.decompress(payload)
+            break
+        except zlib.error:
+            continue
+    named = re.search(r"charset\s*=\s*[\"']?([a-z0-9_:.-]+)", get("content-type"))
+    meta = None if named else _charset.search(payload, 0, 2048)
+    charset = named[1] if named else meta[1].decode("ascii") if meta else "utf-8"
+    try:
+        return payload.decode(charset, "replace")
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
+
+
 def derive(source: Record) -> tuple[Record, Record]:
     """The metadata and conversion records of a response."""
     head, gap, payload = source.block.partition(CRLF + CRLF)
     if not source.block.startswith(b"HTTP/") or not gap:
         head, payload = b"", source.block
-    page = payload.decode("utf-8", "replace")
+    page = decoded(head, payload)
     of = source.get("WARC-Record-ID")
     ids = {kind: record_id(f"{of} {kind}") for kind in ("metadata", "conversion")}
     fields = []
@@ -119,8 +213,9 @@ def derive(source: Record) -> tuple[Record, Record]:
         fields.append(("title", " ".join(html_lib.unescape(m[1]).split())))
     if m := _lang.search(page):
         fields.append(("languages", m[1]))
-    fields += [("sourcePayloadDigest", source.get("WARC-Payload-Digest") or digest(payload)), ("sourceBlockDigest", source.get("WARC-Block-Digest") or digest(source.block))]
-    fields += [("sourceHeader", x) for x in head.decode("utf-8", "replace").split("\r\n") if x]
+    digests = [("PayloadDigest", source.get("WARC-Payload-Digest") or digest(payload)), ("BlockDigest", source.get("WARC-Block-Digest") or digest(source.block))]
+    lines = [("Header", x) for x in head.decode("utf-8", "replace").split("\r\n") if x]
+    fields += [(f"source{k}", v) for k, v in digests + lines]
     fields += [("outlink", html_lib.unescape(a or b or c)) for a, b, c in _links.findall(page)]
     blocks = {"metadata": "".join(f"{k}: {one_line(v)}\r\n" for k, v in fields).encode(), "conversion": plain_text(page).encode("utf-8", "replace")}
     out = []
@@ -135,6 +230,7 @@ def derive(source: Record) -> tuple[Record, Record]:
             ("WARC-Date", source.get("WARC-Date")),
             ("Content-Type", content),
             ("WARC-Block-Digest", digest(block)),
+            *[(f"WARC-Source-{k.replace('Digest', '-Digest')}", v) for k, v in (digests + lines if kind == "conversion" else [])],
             ("Content-Length", str(len(block))),
         ]
         out.append(Record(headers, block))
@@ -162,7 +258,7 @@ OUT = "kind string, record_id string, refers_to string, target_uri string, block
 
 
 def derivatives(source: DataFrame, keep: list[str]) -> DataFrame:
-    """Two rows, of OUT, for each response record in column _ts_record; record holds the bytes to write."""
+    """Two rows, of OUT, for each response record in column _ts_record, one for what is malformed; record holds the bytes to write."""
     names = [*keep, *(x.split()[0] for x in OUT.split(", "))]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -170,7 +266,10 @@ def derivatives(source: DataFrame, keep: list[str]) -> DataFrame:
         rows, take = [], []
         for i, data in enumerate(batch.column(n).to_pylist()):
             for found in parse(data or b""):
-                if found.get("WARC-Type") != "response":
+                if (kind := found.get("WARC-Type")) == "malformed":
+                    rows.append((kind, None, None, None, None, None, len(found.block), found.block))
+                    take.append(i)
+                if kind != "response":
                     continue
                 payload = found.get("WARC-Payload-Digest")
                 for x in derive(found):
