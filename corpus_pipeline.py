@@ -1,7 +1,8 @@
 """Corpus pipeline: quality rules, near-duplicates, repeated passages, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the
-next one's docs. All stages but the last return the columns of documents.
+next one's docs. All stages but the last return the columns of documents. The folders of the stages stay until the shared
+folder is cleared, as the last one's result is read from them when it is used.
 
 Defined cases: rows are judged as each operator states; a text whose words are all repeats of smaller
 documents stays as an empty text; an empty table gives an empty result.
@@ -9,14 +10,13 @@ documents stays as an empty text; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenscope.llm import decontam, neardup, pieces, quality, substring
-from tokenscope.llm.common import prepare, table
+from tokenscope.llm.common import prepare, shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each one's result written to the shared folder in spark.checkpoint.dir and read again."""
     prepare(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ts_pipeline_")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark, 'ts_pipeline_')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -69,9 +69,36 @@ def test_query_equals_brute_force(spark):
             at = min(at, len(after))
             after = after[:at] + inserted + after[at + deleted :]
         want.append((d, total(t), total(after), 4, len(after)))
-    out = tokencount.count_edits(df, tokencount.sample_edits(), ["doc_id"], PATH, PATTERN).drop("n_reencoded")
+    out = tokencount.count_edits(df, tokencount.sample_edits, ["doc_id"], PATH, PATTERN).drop("n_reencoded")
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
-    assert tokencount.count_edits(df.limit(0), tokencount.sample_edits(), ["doc_id"], PATH, PATTERN).count() == 0
+    assert tokencount.count_edits(df.limit(0), tokencount.sample_edits, ["doc_id"], PATH, PATTERN).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(PARTS, st.lists(st.tuples(st.integers(0, 80), st.integers(0, 30), PARTS), max_size=4))
+def test_kept_trees_are_edited_without_encoding_the_rest(text, edits):
+    tree = tokencount.Tree(text * 9, TOKENIZER)
+    for at, deleted, inserted in edits:
+        kept = tokencount.Tree(tree.text, None, tree.to_bytes())
+        assert kept.tokens == tree.tokens and kept.to_bytes() == tree.to_bytes()
+        kept.tokenizer = TOKENIZER
+        kept.edit(at, deleted, inserted)
+        tree.edit(at, deleted, inserted)
+        check(kept)
+        assert kept.to_bytes() == tree.to_bytes()
+
+
+def test_edits_in_two_steps_through_stored_trees(spark, tmp_path):
+    prepare(spark)
+    rows = [(1, "one two  three's\n four " * 40), (2, ""), (3, None), (1, "again"), (None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokencount.build_trees(df, ["doc_id"], PATH, PATTERN).write.parquet(f"{tmp_path}/trees")
+    once = tokencount.apply_edits(spark.read.parquet(f"{tmp_path}/trees"), tokencount.sample_edits(F.col("_ts_text")), ["doc_id"], PATH, PATTERN)
+    twice = tokencount.apply_edits(once, tokencount.sample_edits(F.col("_ts_text")), ["doc_id"], PATH, PATTERN).collect()
+    assert all(r.n_after == total(r._ts_text) and r.n_chars_after == len(r._ts_text) for r in twice) and len(twice) == len(rows)
+    broken = once.withColumn("_ts_tree", F.lit(None).cast("binary")).union(once.withColumn("_ts_tree", F.lit(b"12345678")))
+    again = tokencount.apply_edits(broken, F.lit(None).cast("array<struct<at:long,deleted:long,inserted:string>>"), ["doc_id"], PATH, PATTERN).collect()
+    assert all(r.n_before == r.n_after == total(r._ts_text) for r in again)
 
 
 def test_vocabulary_must_be_there():

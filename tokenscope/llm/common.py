@@ -21,16 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches and make sure that checkpoint() has a folder.
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """The cluster's folder, spark.checkpoint.dir; where that is unset a temporary one, on a local master only."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
 
-    The cluster's folder is spark.checkpoint.dir; a temporary one is set only where that is unset (tests).
-    """
+def prepare(spark: SparkSession) -> None:
+    """Bound Arrow batches and make sure that checkpoint() has a folder, see shared_folder."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ts_checkpoint_")
-        spark.sparkContext.setCheckpointDir(where)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "ts_checkpoint_"))
 
 
 def release(spark: SparkSession) -> None:

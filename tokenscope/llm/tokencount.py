@@ -7,7 +7,12 @@ past its end's neighbour, so earlier ones stand), and stops as soon as a new pre
 ended behind the edit: from there on the pattern finds the same pre-tokens. Only the nodes touched and the
 sums on their paths to the root change.
 
-Defined cases: null texts and null edit lists count as empty; positions and lengths are code points and are
+Trees are kept: build_trees gives each document's tree as bytes (lengths and counts of its pre-tokens), and
+apply_edits takes texts, trees and edits to new texts, trees and counts, without encoding what no edit touches. A tree
+is balanced when it is read; edits split leaves where they are.
+
+Defined cases: null texts and null edit lists count as empty; a null tree, or one whose lengths don't add up to the
+text's, is built anew; positions and lengths are code points and are
 cut to the text; edits apply in their order, each to the text that the ones before left; every row gives one
 result row; an empty table gives an empty result.
 """
@@ -18,6 +23,7 @@ import base64
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -101,10 +107,27 @@ class Node:
 class Tree:
     """A document's text with its pre-tokens."""
 
-    def __init__(self, text: str, tokenizer: Tokenizer) -> None:
+    def __init__(self, text: str, tokenizer: Tokenizer, kept: bytes | None = None) -> None:
         self.text, self.tokenizer, self.reencoded = text, tokenizer, 0
+        if kept is not None and len(kept) % 8 == 0:
+            both = np.frombuffer(kept, dtype="<u4").reshape(2, -1)
+            if int(both[0].sum()) == len(text):
+                self.root = Node(both[0].tolist(), both[1].tolist(), None)
+                return
         self.root = Node(*tokenizer.split(text), None)
 
+    def to_bytes(self) -> bytes:
+        """Lengths, then counts, of all pre-tokens, as unsigned 32-bit integers."""
+        lengths, counts, stack = [], [], [self.root]
+        while stack:
+            node = stack.pop()
+            if node.left is None:
+                lengths += node.lengths
+                counts += node.counts
+            else:
+                stack += [node.right, node.left]
+        return np.array([lengths, counts], dtype="<u4").tobytes()
+
     @property
     def tokens(self) -> int:
         return self.root.tokens
@@ -174,34 +197,57 @@ def _tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
-def count_edits(docs: DataFrame, edits: Column, keep: list[str], path: str, pattern: str) -> DataFrame:
-    """Columns keep of docs with n_before, n_after (tokens), n_edits, n_chars_after, n_reencoded (characters).
+def _kinds(df: DataFrame, keep: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+
+
+def build_trees(docs: DataFrame, keep: list[str], path: str, pattern: str) -> DataFrame:
+    """Columns keep of docs with _ts_text, _ts_tree and _ts_tokens. The vocabulary's path must be readable on the executors."""
+    n, own = len(keep), [OWN + x for x in ("text", "tree", "tokens")]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        trees = [Tree(t, _tokenizer(path, pattern)) for t in texts_of(batch.column(n))]
+        new = [pa.array([t.text for t in trees]), pa.array([t.to_bytes() for t in trees], type=pa.binary()), pa.array([t.tokens for t in trees], type=pa.int64())]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *new], names=[*keep, *own])
+
+    return map_batches(docs.select(*keep, "text"), one, f"{_kinds(docs, keep)}, {own[0]} string, {own[1]} binary, {own[2]} long")
+
 
-    edits is an array of structs (at, deleted, inserted). The vocabulary's path must be readable on the executors.
+def apply_edits(trees: DataFrame, edits: Column, keep: list[str], path: str, pattern: str) -> DataFrame:
+    """Columns keep of trees (see build_trees) with the new _ts_text and _ts_tree, n_before, n_after (tokens), n_edits, n_chars_after, n_reencoded (characters).
+
+    edits is an array of structs (at, deleted, inserted).
     """
+    n, own = len(keep), [OWN + x for x in ("text", "tree", "edits")]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokenizer, n = _tokenizer(path, pattern), len(keep)
+        tokenizer = _tokenizer(path, pattern)
         out = []
-        for text, changes in zip(texts_of(batch.column(n)), batch.column(n + 1).to_pylist()):
-            tree = Tree(text, tokenizer)
+        for text, kept, changes in zip(texts_of(batch.column(n)), batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist()):
+            tree = Tree(text, tokenizer, kept)
             before, changes = tree.tokens, [x for x in changes or [] if x is not None]
             for x in changes:
                 tree.edit(x["at"] or 0, x["deleted"] or 0, x["inserted"] or "")
-            out.append((before, tree.tokens, len(changes), len(tree.text), tree.reencoded))
-        columns = [pa.array(list(x), type=pa.int64()) for x in zip(*out)]
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *columns], names=[*keep, *NAMES])
+            out.append((tree.text, tree.to_bytes(), before, tree.tokens, len(changes), len(tree.text), tree.reencoded))
+        columns = [pa.array(list(x), type=t) for x, t in zip(zip(*out), [pa.string(), pa.binary(), *[pa.int64()] * len(NAMES)])]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *columns], names=[*keep, *own[:2], *NAMES])
+
+    source = trees.select(*keep, *own[:2], edits.alias(own[2]))
+    return map_batches(source, one, f"{_kinds(trees, keep)}, {own[0]} string, {own[1]} binary, " + ", ".join(f"{x} long" for x in NAMES))
+
 
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return map_batches(docs.select(*keep, "text", edits.alias(OWN + "edits")), one, f"{kinds}, " + ", ".join(f"{x} long" for x in NAMES))
+def count_edits(docs: DataFrame, edits: Callable[[Column], Column], keep: list[str], path: str, pattern: str) -> DataFrame:
+    """Columns keep of docs with NAMES: trees are built, then edited; edits makes the edits of a text."""
+    trees = build_trees(docs, keep, path, pattern)
+    return apply_edits(trees, edits(F.col(OWN + "text")), keep, path, pattern).select(*keep, *NAMES)
 
 
 NAMES = ("n_before", "n_after", "n_edits", "n_chars_after", "n_reencoded")
 
 
-def sample_edits() -> Column:
+def sample_edits(text: Column) -> Column:
     """Four edits per document, set by its length: a deletion at the start, a replacement, an inserted line break, an added ending."""
-    n = F.coalesce(F.length("text"), F.lit(0))
+    n = F.coalesce(F.length(text), F.lit(0))
     edit = lambda at, deleted, inserted: F.struct(at.cast("long").alias("at"), F.lit(deleted).cast("long").alias("deleted"), F.lit(inserted).alias("inserted"))
     return F.array(edit(F.lit(0), 1, ""), edit(F.floor(n / 3), 12, " a revised passage 2024"), edit(F.floor(n * 2 / 3), 0, "\n\n"), edit(n + 12, 0, " The end."))
 
@@ -210,4 +256,4 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    return count_edits(docs, sample_edits(), ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return count_edits(docs, sample_edits, ["doc_id"], public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
