@@ -20,6 +20,14 @@ def dump(value: object) -> str:
     return text.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
 
 
+def compact(text: str | None) -> str | None:
+    """A JSON text written anew by dump; None for what is no JSON."""
+    try:
+        return dump(json.loads(text))
+    except (TypeError, ValueError):
+        return None
+
+
 def redact_leftmost(text: str) -> tuple[str, int]:
     out, at, n = [], 0, 0
     while True:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.plans import catalog, cost, reports, scalars, stateful, text, vectors
+from tokenscope.plans import catalog, cost, reports, scalars, services, stateful, text, vectors
 
-MODULES = (cost, scalars, text, catalog, vectors, stateful, reports)
+MODULES = (cost, scalars, text, catalog, vectors, stateful, reports, services)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
