@@ -1,10 +1,11 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tokenscope.functions import jsontext, scalars, text
-from tokenscope.operators import catalog, vectors
+from tokenscope.functions import jsontext, render, scalars, text
+from tokenscope.operators import catalog, services, vectors
 from tokenscope.operators import text as text_op
 from tokenscope.sources import feeds
 
@@ -135,3 +136,62 @@ def test_safe_paths(spark):
     paths = {"a/b": True, "": False, "/a": False, "../a": False, "a/../b": False, "a..b": True}
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert {r.p: r.ok for r in df.select("p", feeds.safe_path(F.col("p")).alias("ok")).collect()} == paths
+
+
+def test_lookups_keep_repeated_rows(spark):
+    urls = spark.createDataFrame([(1, "http://a.example.net/"), (1, "http://a.example.net/"), (2, None)], "page_id long, url string")
+    assert sorted((r.page_id, r.provider) for r in catalog.match_hosts(urls, [("x", "net"), ("y", "example.net")]).collect()) == [(1, "x"), (1, "x"), (2, "other")]
+    df = spark.createDataFrame([("Tool NOT found",), ("Tool NOT found",), ("nothing",), (None,)], "m string")
+    assert [r.a for r in df.select(catalog.hint(F.col("m")).alias("a")).collect()] == ["list_tools", "list_tools", "none", "none"]
+    scored = spark.createDataFrame([(60,), (60,), (0,)], "risk int")
+    assert [r.action for r in text_op.band_action(scored).collect()] == ["quarantine", "quarantine", "log"]
+
+
+def test_settings_are_validated_in_order(spark):
+    server = "named_struct('command', {})"
+    cases = [
+        ("", "stdio", "null", "null", "name"), ("a", "", "null", "null", "transport"), ("a", "ws", "null", "null", "transport"), ("a", "stdio", "null", "null", "stdio"),
+        ("a", "stdio", server.format("''"), "null", "command"), ("a", "stdio", server.format("'x'"), "null", None), ("a", "sse", "null", "null", "http"),
+        ("a", "http", "null", "named_struct('url', '')", "url"), ("a", "http", "null", "named_struct('url', 'ftp://x')", "url"), ("a", "http", "null", "named_struct('url', 'https://x')", None),
+    ]
+    for name, kind, stdio, http, want in cases:
+        stdio, http = (F.expr(f"cast({x} as struct<{c}:string>)") for x, c in ((stdio, "command"), (http, "url")))
+        got = one(spark, catalog.config_error(F.lit(name), F.lit(kind), stdio, http))
+        assert (got and got.field) == want, (name, kind)
+
+
+def test_keys_expire_and_the_last_write_wins(spark):
+    now = datetime(2024, 1, 1, 12)
+    schema = "key string, value string, expires_at timestamp, seq long"
+    store = spark.createDataFrame([("a", "1", None, 1), ("b", "1", datetime(2024, 1, 1), 1)], schema)
+    after = feeds.set_keys(store, spark.createDataFrame([("a", "2", None, 2), ("c", "3", datetime(2024, 1, 2), 2)], schema))
+    assert sorted((r.key, r.value) for r in feeds.live_keys(after, now).collect()) == [("a", "2"), ("c", "3")]
+    assert sorted(r.key for r in feeds.key_scan(after, "key", "[").collect()) == [] and feeds.key_scan(after, "key", "*").count() == 3
+    cached = spark.createDataFrame([(1, datetime(2024, 1, 1)), (2, datetime(2023, 12, 30))], "id long, cached_at timestamp")
+    assert [r.id for r in feeds.fresh(cached, now).collect()] == [1]
+
+
+def test_days_back():
+    now = datetime(2024, 1, 10)
+    assert render.since("3", now) == datetime(2024, 1, 7) and all(render.since(x, now) is None for x in (None, "", "0", "-1", "x", "1.5"))
+
+
+def test_globs_of_paths_below_the_root(spark, tmp_path):
+    for name in ("a.go", "sub/b.go", "sub/deep/c.go", "sub/d.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = lambda glob: sorted(r.path.rsplit("/", 1)[1] for r in feeds.read_files(spark, str(tmp_path), glob).collect())
+    assert found("*.go") == ["a.go", "b.go", "c.go"] and found("sub/*.go") == ["b.go"] and found("**/*.go") == ["a.go", "b.go", "c.go"] and found("sub/**/c.go") == ["c.go"]
+
+
+def test_a_null_character_moves_no_count(spark):
+    got = one(spark, text.prune_boilerplate(F.lit('a\0b\nimport "x"\nc'), F.lit("go")))
+    assert got == "a\0b\n[IMPORTS_REDACTED:1 lines]\nc"
+
+
+def test_settings_files(spark):
+    rows = [("claude", '{"mcpServers": {"a": {"command": "/x/y", "args": ["1"]}}}'), ("vscode", '{"mcpExtensions": {"b": {}}}'), ("cursor", "broken"), ("else", "{}"), ("claude", None)]
+    got = services.discovered_servers(spark.createDataFrame(rows, "source string, text string")).orderBy("name").collect()
+    assert [(r.source, r.name, r.command, r.cwd) for r in got] == [("claude", "a", "/x/y", "/x"), ("vscode", "b", "", ".")]
+    assert one(spark, services.estimate_json(F.lit('{"b": 1,  "a": "<"}'))) == 5 and one(spark, services.estimate_json(F.lit("{"))) == 0
+    assert services.status_rows(spark.createDataFrame([("x",), (None,), ('{"servers": []}',)], "text string")).count() == 0

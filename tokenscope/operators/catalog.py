@@ -172,9 +172,9 @@ def allowed(clients: Column, client: Column) -> Column:
 
 
 def glob_regex(pattern: str, crosses: bool = True) -> str:
-    """A glob as a whole-string expression; with crosses False a star stops at slashes."""
-    parts = {"*": ".*" if crosses else "[^/]*", "?": "." if crosses else "[^/]"}
-    return "^" + "".join(parts.get(c) or re.escape(c) for c in pattern) + "$"
+    """A glob as a whole-string expression; with crosses False a star stops at slashes, two stars and a slash are any folders or none."""
+    parts = {"*": ".*" if crosses else "[^/]*", "?": "." if crosses else "[^/]", "**": ".*", "**/": "(?:.*/)?"}
+    return "^" + "".join(parts.get(c) or re.escape(c) for c in re.findall(r"\*\*/?|.", pattern, re.S)) + "$"
 
 
 def transport(raw: Column) -> Column:

@@ -91,13 +91,19 @@ def write_json(log: DataFrame, path: str) -> None:
 
 
 def dashboard(log: DataFrame) -> DataFrame:
-    """One row: totals, numbers of tools and servers, and the top of each."""
-    totals = log.agg(
-        F.sum("tokens").alias("total_tokens"), F.count(F.lit(1)).alias("calls"), F.count_distinct("tool").alias("tools"), F.count_distinct("server").alias("servers")
+    """One row: totals, numbers of tools and servers, and the top of each, in one pass over the log."""
+    sets = log.groupingSets([["tool"], ["server"], []], "tool", "server").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("calls"), F.grouping_id().alias("g"))
+    of = lambda g, value: F.when(F.col("g") == g, value)
+    top = lambda g, name: F.min_by(F.struct(F.col(name).alias("name"), "tokens"), of(g, F.struct(-F.col("tokens"), F.col(name))))
+    one = sets.agg(
+        F.max(of(3, F.col("tokens"))).alias("total_tokens"),
+        F.coalesce(F.max(of(3, F.col("calls"))), F.lit(0)).alias("calls"),
+        F.count(of(1, F.col("tool"))).alias("tools"),
+        F.count(of(2, F.col("server"))).alias("servers"),
+        top(1, "tool").alias("t"),
+        top(2, "server").alias("s"),
     )
-    tool = top_one(log, "tool").select(F.col("tool").alias("top_tool"), F.col("tokens").alias("top_tool_tokens"))
-    server = top_one(log, "server").select(F.col("server").alias("top_server"), F.col("tokens").alias("top_server_tokens"))
-    return totals.join(tool, F.lit(True), "left").join(server, F.lit(True), "left")
+    return one.select("total_tokens", "calls", "tools", "servers", *[F.col(f"{c[0]}.{x}").alias(f"top_{c}{y}") for c in ("tool", "server") for x, y in (("name", ""), ("tokens", "_tokens"))])
 
 
 def error_rate(log: DataFrame, is_error) -> DataFrame:

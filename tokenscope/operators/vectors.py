@@ -26,13 +26,13 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(fits, _dot(a, b) / n).otherwise(0.0)
 
 
-def scored(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every query against every vector: qid, id, score. Up to MAX_QUERY_ROWS queries go to the tasks that hold vectors; more are dealt in blocks of about so many, each block meeting each part of the vectors."""
-    q = queries.select("qid", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
+def scored(queries: DataFrame, vectors: DataFrame, same: str | None = None) -> DataFrame:
+    """Every query against every vector, or those with an equal column same: qid, id, score. Up to MAX_QUERY_ROWS queries go to the tasks that hold vectors; more are dealt in blocks of about so many, each block meeting each part of the vectors."""
+    q = queries.select("qid", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), *([F.col(same).alias("q_same")] if same else []))
     n = queries.count()
     q = F.broadcast(q) if n <= MAX_QUERY_ROWS else q.repartition(-(-n // MAX_QUERY_ROWS)).hint("shuffle_replicate_nl")
-    v = vectors.select("id", "vector", norm(F.col("vector")).alias("vn"))
-    return v.join(q, F.lit(True)).select("qid", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn")).alias("score"))
+    v = vectors.select("id", "vector", norm(F.col("vector")).alias("vn"), *([same] if same else []))
+    return v.join(q, F.col(same) == F.col("q_same") if same else F.lit(True)).select("qid", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn")).alias("score"))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -64,8 +64,11 @@ def semantic_hits(requests: DataFrame, entries: DataFrame, vectors: DataFrame, t
     open_ = requests.join(decided.where("kind is null").select("qid"), "qid", "left_semi")
     info = entries.select("id", F.col("tool").alias("etool"), F.col("day").alias("eday"))
     if filter_first:
-        ranked = scored(open_, vectors).join(info, "id").join(open_.select("qid", "tool", "day"), "qid").where("tool = etool")
-        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= CANDIDATES)
+        # vectors learn their tool first, so that only pairs of one tool are scored and each task keeps its best before rows are sent
+        own = vectors.join(entries.select("id", "tool"), "id")
+        best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+        ranked = scored(open_, own, "tool").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= CANDIDATES)
+        ranked = ranked.join(info, "id").join(open_.select("qid", "tool", "day"), "qid")
     else:
         ranked = top_k(open_, vectors, CANDIDATES).join(info, "id").join(open_.select("qid", "tool", "day"), "qid").where("tool = etool")
     good = ranked.where((F.col("score") >= threshold) & (F.col("day") - F.col("eday") <= ttl_days))

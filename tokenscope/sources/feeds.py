@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from datetime import datetime
 
@@ -73,15 +74,21 @@ def live_keys(store: DataFrame, now: datetime) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, size, modified, text of up to 1 MiB, truncated; a star in the glob does not cross folders."""
+    """path, size, modified, text of up to 1 MiB, truncated, of the files whose path below the root fits the glob.
+
+    A star does not cross folders, two stars do; a glob without a slash is of file names in any folder.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    plain = lambda p: re.sub(r"^[a-z0-9]+:/*(?=/)", "", p).rstrip("/") + "/"
+    below = F.expr(f"substring(regexp_replace(path, '^[a-z0-9]+:/*(?=/)', ''), {len(plain(path)) + 1})")
+    name = F.element_at(F.split("path", "/"), -1) if "/" not in glob else below
     return files.select(
         "path",
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified"),
         F.make_valid_utf8(F.substring("content", 1, MAX_FILE_BYTES).cast("string")).alias("text"),
         (F.col("length") > MAX_FILE_BYTES).alias("truncated"),
-    ).where(F.element_at(F.split("path", "/"), -1).rlike(glob_regex(glob, crosses=False)))
+    ).where(name.rlike(glob_regex(glob, crosses=False)))
 
 
 def safe_path(path: Column) -> Column:

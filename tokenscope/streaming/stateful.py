@@ -49,17 +49,17 @@ def quarantine_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQ
     def write(batch: DataFrame, number: int) -> None:
         from tokenscope.operators.text import quarantine
 
-        quarantine(batch.withColumn("risk", fn.risk_score(F.col("text"))).withColumn("action", fn.action_of(F.col("risk"))), path)
+        quarantine(batch.withColumn("risk", fn.risk_score(F.col("text"))).withColumn("action", fn.action_of(F.col("risk"))), path, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def on_change(feed: DataFrame, last: list, hook: Callable[[int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that calls hook when the feed's digest differs from the last one seen."""
+def on_change(last: list, hook: Callable[[int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for snapshots of a feed: it calls hook when a batch's digest differs from that of the last one, kept in last."""
     from tokenscope.sources.feeds import feed_digest
 
-    def run(_: DataFrame, number: int) -> None:
-        now = tuple(feed_digest(feed).first())
+    def run(batch: DataFrame, number: int) -> None:
+        now = tuple(feed_digest(batch).first())
         if last and last[-1] == now:
             return
         last[:] = [now]
