@@ -65,7 +65,7 @@ def semantic_hits(requests: DataFrame, entries: DataFrame, vectors: DataFrame, t
     info = entries.select("id", F.col("tool").alias("etool"), F.col("day").alias("eday"))
     if filter_first:
         # vectors learn their tool first, so that only pairs of one tool are scored and each task keeps its best before rows are sent
-        own = vectors.join(entries.select("id", "tool"), "id")
+        own = vectors.select("id", "vector").join(entries.select("id", "tool"), "id")
         best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
         ranked = scored(open_, own, "tool").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= CANDIDATES)
         ranked = ranked.join(info, "id").join(open_.select("qid", "tool", "day"), "qid")
