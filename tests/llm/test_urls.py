@@ -41,11 +41,22 @@ def test_equals_brute_force(spark):
 
 
 def test_required_tokens():
-    assert urls.required_tokens(r"\bcheap-pills\b") == {"cheap", "pills"}
-    assert urls.required_tokens(r"cheap-pills") == set()
-    assert urls.required_tokens(r"/wp-login\.php\b") == {"wp", "login", "php"}
-    assert urls.required_tokens(r"\ba(?:b|c)\b") == set()
-    assert urls.required_tokens(r"-(?:big)-x*") == {"big"}
+    assert urls.required_tokens(r"\bcheap-pills\b") == [{"cheap", "pills"}]
+    assert urls.required_tokens(r"cheap-pills") == [set()]
+    assert urls.required_tokens(r"/wp-login\.php\b") == [{"wp", "login", "php"}]
+    assert urls.required_tokens(r"\ba(?:b|c)\b") == [set()]
+    assert urls.required_tokens(r"-(?:big)-x*") == [{"big"}]
+    assert urls.required_tokens(r"\b(?:casino|viagra)\b") == [{"casino"}, {"viagra"}]
+    assert urls.required_tokens(r"\bfree-(?:money|prizes)\b") == [{"free", "money"}, {"free", "prizes"}]
+    assert urls.required_tokens(r"\b(?:one|[a-z]+)\b") == [{"one"}, set()]
+    assert urls.required_tokens("(?:a|b-)" * 30 + r"\bx\b")
+
+
+def test_every_rule_here_has_its_tokens():
+    rules = tuple(urls.host_rule(*x) for x in urls.HOST_RULES) + tuple(urls.Rule(p, p, v, False) for p, v in urls.PATTERN_RULES)
+    index = urls.Index(rules, {})
+    assert not index.always and index.judge("http://nothing.here/")[4] == 0
+    assert index.judge("casino")[3] == "block" and index.judge("casino")[4] == 1
 
 
 def test_rules_rest_under_their_rarest_token():

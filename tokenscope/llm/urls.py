@@ -2,14 +2,15 @@
 
 A rule is a regular expression with a verdict. From its parse tree come the literal tokens (runs of ASCII
 letters and digits) that every matching URL must hold as whole tokens; the one that is rarest in the table's
-URLs is the rule's key. A URL's tokens fetch the rules under them, and only those run their expression. Rules
-without such a token run on every URL.
+URLs is the rule's key. A rule with alternatives has a key for each of them. A URL's tokens fetch the rules under
+them, and only those run their expression. Rules in which some alternative has no such token run on every URL; none
+of the rules here is one.
 
 Two kinds of rules share the index: host-and-path rules such as ``block net/``, which fit a host and its
 subdomains and of which the longest wins, and patterns on the whole URL, which decide where no host rule fits.
 
-Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule, and is allowed;
-every row gives one result row; an empty table gives an empty result.
+Defined cases: a null URL, or one without ``://``, has an empty host and path and no host rule; a null URL is allowed,
+the other is judged by the patterns; every row gives one result row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,34 +74,41 @@ def host_rule(name: str, verdict: str) -> Rule:
     return Rule(name, rf"(?:[^/]*\.)?{re.escape(host.translate(_lower))}\n{after}", verdict, True)
 
 
-def required_tokens(pattern: str) -> set[str]:
-    """Tokens that stand whole in every string that the pattern matches."""
-    tokens: set[str] = set()
-    run: list[str] = []
-
-    def flush() -> None:
-        # a token counts if both of its ends are known: by another literal character or by an assertion
-        parts = re.findall(r"[a-z0-9]+|[^a-z0-9]", "".join(run).translate(_lower))
-        for i, p in enumerate(parts):
-            if TOKEN.fullmatch(p) and 0 < i < len(parts) - 1:
-                tokens.add(p)
-        run.clear()
-
-    def walk(items: Iterable) -> None:
-        for op, arg in items:
-            if op is sre_constants.LITERAL:
-                run.append(chr(arg) if chr(arg).isascii() else _edge)
-            elif op is sre_constants.AT:
-                run.append(_edge)
-            elif op is sre_constants.SUBPATTERN and not (arg[1] or arg[2]):
-                walk(arg[3])
-            else:
-                flush()
-        return
-
-    walk(sre_parser.parse(pattern))
-    flush()
-    return tokens
+MAX_ALTERNATIVES = 64
+
+
+def _alternatives(items: Iterable) -> list[list[str | None]]:
+    """What a pattern's parts match, one list for each choice of its alternatives: literal characters, edges, and None for anything."""
+    out: list[list[str | None]] = [[]]
+    for op, arg in items:
+        if op is sre_constants.LITERAL:
+            parts = [[chr(arg) if chr(arg).isascii() else _edge]]
+        elif op is sre_constants.AT:
+            parts = [[_edge]]
+        elif op is sre_constants.SUBPATTERN and not (arg[1] or arg[2]):
+            parts = _alternatives(arg[3])
+        elif op is sre_constants.BRANCH:
+            parts = [x for branch in arg[1] for x in _alternatives(branch)]
+        else:
+            parts = [[None]]
+        if len(out) * len(parts) > MAX_ALTERNATIVES:
+            parts = [[None]]
+        out = [x + y for x in out for y in parts]
+    return out
+
+
+def required_tokens(pattern: str) -> list[set[str]]:
+    """For each choice of the pattern's alternatives the tokens that stand whole in every string that it matches."""
+    found = []
+    for parts in _alternatives(sre_parser.parse(pattern)):
+        tokens: set[str] = set()
+        for run in "".join("\n\n" if c is None else c for c in parts).split("\n\n"):
+            # a token counts if both of its ends are known: by another literal character or by an assertion
+            pieces = re.findall(r"[a-z0-9]+|[^a-z0-9]", run.translate(_lower))
+            tokens |= {t for i, t in enumerate(pieces) if TOKEN.fullmatch(t) and 0 < i < len(pieces) - 1}
+        if tokens not in found:
+            found.append(tokens)
+    return found
 
 
 def tokens_of(url: str) -> set[str]:
@@ -116,8 +124,9 @@ class Index:
         for rule in rules:
             needed = required_tokens(("\\A" if rule.on_host else "") + _bounded(rule))
             entry = (rule, re.compile(rule.pattern, 0 if rule.on_host else re.I | re.A))
-            if needed:
-                self.under.setdefault(min(needed, key=lambda t: (counts.get(t, 0), t)), []).append(entry)
+            if all(needed):
+                for key in {min(tokens, key=lambda t: (counts.get(t, 0), t)) for tokens in needed}:
+                    self.under.setdefault(key, []).append(entry)
             else:
                 self.always.append(entry)
 
@@ -126,9 +135,9 @@ class Index:
         host, path = host_and_path(url)
         if url is None:
             return host, path, None, "allow", 0
-        found = list(self.always)
+        found = dict.fromkeys(self.always)
         for t in tokens_of(url):
-            found += self.under.get(t, ())
+            found.update(dict.fromkeys(self.under.get(t, ())))
         both, best, blocked = f"{host}\n{path}", None, False
         for rule, regex in found:
             if rule.on_host:
@@ -155,7 +164,7 @@ def _index(rules: tuple[Rule, ...], counts: tuple[tuple[str, int], ...]) -> Inde
 
 def token_counts(urls: DataFrame, rules: tuple[Rule, ...]) -> tuple[tuple[str, int], ...]:
     """How many URLs hold each token that some rule needs; the result is no longer than the rules are."""
-    wanted = sorted(set().union(*(required_tokens(_bounded(r)) for r in rules)))
+    wanted = sorted(set().union(*(tokens for r in rules for tokens in required_tokens(_bounded(r)))))
     spark = urls.sparkSession
     tokens = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("([a-z0-9]+)")))).alias("token"))
     known = spark.createDataFrame([(t,) for t in wanted], "token string")
