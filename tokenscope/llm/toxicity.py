@@ -153,9 +153,9 @@ class Network:
         p, n = self.p, len(ids) - WINDOW + 1
         sides = []
         for side, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-            # sigmoid(v) is (1 + tanh(v / 2)) / 2, and 1 - sigmoid(v) that of -v: the gates' halves go into the weights
-            scale = np.repeat(np.array([-0.5, 0.5, 1], np.float32), HIDDEN)
-            sides.append((order, np.ascontiguousarray(((x @ p[f"W{side}"] + p[f"b{side}"]) * scale).T), np.ascontiguousarray((p[f"U{side}"] * scale).T)))
+            # sigmoid(v) is (1 + tanh(v / 2)) / 2, and 1 - sigmoid(v) that of -v: inner halves go into the weights, outer ones into the candidate's
+            scale, inner = (np.repeat(np.array([-0.5, 0.5, c], np.float32), HIDDEN) for c in (1, 0.5))
+            sides.append((order, np.ascontiguousarray(((x @ p[f"W{side}"] + p[f"b{side}"]) * scale).T), np.ascontiguousarray((p[f"U{side}"] * inner).T)))
         att, att_b = np.ascontiguousarray(p["att"].T), p["att_b"][:, None]
         out = np.empty(n, np.float32)
         for at in range(0, n, BLOCK):
@@ -170,12 +170,12 @@ class Network:
                     gates = a[: 2 * HIDDEN] + g[: 2 * HIDDEN]
                     np.tanh(gates, out=gates)
                     gates += 1
-                    gates *= 0.5
                     c = gates[HIDDEN:] * g[2 * HIDDEN :]
                     c += a[2 * HIDDEN :]
                     np.tanh(c, out=c)
                     c -= h
                     c *= gates[:HIDDEN]
+                    c *= 0.5
                     h = np.add(h, c, out=states[t, number * HIDDEN : (number + 1) * HIDDEN])
             hidden = np.matmul(att, states)
             hidden += att_b
