@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenscope.functions import jsontext, render, scalars, text
 from tokenscope.operators import catalog, services, vectors
 from tokenscope.operators import text as text_op
-from tokenscope.sources import feeds
+from tokenscope.sources import feeds, sinks
 
 
 def one(spark, column, **values):
@@ -195,3 +195,32 @@ def test_settings_files(spark):
     assert [(r.source, r.name, r.command, r.cwd) for r in got] == [("claude", "a", "/x/y", "/x"), ("vscode", "b", "", ".")]
     assert one(spark, services.estimate_json(F.lit('{"b": 1,  "a": "<"}'))) == 5 and one(spark, services.estimate_json(F.lit("{"))) == 0
     assert services.status_rows(spark.createDataFrame([("x",), (None,), ('{"servers": []}',)], "text string")).count() == 0
+
+
+def test_snapshots_are_replaced_whole(spark, tmp_path):
+    path, schema = str(tmp_path / "state"), "name string, n long"
+    assert sinks.load_snapshot(spark, path, schema).count() == 0
+    for n in (1, 2):
+        sinks.replace_snapshot(spark.createDataFrame([("a", n)], schema), path)
+        assert [tuple(r) for r in sinks.load_snapshot(spark, path, schema).collect()] == [("a", n)]
+    (tmp_path / "state").rename(tmp_path / "state.old")
+    assert [r.n for r in sinks.load_snapshot(spark, path, schema).collect()] == [2]
+
+
+def test_named_files_and_their_errors(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.txt").write_text("hello")
+    names = spark.createDataFrame([("sub/a.txt",), ("none",), ("../x",), (None,)], "name string")
+    got = {r.name: (r.text, r.error) for r in feeds.read_named(spark, str(tmp_path), names).collect()}
+    assert got == {"sub/a.txt": ("hello", None), "none": (None, "not found"), "../x": (None, "unsafe path"), None: (None, "unsafe path")}
+
+
+def test_vectors_as_bytes(spark):
+    df = spark.createDataFrame([([1.0, -2.5],), ([],), (None,)], "v array<float>").withColumn("b", vectors.to_bytes(F.col("v")))
+    got = df.select("b", vectors.from_bytes(F.col("b")).alias("v")).collect()
+    assert [r.b for r in got] == [bytearray(b"\x00\x00\x80?\x00\x00 \xc0"), bytearray(), None] and [r.v for r in got] == [[1.0, -2.5], [], None]
+    assert one(spark, vectors.from_bytes(F.lit(b"abc"))) is None
+
+
+def test_comments_of_patterns():
+    assert text.strip_comments("a # b\nc") == "a \nc" and text.strip_comments(r"a\#b[#]#x") == r"a\#b[#]" and text.strip_comments("[#") == "[#"

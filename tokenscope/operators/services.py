@@ -127,6 +127,29 @@ def dashboard_json(log: DataFrame) -> DataFrame:
     return one.select(F.to_json(body).alias("body"))
 
 
+def with_trust(servers: DataFrame, scores: DataFrame, key: str, least: int = 40) -> DataFrame:
+    """servers with the trust score of each and whether it is low; one without a score has none and is not low."""
+    return servers.join(scores.select(key, "score"), key, "left").withColumn("low_trust", F.coalesce(F.col("score") < least, F.lit(False)))
+
+
+class BoundedQueue:
+    """A queue of at most most waiting items, served one after the other in seconds each; an item that waited over timeout is given up when its turn comes, which takes no time."""
+
+    def __init__(self, most: int = 100, seconds: float = 1.0, timeout: float = 30.0) -> None:
+        self.most, self.seconds, self.timeout, self.starts, self.free = most, seconds, timeout, [], 0.0
+
+    def step(self, ts: float) -> str:
+        self.starts = [t for t in self.starts if t > ts]
+        if len(self.starts) >= self.most:
+            return "full"
+        start = max(ts, self.free)
+        self.starts.append(start)
+        if start - ts > self.timeout:
+            return "timeout"
+        self.free = start + self.seconds
+        return "done"
+
+
 class MicroBatcher:
     """Numbers of batches: one takes most items at most and closes wait seconds after its first."""
 

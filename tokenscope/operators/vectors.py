@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,6 +28,26 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(fits, _dot(a, b) / n).otherwise(0.0)
 
 
+def to_bytes(vector: Column) -> Column:
+    """A vector as little-endian 32-bit floats."""
+
+    @F.arrow_udf("binary")
+    def pack(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in values.to_pylist()], type=pa.binary())
+
+    return pack(vector)
+
+
+def from_bytes(data: Column) -> Column:
+    """The vector of to_bytes; null for a number of bytes that is no multiple of four."""
+
+    @F.arrow_udf("array<float>")
+    def unpack(values: pa.Array) -> pa.Array:
+        return pa.array([None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4").tolist() for b in values.to_pylist()], type=pa.list_(pa.float32()))
+
+    return unpack(data)
+
+
 def scored(queries: DataFrame, vectors: DataFrame, same: str | None = None) -> DataFrame:
     """Every query against every vector, or those with an equal column same: qid, id, score. Up to MAX_QUERY_ROWS queries go to the tasks that hold vectors; more are dealt in blocks of about so many, each block meeting each part of the vectors."""
     q = queries.select("qid", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), *([F.col(same).alias("q_same")] if same else []))

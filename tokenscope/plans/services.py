@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tokenscope.operators import services as op
 from tokenscope.operators import state
+from tokenscope.plans import scalars
 from tokenscope.plans.cost import LOG
+from tokenscope.plans.scalars import trust_scores
 from tokenscope.plans.stateful import _log
 from tokenscope.sources.tables import call_log, table
 
@@ -124,11 +126,22 @@ def micro_batches(s, d):
     return rows.select("event_id", "server", F.col("decision").cast("long").alias("batch"))
 
 
+def bounded_queue(s, d):
+    """Each server's calls through a queue of three, served in 4,000 seconds each, given up after 7,000."""
+    return state.replay(_log(s, d), "server", ["ts", "event_id"], lambda k: op.BoundedQueue(3, 4000.0, 7000.0), ["t"], ["event_id", "server"], "event_id long, server string")
+
+
+def server_trust(s, d):
+    """Trust of each supplier by the score of the part of its number; every 10th has none."""
+    servers = table(s, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), "s_name")
+    return op.with_trust(servers, trust_scores(s, d).where("p_partkey % 10 <> 0"), "p_partkey")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         discovered_servers, running_status, status_by_server, status_costs, semantic_cache_store, semantic_cache_evictions, compacted_manifests, response_usage, json_token_estimate,
-        session_reports, registry_changes, dashboard_json, line_word_counts, micro_batches,
+        session_reports, registry_changes, dashboard_json, line_word_counts, micro_batches, bounded_queue, server_trust,
     )
 }
 
@@ -139,6 +152,12 @@ _BODY = """(select conv_id, turn, role, case when turn % 7 = 6 then null when tu
 _TOOL = lambda d: f"""'{{"name":"t' || p_partkey || '","description":' || to_json({d}) || ',"parameters":"{{}}"}}'"""
 
 SQL = {
+    "bounded_queue": f"""with recursive log as materialized (select event_id, server, epoch_us(ts) / 1e6 as t, row_number() over (partition by server order by ts, event_id) as rn from {LOG}),
+ st as (select distinct server, 0::bigint as rn, null::bigint as event_id, []::double[] as starts, 0::double as free, '' as decision from log union all
+ select server, rn, event_id, case when len(waiting) >= 3 then waiting else list_append(waiting, greatest(t, free)) end, case when len(waiting) >= 3 or greatest(t, free) - t > 7000 then free else greatest(t, free) + 4000 end,
+ case when len(waiting) >= 3 then 'full' when greatest(t, free) - t > 7000 then 'timeout' else 'done' end
+ from (select l.server, l.rn, l.event_id, l.t, st.free, list_filter(st.starts, lambda x: x > l.t) as waiting from st join log l on l.server = st.server and l.rn = st.rn + 1)) select event_id, server, decision from st where rn > 0""",
+    "server_trust": f"""select s_suppkey as p_partkey, s_name, score, coalesce(score < 40, false) as low_trust from supplier left join (select p_partkey, score from ({scalars.SQL["trust_scores"]}) where p_partkey % 10 <> 0) on s_suppkey = p_partkey""",
     "discovered_servers": """with t as (select s_suppkey, s_name, (['claude', 'cursor', 'vscode', 'other'])[s_suppkey % 4 + 1] as source, (['npx', '/usr/bin/node', '/run', ''])[s_suppkey % 4 + 1] as command,
  (['.', '/usr/bin', '/', '.'])[s_suppkey % 4 + 1] as cwd from supplier where s_suppkey % 10 <> 0)
  select s_suppkey, source, s_name as name, 'stdio' as transport, command, '-y ' || s_name as args, 'A=' || s_suppkey as env, cwd from t where source <> 'other'

@@ -91,6 +91,17 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     ).where(name.rlike(glob_regex(glob, crosses=False)))
 
 
+def read_named(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
+    """name, text and error of each asked file (name, below the root): an unsafe name, or a file that isn't there, is an error and no failure."""
+    found = read_files(spark, root).select(F.col("path").alias("_p"), "text")
+    base = re.sub(r"^[a-z0-9]+:/*(?=/)", "", root).rstrip("/")
+    place = F.regexp_replace("_p", "^[a-z0-9]+:/*(?=/)", "")
+    asked = names.withColumn("_safe", safe_path(F.col("name")))
+    out = asked.join(found.withColumn("_p", place), F.col("_safe") & (F.col("_p") == F.concat(F.lit(base + "/"), "name")), "left")
+    error = F.when(~F.coalesce("_safe", F.lit(False)), "unsafe path").when(F.col("_p").isNull(), "not found")
+    return out.select(*names.columns, "text", error.alias("error"))
+
+
 def safe_path(path: Column) -> Column:
     """Not empty, not absolute, without a parent step."""
     return (path != "") & ~path.rlike(r"(^/|(^|/)\.\.(/|$))")
