@@ -3,6 +3,7 @@ import random
 import struct
 
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import test_decontam, test_neardup, test_quality, test_substring
@@ -27,7 +28,7 @@ def make():
         elif kind == 3:
             w = [x.upper() + "%%%" for x in w]
         docs.append((i, r.choice([" ", "\n"]).join(w), r.choice(["en", "fr"]), "s", len(w)))
-    docs += [(500, docs[0][1], "en", "s", 1), (501, None, None, None, None), (502, "", "en", "s", 0)]
+    docs += [(500, docs[0][1], "en", "s", 1), (501, None, None, None, None), (502, "", "en", "s", 0), (503, " ".join(f"long{k}x" for k in range(3000)), "en", "s", 0)]
     labels = [(d[0], int("%%%" not in (d[1] or "")), 0) for d in docs]
     return docs, labels, bench
 
@@ -60,7 +61,9 @@ def brute(docs, labels, bench):
 
 def test_run_equals_brute_force(spark, tmp_path):
     docs, labels, bench = make()
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    # columns with names of the operators' own
+    df.withColumns({"node": F.lit(1), "items": F.lit("x"), "key": F.lit(2.5), "kept": F.lit(True)}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))

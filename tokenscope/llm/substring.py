@@ -17,7 +17,8 @@ large partitions adaptive execution may split. No pairs of documents are built.
 
 Defined cases: words are runs of non-blank characters, unchanged; null text has none; rows with a null
 doc_id take no part and lose nothing; rows of one doc_id do not remove each other's words, and a repeated
-row gives a repeated result row; an empty table gives an empty result.
+row gives a repeated result row; doc_id is an integer (a text that is none raises an error under ANSI mode); an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
