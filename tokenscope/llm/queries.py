@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.llm import decontam, neardup, pieces, quality, styletree, substring, tokencount, toxicity, urls, warc
+from tokenscope.llm import decontam, divergence, neardup, pieces, quality, styletree, substring, tokencount, toxicity, urls, warc
 from tokenscope.llm.common import prepare
 
 
@@ -30,9 +30,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_derivatives": warc.op8_warc_derivatives,
         "op9_url_filters": urls.op9_url_filters,
         "op10_html_extraction": styletree.op10_html_extraction,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
     return {k: _prepared(f) for k, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring.SQL, "op9_url_filters": urls.SQL}
+    return {"op4_substring_dedup": substring.SQL, "op9_url_filters": urls.SQL, "op13_source_divergence": divergence.SQL}
