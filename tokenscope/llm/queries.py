@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.llm import decontam, divergence, neardup, pieces, quality, styletree, substring, tokencount, toxicity, urls, warc
+from tokenscope.llm import bloomlookup, crosstoken, decontam, divergence, neardup, pieces, quality, styletree, substring, tokencount, toxicity, urls, warc
 from tokenscope.llm.common import prepare
 
 
@@ -30,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_derivatives": warc.op8_warc_derivatives,
         "op9_url_filters": urls.op9_url_filters,
         "op10_html_extraction": styletree.op10_html_extraction,
+        "op11_document_fingerprints": bloomlookup.op11_document_fingerprints,
+        "op12_cross_tokenizer_alignment": crosstoken.op12_cross_tokenizer_alignment,
         "op13_source_divergence": divergence.op13_source_divergence,
     }
     return {k: _prepared(f) for k, f in found.items()}
