@@ -106,7 +106,7 @@ def test_differences_are_found(spark):
     # digests that agree in all bits that deal and place them on the first levels
     rows.append(([0, 1 << 33, 1 << 34], [], [0, 1 << 33, 1 << 34], []))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, plus array<long>, minus array<long>")
-    zero = F.lit(0)
+    zero = bloomlookup.places(F.lit(0))
     found = bloomlookup.differences(F.col("a"), F.col("b"), bloomlookup.sketch(F.col("a"), zero), bloomlookup.sketch(F.col("b"), zero))
     for x in df.select(found.alias("found"), "plus", "minus").collect():
         assert sorted(x.found.plus) == sorted(x.plus) and sorted(x.found.minus) == sorted(x.minus)

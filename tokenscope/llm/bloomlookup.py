@@ -56,58 +56,55 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x)))
 
 
-def _shift(level: Column) -> Column:
-    """Where the nine bits that place a digest at a level begin; they are of the lower half."""
-    return F.pmod(level * 7, F.lit(23)).cast("int")
-
-
-def _mask(i: Column, level: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(7).cast("long"), _shift(level) + F.floor(i / THIRD).cast("int") * 3)
-
-
-def _bits(i: Column, level: Column) -> Column:
-    return F.call_function("shiftleft", F.pmod(i, F.lit(THIRD)).cast("long"), _shift(level) + F.floor(i / THIRD).cast("int") * 3)
+def places(level: Column) -> Column:
+    """(mask, bits) of each cell at a level: a digest is in the cell if its bits under mask are bits, all of the lower half."""
+    first = F.pmod(level * 7, F.lit(23)).cast("int")
+    shift = lambda i: first + 3 * F.call_function("div", i, F.lit(THIRD)).cast("int")
+    left = lambda x, n: F.call_function("shiftleft", x.cast("long"), n)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(CELLS - 1)),
+        lambda i: F.struct(left(F.lit(7), shift(i)).alias("mask"), left(F.pmod(i, F.lit(THIRD)), shift(i)).alias("bits")),
+    )
 
 
 def cell(n: Column, k: Column, f: Column) -> Column:
     return F.struct(n.alias("n"), k.alias("k"), f.alias("f"))
 
 
-def sketch(keys: Column, level: Column) -> Column:
-    """CELLS cells: digest d is in cell i if its bits under the cell's mask are the cell's."""
+def sketch(keys: Column, at: Column) -> Column:
+    """CELLS cells of digests; at: the cells' places."""
     zero = cell(*[F.lit(0).cast("long")] * 3)
-    places = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.struct(_mask(i, level).alias("mask"), _bits(i, level).alias("bits")))
     inside = lambda p: F.filter(keys, lambda d: d.bitwiseAND(p.mask) == p.bits)
-    return F.transform(places, lambda p: F.aggregate(inside(p), zero, lambda c, d: cell(c.n + 1, c.k.bitwiseXOR(d), c.f.bitwiseXOR(F.xxhash64(d)))))
+    return F.transform(at, lambda p: F.aggregate(inside(p), zero, lambda c, d: cell(c.n + 1, c.k.bitwiseXOR(d), c.f.bitwiseXOR(F.xxhash64(d)))))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: cell(x.n - y.n, x.k.bitwiseXOR(y.k), x.f.bitwiseXOR(y.f)))
 
 
-def peel(cells: Column, level: Column) -> Column:
-    """struct(cells, plus, minus): what can't be taken out, the digests of the first sketch alone and of the second alone."""
+def peel(cells: Column, at: Column) -> Column:
+    """struct(cells, plus, minus, going): what can't be taken out, the digests of the first sketch alone and of the second alone."""
     empty = F.array().cast(LONGS)
-    start = F.struct(cells.alias("cells"), empty.alias("plus"), empty.alias("minus"))
+    start = F.struct(cells.alias("cells"), empty.alias("plus"), empty.alias("minus"), F.lit(True).alias("going"))
 
     def removed(cells: Column, keys: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            here = let(
-                F.struct(_mask(i, level).alias("mask"), _bits(i, level).alias("bits")),
-                lambda p: F.filter(keys, lambda x: x.k.bitwiseAND(p.mask) == p.bits),
-            )
-            return F.aggregate(here, c, lambda c, x: cell(c.n - x.n, c.k.bitwiseXOR(x.k), c.f.bitwiseXOR(x.f)))
+        def one(c: Column, p: Column) -> Column:
+            here = F.filter(keys, lambda x: x.k.bitwiseAND(p.mask) == p.bits)
+            less = F.aggregate(here, c, lambda c, x: cell(c.n - x.n, c.k.bitwiseXOR(x.k), c.f.bitwiseXOR(x.f)))
+            return F.when((c.n == 0) & (c.k == 0), c).otherwise(less)
 
-        return F.transform(cells, one)
+        return F.zip_with(cells, at, one)
 
     def round_(s: Column, _: Column) -> Column:
         single = F.array_distinct(F.filter(s.cells, lambda c: (F.abs(c.n) == 1) & (c.f == F.xxhash64(c.k))))
 
         def take(keys: Column) -> Column:
             of = lambda sign: F.transform(F.filter(keys, lambda x: x.n == sign), lambda x: x.k)
-            return F.struct(removed(s.cells, keys).alias("cells"), F.concat(s.plus, of(1)).alias("plus"), F.concat(s.minus, of(-1)).alias("minus"))
+            stop = F.struct(s.cells.alias("cells"), s.plus.alias("plus"), s.minus.alias("minus"), F.lit(False).alias("going"))
+            more = F.struct(removed(s.cells, keys).alias("cells"), F.concat(s.plus, of(1)).alias("plus"), F.concat(s.minus, of(-1)).alias("minus"), F.lit(True).alias("going"))
+            return F.when(F.size(keys) == 0, stop).otherwise(more)
 
-        return let(single, lambda keys: F.when(F.size(keys) == 0, s).otherwise(take(keys)))
+        return F.when(~s.going, s).otherwise(let(single, take))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
 
@@ -125,9 +122,9 @@ def differences(a: Column, b: Column, first_a: Column, first_b: Column) -> Colum
     parts = f"array<struct<a:{LONGS},b:{LONGS}>>"
     start = F.struct(F.array(F.struct(a.alias("a"), b.alias("b"))).cast(parts).alias("open"), none.alias("plus"), none.alias("minus"), F.lit(0).alias("level"))
 
-    def attempt(p: Column, level: Column) -> Column:
-        cells = F.when(level == 0, subtract(first_a, first_b)).otherwise(subtract(sketch(p.a, level), sketch(p.b, level)))
-        return F.struct(p.a.alias("a"), p.b.alias("b"), peel(cells, level).alias("r"))
+    def attempt(p: Column, level: Column, at: Column) -> Column:
+        cells = F.when(level == 0, subtract(first_a, first_b)).otherwise(subtract(sketch(p.a, at), sketch(p.b, at)))
+        return F.struct(p.a.alias("a"), p.b.alias("b"), peel(cells, at).alias("r"))
 
     def step(s: Column, level: Column) -> Column:
         part = lambda keys, q: F.filter(keys, lambda d: F.call_function("shiftrightunsigned", d, F.lit(62) - 2 * level).bitwiseAND(F.lit(3).cast("long")) == q)
@@ -143,7 +140,7 @@ def differences(a: Column, b: Column, first_a: Column, first_b: Column) -> Colum
                 level.alias("level"),
             )
 
-        return F.when(F.size(s.open) == 0, s).otherwise(let(F.transform(s.open, lambda p: attempt(p, level)), settle))
+        return F.when(F.size(s.open) == 0, s).otherwise(let(places(level), lambda at: let(F.transform(s.open, lambda p: attempt(p, level, at)), settle)))
 
     def rest(s: Column) -> Column:
         left = lambda x, y: F.flatten(F.transform(s.open, lambda p: F.array_except(p[x], p[y])))
@@ -188,7 +185,8 @@ def versions(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(NO_KEY)))
     asked = next_ids(rows).select(F.col("next").alias("key"), F.col("key").alias("to"), "need")
-    sent = rows.join(asked, "key").select("to", F.struct(F.expr("substring(text, 1, need)").alias("start"), digests(F.col("text")).alias("digests")).alias("sent"))
+    sent = rows.join(asked, "key").select("to", F.struct(F.expr("substring(text, 1, need)").alias("start"), digests(F.col("text")).alias("digests"), "doc_id").alias("sent"))
+    # doc_id goes along only so that both joins read the same columns of rows, and so share one shuffle of the texts
     sent = sent.groupBy(F.col("to").alias("key")).agg(F.min("sent").alias("sent"))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
@@ -198,7 +196,6 @@ def versions(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and how often sketches were enlarged."""
-    level = F.lit(0)
     pieces = versions(docs).select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
@@ -206,8 +203,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         digests(F.col("text")).alias("own"),
         digests(F.col("edited")).alias("edited"),
         F.col("next_digests").alias("next"),
+        places(F.lit(0)).alias("at"),
     )
-    sketched = pieces.select("*", *[sketch(F.col(c), level).alias(f"{c}_cells") for c in ("own", "edited", "next")])
+    sketched = pieces.select("*", *[sketch(F.col(c), F.col("at")).alias(f"{c}_cells") for c in ("own", "edited", "next")])
     found = sketched.select("*", *[differences(F.col("own"), F.col(c), F.col("own_cells"), F.col(f"{c}_cells")).alias(f"{c}_found") for c in ("edited", "next")])
     return found.select(
         "doc_id",
