@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tokenscope.functions import jsontext, render, scalars
 
-#: Where each program keeps its servers in its settings file.
-PROGRAMS = {"claude": "mcpServers", "cursor": "mcpServers", "vscode": "mcpExtensions"}
+#: Where each program keeps its servers in its settings file (fixed values).
+PROGRAMS = {"claude": "mcpServers", "cursor": "mcp_servers", "vscode": "mcpExtensions"}
 _SERVER = "struct<command:string,args:array<string>,env:array<string>>"
 _STATUS = (
     "pid int, started_at timestamp, listen_addr string, servers array<struct<name:string,status:string,request_count:bigint,error_count:bigint,tool_count:int,uptime:string>>, "
@@ -113,16 +113,22 @@ def changes(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str
     return a.join(b, key, "full").select(key, event.alias("event")).where("event is not null")
 
 
-def dashboard_json(log: DataFrame) -> DataFrame:
-    """One row, body: the dashboard's JSON with the tokens of each server and tool, most first. One pass over the log; servers and tools are few."""
-    sets = log.groupingSets([["tool"], ["server"], []], "tool", "server").agg(F.sum("tokens").alias("tokens"), F.grouping_id().alias("g"))
+def dashboard_json(log: DataFrame, now: Column) -> DataFrame:
+    """One row, body: the dashboard's JSON with the tokens of each server and tool, most first, and those of now's day, its week (from Monday) and all.
+
+    One pass over the log; servers and tools are few.
+    """
+    within = lambda unit: F.when((F.col("ts") >= F.date_trunc(unit, now)) & (F.col("ts") <= now), F.col("tokens"))
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(name) for x, name in ((F.col("tokens"), "tokens"), (within("day"), "day"), (within("week"), "week"))]
+    sets = log.groupingSets([["tool"], ["server"], []], "tool", "server").agg(*sums, F.grouping_id().alias("g"))
     ranked = lambda g, name: F.array_sort(F.filter(F.collect_list(F.when(F.col("g") == g, F.struct((-F.col("tokens")).alias("minus"), F.col(name).alias("name")))), lambda x: x.isNotNull()))
-    one = sets.agg(ranked(1, "tool").alias("t"), ranked(2, "server").alias("s"), F.coalesce(F.max(F.when(F.col("g") == 3, F.col("tokens"))), F.lit(0)).alias("total"))
+    whole = lambda c: F.coalesce(F.max(F.when(F.col("g") == 3, F.col(c))), F.lit(0)).alias(c)
+    one = sets.agg(ranked(1, "tool").alias("t"), ranked(2, "server").alias("s"), *map(whole, ("tokens", "day", "week")))
     entries = lambda c, name: F.transform(c, lambda x: F.struct(x["name"].alias(name), (-x["minus"]).alias("tokens")))
     first = lambda c: F.coalesce(F.get(F.col(c), F.lit(0))["name"], F.lit(""))
     body = F.struct(
-        entries("s", "server").alias("per_server"), entries("t", "tool").alias("per_tool"), F.size("s").alias("server_count"), F.col("total").alias("today_spend"), F.size("t").alias("tool_count"),
-        first("s").alias("top_server"), first("t").alias("top_tool"), F.col("total").alias("wtd_spend"),
+        entries("s", "server").alias("per_server"), entries("t", "tool").alias("per_tool"), F.size("s").alias("server_count"), F.col("day").alias("today_spend"), F.size("t").alias("tool_count"),
+        first("s").alias("top_server"), first("t").alias("top_tool"), F.col("tokens").alias("total_spend"), F.col("week").alias("wtd_spend"),
     )
     return one.select(F.to_json(body).alias("body"))
 

@@ -23,7 +23,7 @@ def discovered_servers(s, d):
     """A settings file for each supplier, in the forms of three programs and one unknown; every 10th is cut short."""
     k = F.col("s_suppkey")
     server = F.format_string('{"command": "%s", "args": ["-y", "%s"], "env": ["A=%d"], "other": 1}', _pick(["npx", "/usr/bin/node", "/run", ""], k), "s_name", k)
-    text = F.format_string('{"x": 1, "%s": {"%s": %s, "second": {"command": "uv"}}}', F.when(k % 4 == 2, "mcpExtensions").otherwise("mcpServers"), "s_name", server)
+    text = F.format_string('{"x": 1, "%s": {"%s": %s, "second": {"command": "uv"}}}', F.when(k % 4 == 2, "mcpExtensions").when(k % 4 == 1, "mcp_servers").otherwise("mcpServers"), "s_name", server)
     files = table(s, d, "supplier").select("s_suppkey", _pick(SOURCES, k).alias("source"), F.when(k % 10 == 0, F.substring(text, 1, 40)).otherwise(text).alias("text"))
     return op.discovered_servers(files).select("s_suppkey", "source", "name", "transport", "command", F.array_join("args", " ").alias("args"), F.array_join("env", " ").alias("env"), "cwd")
 
@@ -110,7 +110,8 @@ def registry_changes(s, d):
 
 
 def dashboard_json(s, d):
-    return op.dashboard_json(call_log(s, d))
+    """As it stood at noon of the 18th, a Thursday."""
+    return op.dashboard_json(call_log(s, d), F.lit("2024-01-18 12:00:00").cast("timestamp_ntz"))
 
 
 def line_word_counts(s, d):
@@ -184,8 +185,8 @@ SQL = {
  where (s_suppkey % 5 = 0 and s_suppkey % 7 <> 0) or (s_suppkey % 5 <> 0 and s_suppkey % 7 = 0) or (s_suppkey % 5 <> 0 and s_suppkey % 7 <> 0 and s_suppkey % 3 = 0)""",
     "dashboard_json": f"""with l as (select * from {LOG}), s as (select server, cast(sum(tokens) as bigint) as n from l group by 1), t as (select tool, cast(sum(tokens) as bigint) as n from l group by 1)
  select '{{"per_server":[' || (select string_agg('{{"server":"' || server || '","tokens":' || n || '}}', ',' order by n desc, server) from s) || '],"per_tool":[' || (select string_agg('{{"tool":"' || tool || '","tokens":' || n || '}}', ',' order by n desc, tool) from t)
- || '],"server_count":' || (select count(*) from s) || ',"today_spend":' || (select sum(n) from s) || ',"tool_count":' || (select count(*) from t) || ',"top_server":"' || (select server from s order by n desc, server limit 1)
- || '","top_tool":"' || (select tool from t order by n desc, tool limit 1) || '","wtd_spend":' || (select sum(n) from s) || '}}' as body""",
+ || '],"server_count":' || (select count(*) from s) || ',"today_spend":' || (select sum(tokens) from l where ts between timestamp '2024-01-18' and timestamp '2024-01-18 12:00:00') || ',"tool_count":' || (select count(*) from t) || ',"top_server":"' || (select server from s order by n desc, server limit 1)
+ || '","top_tool":"' || (select tool from t order by n desc, tool limit 1) || '","total_spend":' || (select sum(n) from s) || ',"wtd_spend":' || (select sum(tokens) from l where ts between timestamp '2024-01-15' and timestamp '2024-01-18 12:00:00') || '}}' as body""",
     "line_word_counts": r"""select doc_id, cast(len(string_split(coalesce(text, ''), chr(10))) as integer) as lines, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\f\r\x0b]+'), lambda w: w <> '')) as integer) as words from documents""",
     "micro_batches": f"""with recursive log as materialized (select event_id, server, epoch_us(ts) / 1e6 as t, row_number() over (partition by server order by ts, event_id) as rn from {LOG}),
  st as (select distinct server, 0::bigint as rn, null::bigint as event_id, 0::bigint as batch, 0::double as opened, 0 as size from log union all
