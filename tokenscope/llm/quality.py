@@ -2,17 +2,23 @@
 
 Every document gets base counts (see ``base_counts``) and three badness scores from 0 to 100:
 symbols per 100 words, shouted words per 100 words, and words of repeated three-word windows per 100
-words. A document is rejected if any of them is above the cutoff of its stratum (lang).
-
-Cutoffs come from the labelled documents. For a stratum with n good ones (quality 1, base rules passed),
-of which k(c) have some score above c, cutoff c is safe if P(X <= k(c)) <= delta / strata for
-X ~ Binomial(n, alpha): then the exact (Clopper-Pearson) upper bound of the stratum's false rejection rate, by all
-rules together, is at most alpha. Within a stratum cutoffs are tested from 100 downwards and testing stops at
-the first that is not safe (fixed-sequence testing: what a lower cutoff rejects holds what a higher one does);
-between strata delta is divided by their number (Bonferroni). So with probability 1 - delta no stratum loses more
-than alpha of its good documents. Of the safe cutoffs the one is taken that best sets the stratum's labelled bad
-documents apart, so that good ones are not rejected for nothing. A stratum with too few labels gets no cutoff:
-there the base rules alone decide.
+words. Each stratum (lang) has a cutoff for each rule; a document is rejected if a score is above its rule's cutoff.
+
+The scores are of unlike scale, so each rule gets its own from the stratum's rows: the lift of a score s is the share of the labelled
+bad documents with s or more (less one standard deviation of their number) over the share of the rows with s or more, among
+rows that no label calls good. At level t every rule rejects the scores from its least one whose lift is PATH / t or
+more; from lift 1 on nothing more is rejected. So the levels are one nested path of cutoff vectors, along which each rule acts as far as
+bad documents show it, and which is fixed without a look at the good labelled documents. A stratum in which every good document
+is labelled has no rows to compare bad ones with, and gets no cutoffs: leave some unlabelled.
+
+The vector comes from the labelled documents. For a stratum with n good ones (quality 1, base rules passed), of which k(t) are
+rejected at level t by any rule, level t is safe if P(X <= k(t)) <= delta' for X ~ Binomial(n, alpha): then the exact
+(Clopper-Pearson) upper bound of the stratum's false rejection rate, by all rules together, is at most alpha. Levels are
+tested from 0 upwards and testing stops at the first that is not safe (fixed-sequence testing: what a higher level rejects
+holds what a lower one does); between strata delta is divided by the strata's shares of all rows (Bonferroni with weights that
+no label touches). So with probability 1 - delta no stratum loses more than alpha of its good documents. Of the safe levels
+the one is taken that best sets the stratum's labelled bad documents apart, so that good ones are not rejected for nothing. A
+stratum with too few labels gets no cutoffs: there the base rules alone decide.
 
 Defined cases: null or blank text has no words and fails the base rules; null lang is a stratum of its
 own, as is an empty one; labels with nulls, or for unknown documents, count for nothing; when a document has several labels
@@ -22,10 +28,11 @@ the lowest counts; repeated rows are judged each by itself; an empty table gives
 from __future__ import annotations
 
 import math
+from operator import le
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenscope.llm.common import OWN, map_batches, table, texts_of
@@ -38,6 +45,8 @@ FEATURES = (
     "symbol_score int, shout_score int, repeat_score int"
 )
 ALPHA, DELTA, MIN_WORDS = 0.02, 0.05, 50
+#: The last level of the path of cutoffs, where lift is 1.
+PATH = 100
 #: How many times the share of rejected good documents counts against the share of rejected bad ones, among safe cutoffs.
 GOOD_WEIGHT = 10
 
@@ -112,54 +121,81 @@ def is_safe(k: int, n: int, alpha: float, delta: float) -> bool:
     return n > 0 and k < alpha * n and log_binomial_tail(k, n, alpha) <= math.log(delta)
 
 
-def choose_cutoff(above: list[int], n: int, bad_above: list[int], n_bad: int, alpha: float, delta: float) -> int | None:
-    """Of the safe cutoffs the one that sets most of the bad apart from the good, the highest of equals; above[c], bad_above[c]: good and bad ones with score > c.
+def choose_level(good: list[int], n: int, bad: list[int], n_bad: int, alpha: float, delta: float) -> int | None:
+    """Of the safe levels the one that sets most of the bad apart from the good, the lowest of equals; good[t], bad[t]: good and bad ones rejected at level t.
 
-    Safe are the cutoffs from 100 downwards until the first that is not.
+    Safe are the levels from 0 upwards until the first that is not.
     """
     best, gain = None, -1.0
-    for c in range(100, -1, -1):
-        if not is_safe(above[c], n, alpha, delta):
+    for t, (k, found) in enumerate(zip(good, bad)):
+        if not is_safe(k, n, alpha, delta):
             break
-        now = bad_above[c] / max(1, n_bad) - GOOD_WEIGHT * above[c] / n
+        now = found / max(1, n_bad) - GOOD_WEIGHT * k / n
         if now > gain:
-            best, gain = c, now
+            best, gain = t, now
     return best
 
 
-def fit_cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, int]:
-    """stratum -> cutoff. All labelled rows count; the driver gets at most 202 counts per language."""
+STRATUM = [f"{OWN}known", f"{OWN}lang"]
+
+
+def _by_rule(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each rule, with its number and score."""
+    scores = F.array(*[F.struct(F.lit(i).alias("rule"), F.col(f"{r}_score").alias("score")) for i, r in enumerate(RULES)])
+    return rows.select(*STRATUM, *columns, F.inline(scores))
+
+
+def levels(each: DataFrame) -> DataFrame:
+    """STRATUM, rule, score, level of each score above 0 that occurs in each (STRATUM, good, scores, m): at most 300 a stratum; no level: never rejected."""
+    others = F.sum(F.when(F.coalesce("good", F.lit(False)), 0).otherwise(F.col("m")))
+    counts = _by_rule(each, "good", "m").groupBy(*STRATUM, "rule", "score").agg(others.alias("rows"), F.sum(F.when(~F.col("good"), F.col("m")).otherwise(0)).alias("bad"))
+    of_rule = Window.partitionBy(*STRATUM, "rule")
+    more = of_rule.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    tails = counts.select(*STRATUM, "rule", "score", *[F.sum(c).over(w).alias(name) for c in ("rows", "bad") for w, name in ((more, c), (of_rule, f"all_{c}"))])
+    sure = F.col("bad") - F.sqrt("bad")
+    level = F.when(sure > 0, F.ceil(PATH * F.col("rows") * F.col("all_bad") / (F.col("all_rows") * sure)))
+    least = F.min(F.when(level <= PATH, level)).over(of_rule.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    return tails.where("score > 0").select(*STRATUM, "rule", "score", least.cast("int").alias("level"))
+
+
+def fit_cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str | None, tuple[int, ...]]:
+    """stratum -> cutoffs of RULES. All rows of feats and all labels count; the driver gets at most some 500 numbers a stratum."""
     labelled = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
         .where("doc_id is not null and quality is not null")
         .groupBy("doc_id")
-        .agg(F.min("quality").alias(OWN + "quality"))
-    )
-    counts = (
-        feats.where("not base_failed")
-        .join(labelled, "doc_id")
-        .groupBy("lang", (F.col(OWN + "quality") == 1).alias("good"), F.greatest(*[f"{r}_score" for r in RULES]).alias("score"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
+        .agg((F.min("quality") == 1).alias("good"))
     )
-    strata = {x.lang for x in counts if x.good}
+    scores = [f"{r}_score" for r in RULES]
+    rows = feats.where("not base_failed").select("doc_id", F.col("lang").isNotNull().alias(STRATUM[0]), F.coalesce("lang", F.lit("")).alias(STRATUM[1]), *scores)
+    each = rows.join(labelled, "doc_id", "left").groupBy(*STRATUM, "good", *scores).agg(F.count(F.lit(1)).alias("m")).checkpoint()
+    path = levels(each).checkpoint()
+    of_label = _by_rule(each.where("good is not null"), "good", "m", *scores).join(path, [*STRATUM, "rule", "score"], "left")
+    of_label = of_label.groupBy(*STRATUM, "good", *scores).agg(F.min("level").alias("level"), F.first("m").alias("m"))
+    counts = of_label.groupBy(*STRATUM, "good", "level").agg(F.sum("m").alias("m")).collect()
+    sizes = {(x[0], x[1]): x.m for x in each.groupBy(*STRATUM).agg(F.sum("m").alias("m")).collect()}
+    found = path.collect()
     out = {}
-    for lang in strata:
-        hist = {True: [0] * 101, False: [0] * 101}
+    for stratum in {(x[0], x[1]) for x in counts if x.good}:
+        rejected, n = {True: [0] * (PATH + 1), False: [0] * (PATH + 1)}, {True: 0, False: 0}
         for x in counts:
-            if x.lang == lang:
-                hist[x.good][x.score] += x.n
-        above = {k: [sum(h[c + 1 :]) for c in range(101)] for k, h in hist.items()}
-        if (c := choose_cutoff(above[True], sum(hist[True]), above[False], sum(hist[False]), alpha, delta / len(strata))) is not None and c < 100:
-            out[lang] = c
+            if (x[0], x[1]) == stratum:
+                n[x.good] += x.m
+                for t in range(PATH + 1 if x.level is None else x.level, PATH + 1):
+                    rejected[x.good][t] += x.m
+        t = choose_level(rejected[True], n[True], rejected[False], n[False], alpha, delta * sizes[stratum] / sum(sizes.values()))
+        if t:
+            own = [x for x in found if (x[0], x[1]) == stratum and x.level is not None and x.level <= t]
+            out[stratum[1] if stratum[0] else None] = tuple(min((x.score - 1 for x in own if x.rule == i), default=100) for i in range(len(RULES)))
     return out
 
 
-def accepted(cutoffs: dict[str | None, int]) -> Column:
-    """Whether a row of features passes the base rules and its stratum's cutoff."""
-    bad, worst = F.col("base_failed"), F.greatest(*[f"{r}_score" for r in RULES])
-    for lang, c in sorted(cutoffs.items(), key=str):
-        bad = bad | (F.col("lang").eqNullSafe(F.lit(lang)) & (worst > c))
+def accepted(cutoffs: dict[str | None, tuple[int, ...]]) -> Column:
+    """Whether a row of features passes the base rules and its stratum's cutoffs."""
+    bad = F.col("base_failed")
+    for lang, cuts in sorted(cutoffs.items(), key=str):
+        above = [F.col(f"{r}_score") > c for r, c in zip(RULES, cuts)]
+        bad = bad | (F.col("lang").eqNullSafe(F.lit(lang)) & (above[0] | above[1] | above[2]))
     return ~bad
 
 
@@ -170,15 +206,16 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns; rows are filtered where they are read, without a join."""
-    cutoffs = fit_cutoffs(features(docs), labels, alpha, delta)
+    """The rows of docs that judge() keeps, with all their columns; rows are filtered where they are read, without a join. Only scores are kept for the fit."""
+    cutoffs = fit_cutoffs(features(docs).select("doc_id", "lang", "base_failed", *[f"{r}_score" for r in RULES]).checkpoint(), labels, alpha, delta)
+    none = (100,) * len(RULES)
     names = docs.columns
     at_text, at_lang = names.index("text"), names.index("lang")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs = batch.column(at_lang).to_pylist()
         rows = map(base_counts, texts_of(batch.column(at_text)))
-        mask = [not r[5] and max(r[6:]) <= cutoffs.get(lang, 100) for r, lang in zip(rows, langs)]
+        mask = [not r[5] and all(map(le, r[6:], cutoffs.get(lang, none))) for r, lang in zip(rows, langs)]
         return batch.filter(pa.array(mask, type=pa.bool_()))
 
     return map_batches(docs, one, docs.schema)
