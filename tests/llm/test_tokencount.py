@@ -101,6 +101,14 @@ def test_edits_in_two_steps_through_stored_trees(spark, tmp_path):
     assert all(r.n_before == r.n_after == total(r._ts_text) for r in again)
 
 
+def test_the_tree_of_another_text_of_equal_length_is_not_taken():
+    one, other = "a b c d e f g h i j k l m n", "abcdefghijklmnopqrstuvwxyz!"
+    kept = tokencount.Tree(one, TOKENIZER).to_bytes()
+    assert len(one) == len(other) and tokencount.Tree(one, TOKENIZER, kept).tokens == total(one)
+    assert tokencount.Tree(other, TOKENIZER, kept).tokens == total(other) != total(one)
+    assert tokencount.Tree(one, TOKENIZER, kept[:-8]).tokens == total(one)
+
+
 def test_vocabulary_must_be_there():
     with pytest.raises(FileNotFoundError):
         tokencount.Tokenizer("/nowhere", PATTERN)

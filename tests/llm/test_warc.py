@@ -87,12 +87,28 @@ def test_conversion_record_by_hand():
         message(zlib.compress("<p>café".encode()), "content-encoding: deflate", "Content-Type: text/html; charset=no-such"),
         message(b"4\r\n<p>c\r\n3;x=y\r\naf\xc3\r\n1\r\n\xa9\r\n0\r\n\r\n", "Transfer-Encoding: chunked"),
         "<p>café".encode(),
+        message(gzip.compress(b"<p>ca") + gzip.compress("fé".encode()), "Content-Encoding: gzip"),
+        message(gzip.compress("<p>café".encode()), "Content-Encoding: gzip, identity"),
+        message(gzip.compress(zlib.compress("<p>café".encode())), "Content-Encoding: deflate", "Content-Encoding: gzip"),
     ],
 )
 def test_bodies_as_they_were_sent(block):
     assert warc.derive(made(block))[1].block.decode() == "café"
 
 
+def test_a_coding_that_cannot_be_undone_gives_no_text():
+    metadata, conversion = warc.derive(made(message(b"\x8b\x02\x80caf\x03", "Content-Encoding: br")))
+    assert conversion.block == b"" and b"undecodedContentEncoding: br\r\n" in metadata.block
+
+
+@pytest.mark.parametrize("digits", ["9" * 5000, "9" * 19, "-1", "1_0", "\u0661"])
+def test_lengths_that_are_none(digits):
+    good = made(message(b"<p>x")).to_bytes()
+    at = good.index(b"Content-Length: ")
+    bad = good[:at] + f"Content-Length: {digits}".encode() + good[good.index(b"\r\n", at) :]
+    assert [r.get("WARC-Type") for r in warc.parse(bad + good)] == ["malformed", "response"]
+
+
 def test_damaged_archives_go_on(spark):
     prepare(spark)
     good = [made(message(f"<p>{i}".encode())).to_bytes() for i in range(4)]

@@ -11,8 +11,8 @@ Trees are kept: build_trees gives each document's tree as bytes (lengths and cou
 apply_edits takes texts, trees and edits to new texts, trees and counts, without encoding what no edit touches. A tree
 is balanced when it is read; edits split leaves where they are.
 
-Defined cases: null texts and null edit lists count as empty; a null tree, or one whose lengths don't add up to the
-text's, is built anew; positions and lengths are code points and are
+Defined cases: null texts and null edit lists count as empty; a null tree, one of another text (a tree holds its
+text's digest), or a damaged one is built anew; positions and lengths are code points and are
 cut to the text; edits apply in their order, each to the text that the ones before left; every row gives one
 result row; an empty table gives an empty result.
 """
@@ -67,6 +67,13 @@ class Tokenizer:
         return list(map(len, pieces)), list(map(self.counts.__getitem__, pieces))
 
 
+def text_digest(text: str) -> bytes:
+    """Eight bytes that tell the tree of one text from that of another."""
+    import xxhash
+
+    return xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass"))
+
+
 class Node:
     __slots__ = ("counts", "left", "length", "lengths", "parent", "right", "tokens")
 
@@ -109,15 +116,15 @@ class Tree:
 
     def __init__(self, text: str, tokenizer: Tokenizer, kept: bytes | None = None) -> None:
         self.text, self.tokenizer, self.reencoded = text, tokenizer, 0
-        if kept is not None and len(kept) % 8 == 0:
-            both = np.frombuffer(kept, dtype="<u4").reshape(2, -1)
+        if kept is not None and len(kept) >= 8 and len(kept) % 8 == 0 and kept[:8] == text_digest(text):
+            both = np.frombuffer(kept, dtype="<u4", offset=8).reshape(2, -1)
             if int(both[0].sum()) == len(text):
                 self.root = Node(both[0].tolist(), both[1].tolist(), None)
                 return
         self.root = Node(*tokenizer.split(text), None)
 
     def to_bytes(self) -> bytes:
-        """Lengths, then counts, of all pre-tokens, as unsigned 32-bit integers."""
+        """The text's digest, then lengths, then counts, of all pre-tokens, as unsigned 32-bit integers."""
         lengths, counts, stack = [], [], [self.root]
         while stack:
             node = stack.pop()
@@ -126,7 +133,7 @@ class Tree:
                 counts += node.counts
             else:
                 stack += [node.right, node.left]
-        return np.array([lengths, counts], dtype="<u4").tobytes()
+        return text_digest(self.text) + np.array([lengths, counts], dtype="<u4").tobytes()
 
     @property
     def tokens(self) -> int:

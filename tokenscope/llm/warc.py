@@ -6,13 +6,14 @@ document's text without markup). Both keep the target URI and date, carry the di
 as concurrent, and carry the source's digests and HTTP header lines (WARC-Source-... fields of the conversion).
 Identifiers are derived from the response's identifier, so that a task that runs again writes the same records.
 
-A body is read as it was sent: chunks are joined, gzip and deflate undone, and the charset is that of the Content-Type
+A body is read as it was sent: chunks are joined, codings undone from the last to the first (gzip with all its members,
+deflate), and the charset is that of the Content-Type
 header, else of a meta element at its beginning, else UTF-8. Digests are of the bytes as they stand in the archive.
 
 Defined cases: what is no record (no blank line after its head, a length that is no number or goes beyond the file,
 a damaged gzip member) becomes a record of kind malformed with the bytes up to the next record, from where reading goes
 on, and gives one row of that kind; a damaged chunk, coding or unknown charset leaves what can be read, with replacement
-characters; a response without an HTTP head has no header lines and its whole block is payload; null blocks and HTML
+characters; another coding leaves an empty conversion, and the metadata names it; a length of 19 digits or more is no number; a response without an HTTP head has no header lines and its whole block is payload; null blocks and HTML
 are empty; null URIs are written as an empty value; every response gives two records, repeated or not; an empty table
 gives an empty result.
 """
@@ -123,7 +124,7 @@ def _records(data: bytes) -> Iterator[Record]:
         lines = data[start : end if end >= 0 else start].decode("utf-8", "replace").split("\r\n")[1:]
         headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
         size = next((v for k, v in headers if k.lower() == "content-length"), "")
-        if end < 0 or end > after or not (size.isascii() and size.isdigit()) or end + 4 + int(size) > len(data):
+        if end < 0 or end > after or not (size.isascii() and size.isdigit() and len(size) < 19) or end + 4 + int(size) > len(data):
             yield malformed(data[start:after])
             at = after
             continue
@@ -178,26 +179,45 @@ def joined_chunks(body: bytes) -> bytes:
     return b"".join(out)
 
 
-def decoded(head: bytes, payload: bytes) -> str:
-    """A message's text: chunks joined, coding undone, by its charset."""
+#: How zlib reads each coding; deflate comes with and without its frame.
+CODINGS = {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}
+
+
+def inflated(payload: bytes, bits: tuple[int, ...]) -> bytes:
+    """The payload without its compression, all members of it; what isn't compressed at all stays."""
+    for kind in bits:
+        out, rest = [], payload
+        try:
+            while rest.strip(b"\0"):
+                reader = zlib.decompressobj(kind)
+                out.append(reader.decompress(rest))
+                rest = reader.unused_data if kind == 31 else b""
+        except zlib.error:
+            if not out:
+                continue
+        return b"".join(out)
+    return payload
+
+
+def decoded(head: bytes, payload: bytes) -> tuple[str, str]:
+    """A message's text: chunks joined, codings undone from the last to the first, by its charset; and the coding that can't be undone, then without text."""
     lines = [x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:]]
-    get = lambda name: next((v.strip().lower() for k, _, v in lines if k.strip().lower() == name), "")
+    get = lambda name: ",".join(v.strip().lower() for k, _, v in lines if k.strip().lower() == name)
     if "chunked" in get("transfer-encoding"):
         payload = joined_chunks(payload) or payload
-    for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(get("content-encoding"), ()):
-        reader = zlib.decompressobj(bits)
-        try:
-            payload = reader.decompress(payload)
-            break
-        except zlib.error:
-            continue
-    named = re.search(r"charset\s*=\s*[\"']?([a-z0-9_:.-]+)", get("content-type"))
+    for coding in reversed([x.strip() for x in get("content-encoding").split(",")]):
+        if coding in CODINGS:
+            payload = inflated(payload, CODINGS[coding])
+        elif coding not in ("", "identity"):
+            return "", coding
+    kind = get("content-type")
+    named = re.search(r"charset\s*=\s*[\"']?([a-z0-9_:.-]+)", kind)
     meta = None if named else _charset.search(payload, 0, 2048)
     charset = named[1] if named else meta[1].decode("ascii") if meta else "utf-8"
     try:
-        return payload.decode(charset, "replace")
+        return payload.decode(charset, "replace"), ""
     except (LookupError, UnicodeError):
-        return payload.decode("utf-8", "replace")
+        return payload.decode("utf-8", "replace"), ""
 
 
 def derive(source: Record) -> tuple[Record, Record]:
@@ -205,10 +225,10 @@ def derive(source: Record) -> tuple[Record, Record]:
     head, gap, payload = source.block.partition(CRLF + CRLF)
     if not source.block.startswith(b"HTTP/") or not gap:
         head, payload = b"", source.block
-    page = decoded(head, payload)
+    page, undecoded = decoded(head, payload)
     of = source.get("WARC-Record-ID")
     ids = {kind: record_id(f"{of} {kind}") for kind in ("metadata", "conversion")}
-    fields = []
+    fields = [("undecodedContentEncoding", undecoded)] if undecoded else []
     if m := _title.search(page):
         fields.append(("title", " ".join(html_lib.unescape(m[1]).split())))
     if m := _lang.search(page):
