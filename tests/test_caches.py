@@ -1,11 +1,12 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokenscope.functions import text
 from tokenscope.operators import caches, layers, services, state
-from tokenscope.sources import fanout
+from tokenscope.sources import fanout, sinks
 from tokenscope.streaming import stateful
 
 
@@ -125,3 +126,23 @@ def test_dashboard_has_day_and_week(spark):
     log = spark.createDataFrame(rows, "tool string, server string, tokens long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     body = services.dashboard_json(log, F.lit("2024-01-18 12:00:00").cast("timestamp_ntz")).first().body
     assert '"today_spend":12' in body and '"wtd_spend":14' in body and '"total_spend":31' in body
+
+
+def test_a_move_that_fails_keeps_the_old_snapshot(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "stats")
+    sinks.replace_snapshot(spark.range(3), path)
+    files, where = sinks._files(spark, path)
+
+    class Stuck:
+        """Moves nothing that is new."""
+
+        def __getattr__(self, name):
+            return getattr(files, name)
+
+        def rename(self, a, b):
+            return files.rename(a, b) if ".new-" not in a.toString() else False
+
+    monkeypatch.setattr(sinks, "_files", lambda *_: (Stuck(), where))
+    with pytest.raises(OSError):
+        sinks.replace_snapshot(spark.range(5), path)
+    assert spark.read.json(path).count() == 3

@@ -27,7 +27,7 @@ def replace_snapshot(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Write df beside path and move it there, so that a reader finds the old snapshot or the new one, never a part.
 
     Between taking the old one away and moving the new one in, a reader may find none; load_snapshot then reads the old one.
-    A write that fails leaves path as it was.
+    A write that fails leaves path as it was; a move that fails is an error, with the old snapshot put back.
     """
     spark = df.sparkSession
     files, where = _files(spark, path)
@@ -35,8 +35,11 @@ def replace_snapshot(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.format(fmt).save(new)
     if files.exists(where(path)):
         files.delete(where(old), True)
-        files.rename(where(path), where(old))
-    files.rename(where(new), where(path))
+        if not files.rename(where(path), where(old)):
+            raise OSError(f"{path} can't be moved away")
+    if not files.rename(where(new), where(path)):
+        files.rename(where(old), where(path))
+        raise OSError(f"{new} can't be moved to {path}")
     files.delete(where(old), True)
 
 
