@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenscope.functions import jsontext, render, scalars
 
 #: Where each program keeps its servers in its settings file (fixed values).
-PROGRAMS = {"claude": "mcpServers", "cursor": "mcp_servers", "vscode": "mcpExtensions"}
+PROGRAMS = {"claude": "mcpServers", "cursor": "mcp_servers", "generic": "mcp_servers", "vscode": "mcpExtensions"}
 _SERVER = "struct<command:string,args:array<string>,env:array<string>>"
 _STATUS = (
     "pid int, started_at timestamp, listen_addr string, servers array<struct<name:string,status:string,request_count:bigint,error_count:bigint,tool_count:int,uptime:string>>, "
@@ -41,6 +41,23 @@ def status_rows(files: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("status", health)
 
 
+def seconds_of(duration: Column) -> Column:
+    """Seconds of a duration like 1h2m3.5s, 250ms or 90s; 0 for null and what is none."""
+    part = lambda unit: F.coalesce(F.regexp_extract(duration, rf"([0-9.]+){unit}(?![a-z])", 1).try_cast("double"), F.lit(0.0))
+    total = part("h") * 3600 + part("m") * 60 + part("s") + part("ms") / 1e3 + part("(?:us|µs)") / 1e6 + part("ns") / 1e9
+    return F.when(duration.rlike(r"^-?([0-9]+(\.[0-9]*)?(h|m|s|ms|us|µs|ns))+$"), F.when(duration.startswith("-"), -total).otherwise(total)).otherwise(0.0)
+
+
+def error_rate(errors: Column, requests: Column) -> Column:
+    """Percent of requests that failed; 0 without requests."""
+    return F.coalesce(F.try_divide(F.coalesce(errors, F.lit(0)) * 100.0, F.coalesce(requests, F.lit(0))), F.lit(0.0))
+
+
+def status_rates(files: DataFrame, text: str = "text") -> DataFrame:
+    """status_rows with error_rate in percent and uptime_seconds."""
+    return status_rows(files, text).withColumns({"error_rate": error_rate(F.col("error_count"), F.col("request_count")), "uptime_seconds": seconds_of(F.col("uptime"))})
+
+
 def status_costs(files: DataFrame, text: str = "text") -> DataFrame:
     """kind (tool or server), name and tokens of the costs in status files, where tracking is on."""
     cost = files.select(*[c for c in files.columns if c != text], F.from_json(text, _STATUS)["cost_tracking"].alias("_c")).where("_c.enabled")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenscope.plans import caches, catalog, cost, reports, scalars, services, stateful, text, vectors
+from tokenscope.plans import caches, catalog, cost, live, reports, scalars, services, stateful, text, vectors
 
-MODULES = (cost, scalars, text, catalog, vectors, stateful, reports, services, caches)
+MODULES = (cost, scalars, text, catalog, vectors, stateful, reports, services, caches, live)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

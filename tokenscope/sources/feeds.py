@@ -19,11 +19,17 @@ RPC = "id string, method string, params string"
 MAX_FILE_BYTES = 1 << 20
 
 
+def parsed_feed(lines: DataFrame, schema: str = FEED) -> DataFrame:
+    """One entry per line of column value, beside the other columns; blank and malformed lines, and lines over 10 MiB, are dropped."""
+    kept = lines.where((F.trim("value") != "") & (F.octet_length("value") <= 10 << 20))
+    rest = [c for c in lines.columns if c != "value"]
+    parsed = kept.select(*rest, F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return parsed.select(*rest, "r.*").where("_bad is null and name is not null").drop("_bad")
+
+
 def ndjson_feed(spark: SparkSession, path: str, schema: str = FEED) -> DataFrame:
-    """One entry per line; blank and malformed lines, and lines over 10 MiB, are dropped."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & (F.octet_length("value") <= 10 << 20))
-    parsed = lines.select(F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    return parsed.select("r.*").where("_bad is null and name is not null").drop("_bad")
+    """The entries of NDJSON files."""
+    return parsed_feed(spark.read.text(path), schema)
 
 
 def feed_snapshot(spark: SparkSession, path: str) -> DataFrame:

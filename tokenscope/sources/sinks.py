@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Options of text formats that keep times to the microsecond; by default they keep milliseconds.
+EXACT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def shared_folder(spark: SparkSession, prefix: str) -> str:
     """The folder that driver and executors share, spark.checkpoint.dir; where that is unset a temporary one, on a local master only."""
     if where := spark.conf.get("spark.checkpoint.dir", None):
@@ -32,7 +36,7 @@ def replace_snapshot(df: DataFrame, path: str, fmt: str = "json") -> None:
     spark = df.sparkSession
     files, where = _files(spark, path)
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old"
-    df.write.format(fmt).save(new)
+    df.write.format(fmt).options(**EXACT_TIMES).save(new)
     if files.exists(where(path)):
         files.delete(where(old), True)
         if not files.rename(where(path), where(old)):
