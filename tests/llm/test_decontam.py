@@ -140,3 +140,13 @@ def test_items_of_any_length_and_script(spark, letters):
     for d, text in rows[:-1]:
         assert got[d] == want(text), (d, text)
     assert 45 in got[len(rows) - 1]
+
+
+def test_items_of_15_characters_have_their_edit(spark):
+    prepare(spark)
+    b = spark.createDataFrame([(15, "abcdefgh ijklmn"), (16, "opqrstuv wxyzabc"), (14, "hgfedcba nmlkj")], "item_id long, text string")
+    texts = ["xx abcdefgh ijklmn yy", "xx abcdeXgh ijklmn yy", "xabcdefghijklmny", "abcXefgh iXklmn", "xx opqrstXv wxyzabcd", "z hgfedcba nmlkj z", "z hgfedXba nmlkj z", "zhgfedcba nmlkjz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x[0]: x[1] for x in decontam.found_items(docs, b, ["doc_id"]).collect()}
+    assert got == {0: [15], 1: [15], 2: [15], 3: [], 4: [16], 5: [14], 6: [], 7: []}
+    assert sorted(x.doc_id for x in decontam.drop_leaks(docs, b).collect()) == [3, 6, 7]

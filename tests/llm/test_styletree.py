@@ -1,3 +1,4 @@
+import time
 import math
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -177,3 +178,29 @@ def test_the_tree_decides_on_the_tables(spark):
     uncut = {r["page_id"]: st.main_text(r["html"], frozenset()) for r in rows}
     assert sum(got[i] == want[i] for i in want) == len(want)
     assert sum(uncut[i] == want[i] for i in want) == 0
+
+
+def test_what_an_article_keeps():
+    assert st.main_text("<article><header><h1>Title</h1></header><p>Sum <math><mi>x</mi></math> end</p></article><header>H</header>") == "Title\n\nSum x end"
+    assert st.main_text('<article><header hidden>no</header><header role="banner">no</header><p>a</p></article>') == "a"
+
+
+def test_a_teaser_does_not_stand_for_the_page():
+    story = "<div class='text'>" + "<p>A long story of many words.</p>" * 5 + "</div>"
+    assert st.main_text(f"<article>Card</article>{story}") == "\n\n".join(["Card", *["A long story of many words."] * 5])
+
+
+def test_long_names_leave_nodes_apart(spark):
+    """Under ten elements with names of 120 characters an advert is still cut by itself."""
+    prepare(spark)
+    top = "".join(f'<div class="{chr(97 + i) * 120}">' for i in range(10))
+    rows = [(i, "http://long.example/", f"{top}<div class='box'>Offer</div><div class='text'><p>story {i} is told in {i * 7} words {'x' * i}</p></div>") for i in range(12)]
+    got = [x[1] for x in st.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()]
+    assert len(got) == 12 and all("Offer" not in t and t.startswith("story") for t in got)
+
+
+def test_unmatched_tags_take_linear_time():
+    began = time.time()
+    st.main_text("<i>" * 60_000 + "</u>" * 60_000)
+    st.main_text("<table>" + "<i>" * 60_000 + "<tr>" * 20_000)
+    assert time.time() - began < 30

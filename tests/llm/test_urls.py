@@ -64,3 +64,14 @@ def test_rules_rest_under_their_rarest_token():
     index = urls.Index(rules, {"cheap": 10, "pills": 2})
     assert list(index.under) == ["pills"] and len(index.always) == 1
     assert index.judge("http://a/cheap")[4] == 1 and index.judge("http://a/pills")[4] == 2
+
+
+def test_any_number_of_alternatives_keeps_its_tokens():
+    words = [f"w{i}" for i in range(3000)]
+    assert urls.required_tokens(rf"\b(?:{'|'.join(words)})\b") == [{w} for w in words]
+    some, more = "|".join(words[:100]), "|".join(words[100:200])
+    assert all(urls.required_tokens(rf"\b(?:{some})-(?:{more})\b"))
+    assert all(urls.required_tokens(rf"(?:{some.replace('w', '[a-z]')})-(?:{more})\b"))
+    rule = urls.Rule("r", rf"\b(?:{'|'.join(words)})\b", "block", False)
+    index = urls.Index((rule,), {})
+    assert not index.always and index.judge("http://a/w2999")[3] == "block" and index.judge("http://a/none")[4] == 0

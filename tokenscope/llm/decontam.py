@@ -11,9 +11,11 @@ character q-grams, and those lie on diagonals (text position minus item position
    overlapping bands of diagonals, 2e + 1 wide, one beginning every e + 1; bands that reach the bound are kept.
 3. Each kept band is verified by banded alignment of the item to the text.
 
-Items of under EXACT characters leave no room for the lemma and would be found by chance with an edit. They are
-searched as they are, all at once by an automaton, and count where they are whole: where a word of the item does not
-go on in the text. Scripts written without spaces (HAN_LIKE) have no such borders and count anywhere.
+q is the greatest of GRAMS that leaves the bound positive for an item: 8, and 4 for items of 15 characters.
+
+Items of under EXACT characters have no budget. They are searched as they are, all at once by an automaton, and, as a few
+characters are found in many words, count where they are whole: where a word of the item does not go on in the text. Scripts
+written without spaces (HAN_LIKE) have no such borders and count anywhere. Items with a budget count wherever they are found.
 
 The benchmark is a small fixed table: it is sent to every task, and a size above MAX_ITEM_BYTES is refused
 rather than cut (split the benchmark by item_id and take the union then).
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from tokenscope.llm.alignment import best_in
 from tokenscope.llm.common import OWN, map_batches, mix, table, texts_of
 
-Q = 8
+GRAMS = (8, 4)
 BUDGET = 0.07
-EXACT = 16
+#: The fewest characters for which BUDGET allows an edit.
+EXACT = 15
 MAX_ITEM_BYTES = 64 << 20
 BITS = 22
 _CHARS = 1 << 20
@@ -54,10 +57,10 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """A hash of every run of Q = 8 code points, by doubling."""
+def grams(data: np.ndarray, q: int = GRAMS[0]) -> np.ndarray:
+    """A hash of every run of q code points, a power of two, by doubling."""
     out = mix(data.astype(np.uint64), 3)
-    for size in (1, 2, 4):
+    for size in (1, 2, 4)[: q.bit_length() - 1]:
         if len(out) <= size:
             return np.empty(0, dtype=np.uint64)
         out = out[:-size] * np.uint64(pow(0x9E3779B97F4A7C15, size, 1 << 64)) + out[size:]
@@ -68,15 +71,21 @@ def slots(keys: np.ndarray) -> np.ndarray:
     return ((keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def bound_of(n: int, q: int) -> int:
+    """q-grams that an item of n characters and a stretch within its budget share at least."""
+    return n + 1 - q * (1 + int(BUDGET * n))
+
+
 class Index:
-    """Items by their q-grams."""
+    """Items by their q-grams, of one q for all."""
 
-    def __init__(self, items: tuple[tuple[int, str], ...]) -> None:
+    def __init__(self, items: tuple[tuple[int, str], ...], q: int = GRAMS[0]) -> None:
+        self.q = q
         self.ids = [i for i, _ in items]
         self.data = [codes(x) for _, x in items]
         self.budget = [int(BUDGET * len(x)) for x in self.data]
-        self.bound = [len(x) + 1 - Q * (1 + e) for x, e in zip(self.data, self.budget)]
-        found = [grams(x) for x in self.data]
+        self.bound = [bound_of(len(x), q) for x in self.data]
+        found = [grams(x, q) for x in self.data]
         keys = np.concatenate(found) if found else np.empty(0, np.uint64)
         owner = np.concatenate([np.full(len(x), i) for i, x in enumerate(found)]) if found else np.empty(0, np.int64)
         at = np.concatenate([np.arange(len(x)) for x in found]) if found else np.empty(0, np.int64)
@@ -88,7 +97,7 @@ class Index:
         classes: dict[int, tuple[int, int]] = {}
         for x, e, bound in zip(self.data, self.budget, self.bound):
             span, least = classes.get(c := len(x) * 4 // max(32, 1 << (len(x).bit_length() - 1)) + 8 * len(x).bit_length(), (0, 1 << 60))
-            classes[c] = max(span, len(x) + e - Q + 1), min(least, bound)
+            classes[c] = max(span, len(x) + e - q + 1), min(least, bound)
         self.classes = sorted(classes.values())
 
     def stretches(self, marks: np.ndarray) -> list[tuple[int, int]]:
@@ -157,11 +166,11 @@ class Index:
                 size += len(texts[end]) + 1
                 end += 1
             data = codes("\n".join(texts[at:end]))
-            keys = grams(data)
+            keys = grams(data, self.q)
             marks = self.table[slots(keys)]
             start = 0
             for t in texts[at:end]:
-                n = len(t) - Q + 1
+                n = len(t) - self.q + 1
                 some = marks[start : start + n] if n > 0 else marks[:0]
                 out.append(self.search(data[start : start + len(t)], keys[start : start + n], some) if n > 0 and some.any() else [])
                 start += len(t) + 1
@@ -208,8 +217,21 @@ def _short(items: tuple[tuple[int, str], ...]) -> Short:
 
 
 @lru_cache(maxsize=2)
-def _index(items: tuple[tuple[int, str], ...]) -> Index:
-    return Index(items)
+def _indexes(items: tuple[tuple[int, str], ...]) -> tuple[Index, ...]:
+    """An index for each q that items need."""
+    by: dict[int, list[tuple[int, str]]] = {}
+    for i, x in items:
+        by.setdefault(next(q for q in GRAMS if bound_of(len(x), q) > 0), []).append((i, x))
+    return tuple(Index(tuple(x), q) for q, x in by.items())
+
+
+def search(items: tuple[tuple[int, str], ...], texts: list[str]) -> list[list[int]]:
+    """Ids of the items of EXACT characters or more that each normalised text holds."""
+    out: list[set[int]] = [set() for _ in texts]
+    for index in _indexes(items):
+        for ids, found in zip(out, index.search_all(texts)):
+            ids.update(index.ids[i] for i in found)
+    return [sorted(x) for x in out]
 
 
 def _load(benchmark: DataFrame) -> list[tuple[int, str]]:
@@ -237,10 +259,8 @@ def found_items(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataF
     items, short = _split(_load(benchmark))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index = _index(items)
         texts = [normal(t) for t in texts_of(batch.column(len(keep)))]
-        found = index.search_all(texts)
-        ids = [sorted({index.ids[i] for i in x} | set(_short(short).search(t))) for x, t in zip(found, texts)]
+        ids = [sorted({*x, *_short(short).search(t)}) for x, t in zip(search(items, texts), texts)]
         return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(ids, type=pa.list_(pa.int64()))], names=[*keep, OWN + "items"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
@@ -253,8 +273,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [normal(t) for t in texts_of(batch.column(at))]
-        found = _index(items).search_all(texts)
-        return batch.filter(pa.array([not x and not _short(short).search(t) for x, t in zip(found, texts)], type=pa.bool_()))
+        return batch.filter(pa.array([not x and not _short(short).search(t) for x, t in zip(search(items, texts), texts)], type=pa.bool_()))
 
     return map_batches(docs, one, docs.schema)
 

@@ -46,14 +46,14 @@ from tokenscope.llm.common import OWN, map_batches, table
 from tokenscope.llm.urls import host_and_path
 
 LEAST, LEAST_NAMED, MIN_PAGES, GAMMA, DEPTH = 0.3, 0.5, 4, 0.9, 3
-MAX_CUTS, MAX_PATH = 20_000, 1000
+MAX_CUTS, MAX_PATH, MAX_LABEL = 20_000, 4000, 40
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-NOISE_TAGS = frozenset("head nav header footer aside form script style noscript template iframe object svg math canvas button select textarea input dialog menu audio video datalist label search".split())
+NOISE_TAGS = frozenset("head nav header footer aside form script style noscript template iframe object svg canvas button select textarea input dialog menu audio video datalist label search".split())
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead "
     "footer sidebar aside cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login search share sharing social related recommended "
@@ -95,7 +95,7 @@ def speaks_of_noise(name: str) -> bool:
 
 
 def label(tag: str, attributes: str) -> tuple[str, bool, bool, str]:
-    """(label, ending in ! if named, whether it is noise by tag or role, whether its name speaks of noise, role) of an element."""
+    """(label, beyond MAX_LABEL characters a hash, ending in ! if named, whether it is noise by tag or role, whether its name speaks of noise, role) of an element."""
     noise, named, role, names = tag in NOISE_TAGS, False, "", [tag]
     if "=" in attributes or "hidden" in attributes:
         for name, a, b, c in _attribute.findall(attributes):
@@ -109,7 +109,10 @@ def label(tag: str, attributes: str) -> tuple[str, bool, bool, str]:
                 for x in sorted(value.split()):
                     names.append(("#" if name == "id" else ".") + x.replace("/", "_"))
                     named = named or speaks_of_noise(x)
-    return "".join(names) + "!" * named, noise, named, role
+    text = "".join(names)
+    if len(text) > MAX_LABEL:
+        text = f"{tag}.~{xxhash.xxh3_64_hexdigest(text.encode())}"
+    return text + "!" * named, noise, named, role
 
 
 def path_of(parent: str, name: str) -> str:
@@ -125,10 +128,13 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
     """Events in page order: ("open", node, ""), ("close", node, ""), ("text", node, raw text) and ("break", node, "") at block borders."""
     root = Node("", "", False, False, "")
     stack, at, size = [root], 0, len(page)
+    # open elements by tag, so that the stack is searched only for what is in it
+    opened: Counter = Counter()
 
     def close_to(depth: int) -> Iterator[tuple[str, Node, str]]:
         while len(stack) > depth:
             node = stack.pop()
+            opened[node.tag] -= 1
             if node.tag in BLOCK:
                 yield "break", node, ""
             yield "close", node, ""
@@ -152,16 +158,13 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
             continue
         tag = tag.lower()
         if slash:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    yield from close_to(depth)
-                    break
-            else:
-                if tag in BLOCK:
-                    yield "break", stack[-1], ""
+            if opened[tag]:
+                yield from close_to(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth].tag == tag))
+            elif tag in BLOCK:
+                yield "break", stack[-1], ""
             continue
         if tag in BLOCK:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened["p"] else ():
                 if stack[depth].tag == "p":
                     yield from close_to(depth)
                     break
@@ -169,11 +172,11 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
                     break
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
                 yield from close_to(len(stack) - 1)
-        if tag in SAME:
+        if tag in SAME and any(opened[x] for x in SAME[tag]):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in SAME[tag]:
                     yield from close_to(depth)
-                    if tag != "tr":
+                    if tag != "tr" or not any(opened[x] for x in SAME[tag]):
                         break
                 elif stack[depth].tag in FENCE[tag]:
                     break
@@ -183,12 +186,16 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
             yield ("break", parent, "") if tag in BLOCK else ("text", parent, " " if tag == "br" else "")
             continue
         name, noise, named, role = label(tag, attributes)
+        if tag == "header" and parent.inside == "article" and role not in NOISE_ROLES and "hidden" not in attributes:
+            # an article's own header holds its title
+            noise = False
         parent.children.append(name)
         inside = "article" if tag == "article" else "main" if tag == "main" or role == "main" else ""
         node = Node(tag, path_of(parent.path, name), noise or parent.noise, named or parent.named, parent.inside if parent.inside == "article" or not inside else inside)
         if tag in BLOCK:
             yield "break", parent, ""
         stack.append(node)
+        opened[tag] += 1
         yield "open", node, ""
         if RAW.match(tag):
             end = _closes_raw.setdefault(tag, re.compile(f"</{tag}\\s*>", re.I)).search(page, at)
@@ -230,11 +237,12 @@ def blocks(page: str, cut: frozenset[str] | None = frozenset()) -> list[tuple[No
 
 
 def main_text(page: str, cut: frozenset[str] | None = None) -> str:
-    """The page's text as the tree leaves it; without a tree (None), by the priors: without named nodes, cut to its articles, else its main element."""
+    """The page's text as the tree leaves it; without a tree (None), by the priors: without named nodes, cut to its articles, else its main element, where they hold a third of its text or more."""
     found = blocks(page, cut)
     if cut is None:
         for kind in ("article", "main"):
-            if inside := [t for n, t in found if n is not None and n.inside == kind]:
+            inside = [t for n, t in found if n is not None and n.inside == kind]
+            if inside and 3 * sum(map(len, inside)) >= sum(len(t) for _, t in found):
                 return "\n\n".join(inside)
     return "\n\n".join(t for _, t in found)
 

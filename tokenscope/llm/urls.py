@@ -74,11 +74,15 @@ def host_rule(name: str, verdict: str) -> Rule:
     return Rule(name, rf"(?:[^/]*\.)?{re.escape(host.translate(_lower))}\n{after}", verdict, True)
 
 
-MAX_ALTERNATIVES = 64
+#: Choices that are told apart where one part's alternatives meet another's; one part may have any number.
+MAX_ALTERNATIVES = 1024
 
 
-def _alternatives(items: Iterable) -> list[list[str | None]]:
-    """What a pattern's parts match, one list for each choice of its alternatives: literal characters, edges, and None for anything."""
+def _alternatives(items: Iterable, first: bool = True) -> list[list[str | None]]:
+    """What a pattern's parts match, one list for each choice of its alternatives: literal characters, edges, and None for anything.
+
+    Where choices would be too many, the first parts' are kept and the next stands for anything, or, without first, the other way round.
+    """
     out: list[list[str | None]] = [[]]
     for op, arg in items:
         if op is sre_constants.LITERAL:
@@ -86,28 +90,39 @@ def _alternatives(items: Iterable) -> list[list[str | None]]:
         elif op is sre_constants.AT:
             parts = [[_edge]]
         elif op is sre_constants.SUBPATTERN and not (arg[1] or arg[2]):
-            parts = _alternatives(arg[3])
+            parts = _alternatives(arg[3], first)
         elif op is sre_constants.BRANCH:
-            parts = [x for branch in arg[1] for x in _alternatives(branch)]
+            parts = [x for branch in arg[1] for x in _alternatives(branch, first)]
         else:
             parts = [[None]]
-        if len(out) * len(parts) > MAX_ALTERNATIVES:
-            parts = [[None]]
+        if len(out) > 1 and len(parts) > 1 and len(out) * len(parts) > MAX_ALTERNATIVES:
+            if first:
+                parts = [[None]]
+            else:
+                same = 0
+                while same < min(map(len, out)) and all(x[-1 - same] == out[0][-1 - same] for x in out):
+                    same += 1
+                out = [[None, *out[0][len(out[0]) - same :]]]
         out = [x + y for x in out for y in parts]
     return out
 
 
+def _tokens(parts: list[str | None]) -> set[str]:
+    """Tokens of literal runs; one counts if both of its ends are known: by another literal character or by an assertion."""
+    tokens: set[str] = set()
+    for run in "".join("\n\n" if c is None else c for c in parts).split("\n\n"):
+        pieces = re.findall(r"[a-z0-9]+|[^a-z0-9]", run.translate(_lower))
+        tokens |= {t for i, t in enumerate(pieces) if TOKEN.fullmatch(t) and 0 < i < len(pieces) - 1}
+    return tokens
+
+
 def required_tokens(pattern: str) -> list[set[str]]:
     """For each choice of the pattern's alternatives the tokens that stand whole in every string that it matches."""
-    found = []
-    for parts in _alternatives(sre_parser.parse(pattern)):
-        tokens: set[str] = set()
-        for run in "".join("\n\n" if c is None else c for c in parts).split("\n\n"):
-            # a token counts if both of its ends are known: by another literal character or by an assertion
-            pieces = re.findall(r"[a-z0-9]+|[^a-z0-9]", run.translate(_lower))
-            tokens |= {t for i, t in enumerate(pieces) if TOKEN.fullmatch(t) and 0 < i < len(pieces) - 1}
-        if tokens not in found:
-            found.append(tokens)
+    tree, found = sre_parser.parse(pattern), []
+    for first in (True, False):
+        found = list(map(set, dict.fromkeys(frozenset(_tokens(x)) for x in _alternatives(tree, first))))
+        if all(found):
+            return found
     return found
 
 
