@@ -1,11 +1,13 @@
 import json
 import os
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tokenscope.operators import budgets, services, tools
+from tokenscope.operators import budgets, embed, services, tools, vectors
 from tokenscope.sources import alerts, refresh, sinks
 from tokenscope.streaming import stateful, status
 
@@ -133,3 +135,38 @@ def test_durations_and_rates(spark):
     assert all(abs(x.got - x.want) < 1e-9 for x in got)
     files = spark.createDataFrame([("generic", '{"mcp_servers": {"g": {"command": "/a/b"}}}')], "source string, text string")
     assert [tuple(x) for x in services.discovered_servers(files).select("name", "cwd").collect()] == [("g", "/a")]
+
+
+class Picky:
+    """Fails on every batch that holds a bad text."""
+
+    def embed(self, texts):
+        if "bad" in texts:
+            raise ValueError
+        return np.array([[len(t), 1.0] for t in texts])
+
+
+def test_a_bad_text_leaves_the_others_their_vectors(spark):
+    rows = [(1, "ab"), (2, "bad"), (3, None), (4, ""), (5, "é" * 60)]
+    df = spark.createDataFrame(rows, "id int, `a text` string").coalesce(1)
+    got = {x.id: (x.vector, x.error) for x in embed.embedded(df, "a text", Picky, "picky", 100).collect()}
+    assert got == {1: ([2.0, 1.0], None), 2: (None, "ValueError"), 3: (None, None), 4: ([0.0, 1.0], None), 5: (None, "payload too large")}
+    assert embed.embedded(df.limit(0), "a text", Picky, "picky").count() == 0
+
+
+def test_near_prompts_are_hits_of_the_cache(spark):
+    texts = [(1, "How many orders were shipped to Peru in May?"), (2, "Summarise the last incident report."), (3, "")]
+    asked = [(10, "How many orders were shipped to Peru in May ?"), (11, "Write a poem about rain."), (12, "summarise the last incident report."), (13, "")]
+    stored = embed.embedded(spark.createDataFrame(texts, "id long, text string"), "text")
+    requests = embed.embedded(spark.createDataFrame(asked, "qid long, text string"), "text")
+    same = lambda df: df.withColumns({"tool": F.lit("t"), "day": F.lit(1)})
+    entries = same(stored.select("id", F.concat(F.lit("k"), "id").alias("key")))
+    out = vectors.semantic_hits(same(requests.select("qid", F.col("text").alias("key"), "vector")), entries, stored.select("id", "vector"), 0.9)
+    assert {x.qid: (x.kind, x.id) for x in out.collect()} == {10: ("semantic", 1), 11: ("miss", None), 12: ("semantic", 2), 13: ("miss", None)}
+    # plain counts give the same vector
+    text, want = "Abcab", [0.0] * 256
+    for g in ("abc", "bca", "cab"):
+        h = zlib.crc32(g.encode())
+        want[(h >> 1) % 256] += 1 - 2 * (h & 1)
+    size = sum(x * x for x in want) ** 0.5
+    assert np.allclose(embed.HashedGrams().embed([text])[0], np.array(want) / size)
