@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tokenscope.operators import budgets, services, tools
+from tokenscope.operators import budgets, embed, services, tools
 from tokenscope.plans.cost import LOG
 from tokenscope.sources import refresh, sinks
 from tokenscope.sources.tables import call_log, table
@@ -75,12 +77,26 @@ def status_snapshot(s, d):
     return now.select("server", "status", "requests", "errors", F.round("error_rate", 4).alias("error_rate"), F.col("last_activity").cast("timestamp_ntz").alias("last_activity"), "changes")
 
 
-QUERIES = {f.__name__: f for f in (budget_alerts, tool_calls, status_rates, feed_refreshes, status_snapshot)}
+class Letters:
+    """An embedder: how often each small Latin letter stands in a text."""
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return np.array([[t.count(c) for c in string.ascii_lowercase] for t in texts])
+
+
+def prompt_vectors(s, d):
+    """All turns under an embedder that is plugged in, with the vector's parts as whole numbers."""
+    out = embed.embedded(table(s, d, "conversations").select("conv_id", "turn", "text"), "text", Letters, "letters")
+    return out.select("conv_id", "turn", F.array_join(F.col("vector").cast("array<int>"), ",").alias("letters"), "error")
+
+
+QUERIES = {f.__name__: f for f in (budget_alerts, tool_calls, status_rates, feed_refreshes, status_snapshot, prompt_vectors)}
 
 SQL = {
     "budget_alerts": f"""with u as (select c_mktsegment as team, o_orderpriority as project, strftime(o_orderdate, '%Y-%m') as month, o_orderdate, o_orderkey as id, cast(floor(o_totalprice) as bigint) as tokens from orders join customer on o_custkey = c_custkey),
  r as (select *, cast(sum(tokens) over (partition by team, project, month order by o_orderdate, id rows unbounded preceding) as bigint) as usage from u)
  select team, project, month, id, usage, threshold, round(usage * 100.0::double / {BUDGET}, 4) as percentage from r, (values (80), (100)) t(threshold) where (usage - tokens) * 100 < threshold * {BUDGET} and usage * 100 >= threshold * {BUDGET}""",
+    "prompt_vectors": """select conv_id, turn, array_to_string(list_transform(string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z', ','), lambda c: strlen(text) - strlen(replace(text, c, ''))), ',') as letters, null as error from conversations""",
     "tool_calls": """select 'split_words' as tool, p_partkey as id, cast(unnest(range(1, len(string_split(p_name, ' ')) + 1)) as integer) as n, unnest(string_split(p_name, ' ')) as text, null as error from part
  union all select 'count_tokens', conv_id * 1000 + turn, cast(ceil(strlen(text) / 4.0) as integer), cast(strlen(text) as varchar), null from conversations
  union all select 'phone_parts', c_custkey, case when c_custkey % 10 <> 0 then cast(lpad(cast(c_custkey % 90 as varchar), 2, '1') as integer) * 1000 + c_custkey % 700 end, case when c_custkey % 10 <> 0 then c_name end,
