@@ -170,3 +170,14 @@ def test_near_prompts_are_hits_of_the_cache(spark):
         want[(h >> 1) % 256] += 1 - 2 * (h & 1)
     size = sum(x * x for x in want) ** 0.5
     assert np.allclose(embed.HashedGrams().embed([text])[0], np.array(want) / size)
+
+
+def test_session_reports_as_json(spark):
+    use = spark.createDataFrame([("a", "x", 0, 0), ("a", "y|", 200, 50), (None, "x", 3, 1)], "session string, server string, original long, saved long")
+    events = spark.createDataFrame([("a", "secret"), ("a", "odd"), ("b", "pii"), (None, "pii")], "session string, kind string")
+    got = {x.session: json.loads(x.body) for x in services.session_json(use, events).collect()}
+    assert set(got) == {"a", None} and got[None]["session_id"] == "" and got[None]["risk_summary"]["pii"] == 1
+    assert got["a"]["summary"] == {"total_requests": 2, "total_tokens_saved": 50, "savings_percentage": 25.0, "security_risks_intercepted": 2}
+    assert [(x["server"], x["savings_percentage"]) for x in got["a"]["token_savings"]] == [("x", 0.0), ("y|", 25.0)]
+    assert got["a"]["risk_summary"] == {"api_key": 0, "secret": 1, "pii": 0, "custom_pattern": 0}
+    assert services.session_json(use.limit(0), events).count() == 0

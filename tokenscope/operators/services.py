@@ -11,6 +11,8 @@ from tokenscope.functions import jsontext, render, scalars
 
 #: Where each program keeps its servers in its settings file (fixed values).
 PROGRAMS = {"claude": "mcpServers", "cursor": "mcp_servers", "generic": "mcp_servers", "vscode": "mcpExtensions"}
+#: Kinds of security events that a report counts (fixed values).
+RISKS = ("api_key", "secret", "pii", "custom_pattern")
 _SERVER = "struct<command:string,args:array<string>,env:array<string>>"
 _STATUS = (
     "pid int, started_at timestamp, listen_addr string, servers array<struct<name:string,status:string,request_count:bigint,error_count:bigint,tool_count:int,uptime:string>>, "
@@ -122,6 +124,24 @@ def session_report(sessions: DataFrame) -> DataFrame:
     return sessions.select("session", F.concat_ws("\n", *lines).alias("report"))
 
 
+def session_json(use: DataFrame, events: DataFrame) -> DataFrame:
+    """session and body: the session's report as JSON with its savings in all and by server, and its security events by kind.
+
+    use has session, server, original and saved; events has session and kind. Both are summed before they are joined, so a report
+    holds a session's few servers and no rows. Sessions without use have no report; kinds that are not in RISKS count in all only.
+    """
+    percent = lambda saved, original: F.round(F.coalesce(F.try_divide(saved * 100.0, original), F.lit(0.0)), 2)
+    server = use.groupBy("session", "server").agg(F.count(F.lit(1)).alias("requests"), F.sum("original").alias("original"), F.sum("saved").alias("saved"))
+    row = F.struct("server", F.col("original").alias("original_tokens"), (F.col("original") - F.col("saved")).alias("optimized_tokens"), F.col("saved").alias("saved_tokens"), percent(F.col("saved"), F.col("original")).alias("savings_percentage"))
+    whole = server.groupBy("session").agg(*[F.sum(c).alias(c) for c in ("requests", "original", "saved")], F.array_sort(F.collect_list(row)).alias("by_server"))
+    found = events.groupBy("session").agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in RISKS])
+    number = lambda c: F.coalesce(c, F.lit(0))
+    both = whole.join(found.withColumnRenamed("session", "_session"), F.col("session").eqNullSafe(F.col("_session")), "left")
+    summary = F.struct(F.col("requests").alias("total_requests"), F.col("saved").alias("total_tokens_saved"), percent(F.col("saved"), F.col("original")).alias("savings_percentage"), number("_all").alias("security_risks_intercepted"))
+    body = F.struct(F.coalesce("session", F.lit("")).alias("session_id"), summary.alias("summary"), F.col("by_server").alias("token_savings"), F.struct(*[number(f"_{k}").alias(k) for k in RISKS]).alias("risk_summary"))
+    return both.select("session", F.to_json(body).alias("body"))
+
+
 def changes(before: DataFrame, after: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """key and event: added, removed or changed, of two states of a table; what is the same gives no event."""
     digest = F.xxhash64(*[F.to_json(F.struct(*columns))])

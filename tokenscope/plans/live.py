@@ -90,13 +90,26 @@ def prompt_vectors(s, d):
     return out.select("conv_id", "turn", F.array_join(F.col("vector").cast("array<int>"), ",").alias("letters"), "error")
 
 
-QUERIES = {f.__name__: f for f in (budget_alerts, tool_calls, status_rates, feed_refreshes, status_snapshot, prompt_vectors)}
+def session_json(s, d):
+    """A report per conversation with turns dealt to three servers: tokens over 120 bytes count as saved, each turn but the assistant's as an event."""
+    turns = table(s, d, "conversations").select(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session"), F.concat(F.lit("srv_"), (F.col("turn") % 3).cast("string")).alias("server"), "turn", "role", F.octet_length("text").cast("long").alias("original"))
+    kinds = F.when(F.col("turn") % 4 == 0, "api_key").when(F.col("turn") % 4 == 1, "secret").when(F.col("turn") % 4 == 2, "pii").otherwise("other")
+    return services.session_json(turns.withColumn("saved", F.greatest(F.col("original") - 120, F.lit(0))), turns.where("role <> 'assistant'").select("session", kinds.alias("kind")))
+
+
+QUERIES = {f.__name__: f for f in (budget_alerts, tool_calls, status_rates, feed_refreshes, status_snapshot, prompt_vectors, session_json)}
 
 SQL = {
     "budget_alerts": f"""with u as (select c_mktsegment as team, o_orderpriority as project, strftime(o_orderdate, '%Y-%m') as month, o_orderdate, o_orderkey as id, cast(floor(o_totalprice) as bigint) as tokens from orders join customer on o_custkey = c_custkey),
  r as (select *, cast(sum(tokens) over (partition by team, project, month order by o_orderdate, id rows unbounded preceding) as bigint) as usage from u)
  select team, project, month, id, usage, threshold, round(usage * 100.0::double / {BUDGET}, 4) as percentage from r, (values (80), (100)) t(threshold) where (usage - tokens) * 100 < threshold * {BUDGET} and usage * 100 >= threshold * {BUDGET}""",
     "prompt_vectors": """select conv_id, turn, array_to_string(list_transform(string_split('a,b,c,d,e,f,g,h,i,j,k,l,m,n,o,p,q,r,s,t,u,v,w,x,y,z', ','), lambda c: strlen(text) - strlen(replace(text, c, ''))), ',') as letters, null as error from conversations""",
+    "session_json": """with t as (select 's' || conv_id as session, 'srv_' || turn % 3 as server, turn % 4 as k, role <> 'assistant' as risk, strlen(text) as original, greatest(strlen(text) - 120, 0) as saved from conversations),
+ a as (select session, server, cast(sum(original) as bigint) as original, cast(sum(saved) as bigint) as saved from t group by 1, 2),
+ b as (select session, '[' || string_agg('{"server":"' || server || '","original_tokens":' || original || ',"optimized_tokens":' || (original - saved) || ',"saved_tokens":' || saved || ',"savings_percentage":' || case when original > 0 then round(saved * 100.0::double / original, 2) else 0.0::double end || '}', ',' order by server) || ']' as servers from a group by 1),
+ c as (select session, count(*) as n, cast(sum(original) as bigint) as original, cast(sum(saved) as bigint) as saved, count(*) filter (risk) as risks, count(*) filter (risk and k = 0) as r0, count(*) filter (risk and k = 1) as r1, count(*) filter (risk and k = 2) as r2 from t group by 1)
+ select session, '{"session_id":"' || session || '","summary":{"total_requests":' || n || ',"total_tokens_saved":' || saved || ',"savings_percentage":' || case when original > 0 then round(saved * 100.0::double / original, 2) else 0.0::double end || ',"security_risks_intercepted":' || risks
+ || '},"token_savings":' || servers || ',"risk_summary":{"api_key":' || r0 || ',"secret":' || r1 || ',"pii":' || r2 || ',"custom_pattern":0}}' as body from b join c using (session)""",
     "tool_calls": """select 'split_words' as tool, p_partkey as id, cast(unnest(range(1, len(string_split(p_name, ' ')) + 1)) as integer) as n, unnest(string_split(p_name, ' ')) as text, null as error from part
  union all select 'count_tokens', conv_id * 1000 + turn, cast(ceil(strlen(text) / 4.0) as integer), cast(strlen(text) as varchar), null from conversations
  union all select 'phone_parts', c_custkey, case when c_custkey % 10 <> 0 then cast(lpad(cast(c_custkey % 90 as varchar), 2, '1') as integer) * 1000 + c_custkey % 700 end, case when c_custkey % 10 <> 0 then c_name end,
