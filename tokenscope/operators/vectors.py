@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tokenscope.operators.vectorstore import VectorStore, best_pairs, matrix
+
 # Similarity threshold and candidates of the semantic cache.
 THRESHOLD, CANDIDATES = 0.92, 5
 MAX_QUERY_ROWS = 20_000
@@ -48,20 +54,42 @@ def from_bytes(data: Column) -> Column:
     return unpack(data)
 
 
-def scored(queries: DataFrame, vectors: DataFrame, same: str | None = None) -> DataFrame:
-    """Every query against every vector, or those with an equal column same: qid, id, score. Up to MAX_QUERY_ROWS queries go to the tasks that hold vectors; more are dealt in blocks of about so many, each block meeting each part of the vectors."""
-    q = queries.select("qid", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), *([F.col(same).alias("q_same")] if same else []))
-    n = queries.count()
-    q = F.broadcast(q) if n <= MAX_QUERY_ROWS else q.repartition(-(-n // MAX_QUERY_ROWS)).hint("shuffle_replicate_nl")
-    v = vectors.select("id", "vector", norm(F.col("vector")).alias("vn"), *([same] if same else []))
-    return v.join(q, F.col(same) == F.col("q_same") if same else F.lit(True)).select("qid", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn")).alias("score"))
+def scored(queries: DataFrame, vectors: DataFrame, same: str) -> DataFrame:
+    """Every query against the vectors with an equal column same: qid, id, score. Up to MAX_QUERY_ROWS queries go to the tasks that hold vectors."""
+    q = queries.select("qid", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), F.col(same).alias("q_same"))
+    q = F.broadcast(q) if queries.count() <= MAX_QUERY_ROWS else q
+    v = vectors.select("id", "vector", norm(F.col("vector")).alias("vn"), same)
+    return v.join(q, F.col(same) == F.col("q_same")).select("qid", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn")).alias("score"))
+
+
+def _block(queries: pa.Table, qid_type: str, vectors: DataFrame, k: int) -> DataFrame:
+    """qid, id, score: each query's k best of each Arrow batch of vectors; the queries go to all tasks."""
+    lengths = pc.fill_null(pc.list_value_length(queries.column("vector").combine_chunks()), 0).to_numpy(zero_copy_only=False)
+    parts = []
+    for dims in np.unique(lengths):
+        of_length = queries.take(pa.array(np.flatnonzero(lengths == dims)))
+        parts.append((int(dims), of_length.column("qid").combine_chunks(), *matrix(of_length.column("vector").combine_chunks(), int(dims))))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for dims, qids, values, norms in parts:
+                asked, places, scores = best_pairs(values, norms, *matrix(batch.column(1), dims), ids, k)
+                yield pa.RecordBatch.from_arrays([qids.take(asked), ids.take(places), scores], names=["qid", "id", "score"])
+
+    types = f"qid {qid_type}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    return vectors.select("id", "vector").mapInArrow(score, types)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """The k best vectors of each query; ties go by id. Each task keeps its own best before rows are sent."""
+    """The k best vectors of each query; ties go by id. Up to MAX_QUERY_ROWS queries go to the tasks that hold vectors; more are asked of a VectorStore, whose ids are integers."""
     k = k if k > 0 else 10
+    if queries.count() > MAX_QUERY_ROWS:
+        length = F.coalesce(F.size("vector"), F.lit(0))
+        lengths = [r.n for r in queries.select(length.alias("n")).distinct().collect()]
+        return reduce(DataFrame.unionByName, [VectorStore.build(vectors, n).search(queries.where(length == n), k) for n in lengths])
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return scored(queries, vectors).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _block(queries.select("qid", "vector").toArrow(), queries.schema["qid"].dataType.simpleString(), vectors, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def upsert(vectors: DataFrame, changes: DataFrame, key: str = "id", version: str = "version") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenscope.operators import vectors as op
+from tokenscope.operators.vectorstore import VectorStore
 from tokenscope.sources.tables import table
 
 
@@ -24,6 +25,24 @@ def vector_topk_per_query(s, d):
     return op.top_k(queries_(s, d), vectors(s, d), 5).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+def vector_store_search(s, d):
+    """A store in which each seventh vector was replaced by its opposite and each fifth deleted, asked for the nearest ten."""
+    v = vectors(s, d).select("id", "vector")
+    opposite = v.where("id % 7 = 0").select("id", F.transform("vector", lambda x: -x).alias("vector"))
+    store = VectorStore.build(v, 64).upsert(opposite).delete(v.where("id % 5 = 3").select("id"))
+    return store.search(_asked(v), 10).select("qid", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def vector_store_matches(s, d):
+    """All vectors with a cosine of 0.5 or more, 50 at most for each query."""
+    v = vectors(s, d).select("id", "vector")
+    return VectorStore.build(v, 64).search(_asked(v), 50, at_least=0.5).select("qid", "id", F.round("score", 6).alias("score"))
+
+
+def _asked(v):
+    return v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vector")
+
+
 def _requests(s, d):
     """Each tenth vector with its first component changed, as a request: some keys are known, some entries old."""
     v = vectors(s, d).where("id % 10 = 0")
@@ -76,7 +95,7 @@ def running_similarity(s, d):
     return e.select("event_id", op.running_mean(e, "event_type", "event_id", "cents").alias("mean"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_per_query, semantic_cache_hits, semantic_cache_hits_filtered, semantic_cache_stats, vector_upsert, vector_delete, lru_keep, running_similarity)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_per_query, vector_store_search, vector_store_matches, semantic_cache_hits, semantic_cache_hits_filtered, semantic_cache_stats, vector_upsert, vector_delete, lru_keep, running_similarity)}
 
 _V = "(select vec_id as id, embedding::double[] as vector, label % 3 as tool from embeddings)"
 _COS = "list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector)))"
@@ -86,6 +105,9 @@ def _top(where: str, k: int) -> str:
     return f"""select * from (select a.id as qid, b.id, {_COS} as score, row_number() over (partition by a.id order by {_COS} desc, b.id) as rank from {_V} a, {_V} b where {where}) where rank <= {k}"""
 
 
+_STORED = "(select id, case when id % 7 = 0 then list_transform(vector, lambda x: -x) else vector end as vector from {0} where id % 5 <> 3)".format(_V)
+
+
 def _cache(filtered: bool) -> str:
     ranked = "row_number() over (partition by qid order by {0} desc, b.id)".format(_COS)
     return f"""with q as (select id as qid, case when id % 40 = 0 then cast(id as varchar) else 'new' || cast(id as varchar) end as key, case when id % 30 = 0 then (tool + 1) % 3 else tool end as tool,
@@ -106,6 +128,9 @@ SQL = {
     "semantic_cache_stats": f"""select count(*) as total, count(*) filter (kind = 'exact') as exact, count(*) filter (kind = 'semantic') as semantic, count(*) filter (kind in ('miss', 'stale')) as misses,
  count(*) filter (kind = 'stale') as evicted, round(count(*) filter (kind in ('exact', 'semantic')) * 100.0::double / count(*), 6) as hit_rate,
  round(coalesce(avg(score) filter (kind = 'semantic'), 0), 6) as mean_similarity from ({_cache(False).replace("round(score, 6) as score from x", "score from x").replace("round(g.score, 6)", "g.score")})""",
+    "vector_store_search": f"""select qid, id, round(score, 6) as score, cast(rank as integer) as rank from (select a.id as qid, b.id, {_COS} as score, row_number() over (partition by a.id order by {_COS} desc, b.id) as rank
+ from {_V} a, {_STORED} b where a.id % 100 = 0) where rank <= 10""",
+    "vector_store_matches": f"select qid, id, round(score, 6) as score from ({_top('a.id % 100 = 0', 50)}) where score >= 0.5",
     "vector_upsert": """select vec_id as id, case when vec_id % 3 = 0 then label + 100 else label end as label, case when vec_id % 3 = 0 then 2 else 1 end as version from embeddings
  union all select vec_id + 1000000, label, 2 from embeddings where vec_id % 7 = 0""",
     "vector_delete": "select vec_id as id, label from embeddings where vec_id % 4 <> 0",
