@@ -7,8 +7,7 @@ pools their states, a logistic unit scores the pool. A text's score is the large
 right for their number: the largest of many is large by chance.
 
 The model is fitted on the driver on a bounded sample of labelled rows: at most MAX_POSITIVE toxic and
-MAX_NEGATIVE other ones, the first by a hash of doc_id; of a longer text a stretch of FIT_WORDS words, at a place
-that follows from its length, stands for it in fitting. Labels are of texts, not of windows, so this is learning
+MAX_NEGATIVE other ones, the first by a hash of doc_id, with their whole texts. Labels are of texts, not of windows, so this is learning
 from bags: two networks, one for each half of the sample, are fitted on random windows with their texts' labels;
 then each chooses the windows of the other half that it finds most toxic, which a network cannot have learned by
 heart, and these stand for their texts. Their scores of the other half also give the logistic calibration of a
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tokenscope.llm.common import map_batches, mix, table, texts_of
 
-MAX_POSITIVE, MAX_NEGATIVE, FIT_WORDS = 800, 1600, 2000
+MAX_POSITIVE, MAX_NEGATIVE = 800, 1600
 WINDOW = 8
 WORD_BITS, GRAM_BITS, WIDTH, HIDDEN, ATTENTION = 15, 18, 6, 8, 8
 GRAMS = (3, 4, 5, 6)
@@ -275,20 +274,19 @@ class _Sample:
         known: dict[str, int] = {}
         self.ids = []
         for text in texts:
-            words = split(text)
-            if len(words) > FIT_WORDS:
-                start = len(text) * 7919 % (len(words) - FIT_WORDS)
-                words = words[start : start + FIT_WORDS]
-            self.ids.append(np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int64))
+            self.ids.append(np.array([known.setdefault(w, len(known)) for w in split(text)], dtype=np.int64))
         self.word, self.gram, self.starts = hashed(list(known))
         every = [windows(x) for x in self.ids]
         self.owner = np.repeat(np.arange(len(every)), [len(w) for w in every])
         self.windows = np.concatenate(every)
         self.firsts = np.concatenate([[0], np.cumsum([len(w) for w in every])])
 
-    def scores(self, net: Network) -> np.ndarray:
-        """Logit of every window."""
-        return window_scores(net, net.vectors(self.word, self.gram, self.starts), self.ids)
+    def scores(self, net: Network, texts: np.ndarray) -> np.ndarray:
+        """Logits of the windows of the texts (numbers in ascending order), one text after the other, at their places; 0 elsewhere."""
+        out = np.zeros(len(self.windows), np.float32)
+        if len(texts):
+            out[np.isin(self.owner, texts)] = window_scores(net, net.vectors(self.word, self.gram, self.starts), [self.ids[i] for i in texts])
+        return out
 
     def random(self, texts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Up to RANDOM windows of each text."""
@@ -375,8 +373,7 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
 
     def crosswise(nets: list[Network]) -> np.ndarray:
         """Scores of each half's windows by the network of the other."""
-        both, mine = [data.scores(net) for net in nets], np.isin(data.owner, halves[0])
-        return np.where(mine, both[1], both[0])
+        return data.scores(nets[0], halves[1]) + data.scores(nets[1], halves[0])
 
     nets = [_train(Network(seed + h), data, data.random(halves[h], rng), rng, EPOCHS) for h in (0, 1)]
     for _ in range(ROUNDS):
@@ -386,7 +383,8 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
     best = np.maximum.reduceat(score, data.firsts[:-1])
     net = _train(Network(seed), data, data.random(every, rng), rng, EPOCHS)
     for _ in range(ROUNDS):
-        others = data.most_toxic(every[data.y[every] == 0], data.scores(net), rng)
+        others = every[data.y[every] == 0]
+        others = data.most_toxic(others, data.scores(net, np.sort(others)), rng)
         net = _train(net, data, np.union1d(data.most_toxic(every, score, rng), others), rng, EPOCHS)
     w = _logistic(_text_features(best, counts), data.y)
     net.p["scale"] = np.array([max(w[0], 0.1), max(w[1], 0.0), w[2]])
