@@ -203,6 +203,40 @@ def test_recall_of_isolated_pairs(spark, share, least):
     assert n >= 200 and not wrong and found >= least
 
 
+@pytest.mark.parametrize("every", [5, 6, 7, 8])
+def test_recall_of_evenly_spaced_changes(spark, every):
+    """150 pairs with each so many-th word changed; and 150 with a template of 120 of their 200 words."""
+    r = random.Random(every)
+    template, rows = [f"t{k}" for k in range(120)], []
+    for i in range(300):
+        base = [f"w{r.randrange(5000)}" for _ in range(200 if i % 2 else 80)]
+        base = base if i % 2 else base[:40] + template + base[40:]
+        first = r.randrange(every)
+        other = [f"c{i}x{k}" if k % every == first else w for k, w in enumerate(base)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    found, wrong, n = recall(spark, [row for row in rows if row[0] // 2 % 2])
+    assert n >= 150 and not wrong and found >= 0.9
+    found, wrong, n = recall(spark, [row for row in rows if row[0] // 2 % 2 == 0])
+    assert n >= 150 and not wrong and found >= 0.9
+
+
+@pytest.mark.parametrize("delete", [True, False])
+def test_recall_of_scattered_deletions_and_insertions(spark, delete):
+    r, rows = random.Random(12), []
+    for i in range(200):
+        base = [f"w{r.randrange(5000)}" for _ in range(250 if delete else 200)]
+        if delete:
+            gone = set(r.sample(range(250), 50))
+            other = [w for k, w in enumerate(base) if k not in gone]
+        else:
+            other = list(base)
+            for k in range(50):
+                other.insert(r.randrange(len(other) + 1), f"c{i}x{k}")
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    found, wrong, n = recall(spark, rows)
+    assert n >= 200 and not wrong and found >= 0.88
+
+
 def test_recall_of_edits_of_all_kinds(spark):
     r = random.Random(9)
     rows = []
