@@ -34,9 +34,9 @@ def vector_store_search(s, d):
 
 
 def vector_store_matches(s, d):
-    """All vectors with a cosine of 0.5 or more, 50 at most for each query."""
+    """All vectors with a cosine of 0.3 or more, 50 at most for each query."""
     v = vectors(s, d).select("id", "vector")
-    return VectorStore.build(v, 64).search(_asked(v), 50, at_least=0.5).select("qid", "id", F.round("score", 6).alias("score"))
+    return VectorStore.build(v, 64).search(_asked(v), 50, at_least=0.3).select("qid", "id", F.round("score", 6).alias("score"))
 
 
 def _asked(v):
@@ -130,7 +130,7 @@ SQL = {
  round(coalesce(avg(score) filter (kind = 'semantic'), 0), 6) as mean_similarity from ({_cache(False).replace("round(score, 6) as score from x", "score from x").replace("round(g.score, 6)", "g.score")})""",
     "vector_store_search": f"""select qid, id, round(score, 6) as score, cast(rank as integer) as rank from (select a.id as qid, b.id, {_COS} as score, row_number() over (partition by a.id order by {_COS} desc, b.id) as rank
  from {_V} a, {_STORED} b where a.id % 100 = 0) where rank <= 10""",
-    "vector_store_matches": f"select qid, id, round(score, 6) as score from ({_top('a.id % 100 = 0', 50)}) where score >= 0.5",
+    "vector_store_matches": f"select qid, id, round(score, 6) as score from ({_top('a.id % 100 = 0', 50)}) where score >= 0.3",
     "vector_upsert": """select vec_id as id, case when vec_id % 3 = 0 then label + 100 else label end as label, case when vec_id % 3 = 0 then 2 else 1 end as version from embeddings
  union all select vec_id + 1000000, label, 2 from embeddings where vec_id % 7 = 0""",
     "vector_delete": "select vec_id as id, label from embeddings where vec_id % 4 <> 0",
