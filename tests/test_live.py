@@ -181,3 +181,11 @@ def test_session_reports_as_json(spark):
     assert [(x["server"], x["savings_percentage"]) for x in got["a"]["token_savings"]] == [("x", 0.0), ("y|", 25.0)]
     assert got["a"]["risk_summary"] == {"api_key": 0, "secret": 1, "pii": 0, "custom_pattern": 0}
     assert services.session_json(use.limit(0), events).count() == 0
+
+
+def test_session_report_rounds_as_printf(spark):
+    pairs = [(272, 512), (1, 1600), (203, 20000), (201, 20000), (3, 32), (12345, 100), (0, 0)]
+    rows = spark.createDataFrame([(str(i), 1, o, s, 0) for i, (s, o) in enumerate(pairs)], "session string, requests long, original long, saved long, risks long")
+    got = {r.session: r.report for r in services.session_report(rows).collect()}
+    for i, (s, o) in enumerate(pairs):
+        assert f"| **Total Tokens Saved** | **{s} ({s * 100.0 / o if o else 0:.2f}%)** |" in got[str(i)]

@@ -118,7 +118,8 @@ def session_report(sessions: DataFrame) -> DataFrame:
         F.lit("# Session Report\n\n## Summary\n\n| Metric | Value |\n|--------|-------|"),
         F.format_string("| Session ID | `%s` |", name),
         F.format_string("| Total Requests | `%d` |", "requests"),
-        F.format_string("| **Total Tokens Saved** | **%d (%.2f%%)** |", F.col("saved"), percent),
+        # half to even on the number's exact value, as C and Go print it; %.2f would round its shortest decimals half up
+        F.format_string("| **Total Tokens Saved** | **%d (%s%%)** |", F.col("saved"), F.call_function("format_number", percent, F.lit("0.00"))),
         F.format_string("| Security Risks Intercepted | `%d` |", "risks"),
     ]
     return sessions.select("session", F.concat_ws("\n", *lines).alias("report"))
