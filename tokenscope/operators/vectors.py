@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tokenscope.operators.vectorstore import VectorStore, best_pairs, matrix
+from tokenscope.operators.vectorstore import best_pairs, matrix
 
 # Similarity threshold and candidates of the semantic cache.
 THRESHOLD, CANDIDATES = 0.92, 5
-MAX_QUERY_ROWS = 20_000
+#: Queries and vectors of one group at most, and vectors under which more groups are not worth while.
+MAX_QUERY_ROWS, MAX_VECTOR_ROWS, MIN_VECTOR_ROWS = 16_384, 32_768, 4096
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -54,42 +52,42 @@ def from_bytes(data: Column) -> Column:
     return unpack(data)
 
 
-def scored(queries: DataFrame, vectors: DataFrame, same: str) -> DataFrame:
-    """Every query against the vectors with an equal column same: qid, id, score. Up to MAX_QUERY_ROWS queries go to the tasks that hold vectors."""
-    q = queries.select("qid", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), F.col(same).alias("q_same"))
-    q = F.broadcast(q) if queries.count() <= MAX_QUERY_ROWS else q
-    v = vectors.select("id", "vector", norm(F.col("vector")).alias("vn"), same)
-    return v.join(q, F.col(same) == F.col("q_same")).select("qid", "id", cosine(F.col("qv"), F.col("vector"), F.col("qn"), F.col("vn")).alias("score"))
-
-
-def _block(queries: pa.Table, qid_type: str, vectors: DataFrame, k: int) -> DataFrame:
-    """qid, id, score: each query's k best of each Arrow batch of vectors; the queries go to all tasks."""
-    lengths = pc.fill_null(pc.list_value_length(queries.column("vector").combine_chunks()), 0).to_numpy(zero_copy_only=False)
-    parts = []
-    for dims in np.unique(lengths):
-        of_length = queries.take(pa.array(np.flatnonzero(lengths == dims)))
-        parts.append((int(dims), of_length.column("qid").combine_chunks(), *matrix(of_length.column("vector").combine_chunks(), int(dims))))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for dims, qids, values, norms in parts:
-                asked, places, scores = best_pairs(values, norms, *matrix(batch.column(1), dims), ids, k)
-                yield pa.RecordBatch.from_arrays([qids.take(asked), ids.take(places), scores], names=["qid", "id", "score"])
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, same: str | None = None, at_least: float | None = None) -> DataFrame:
+    """The k best vectors of each query, of those with an equal column same and with a score of at_least or more if they are given; ties go by id.
 
-    types = f"qid {qid_type}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    return vectors.select("id", "vector").mapInArrow(score, types)
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """The k best vectors of each query; ties go by id. Up to MAX_QUERY_ROWS queries go to the tasks that hold vectors; more are asked of a VectorStore, whose ids are integers."""
+    Vectors are dealt to parts of up to MAX_VECTOR_ROWS and queries to blocks of up to MAX_QUERY_ROWS by their ids' hashes. Each block meets each part in a
+    group of its own, which sends its k best, so that no task's memory grows with the data.
+    """
     k = k if k > 0 else 10
-    if queries.count() > MAX_QUERY_ROWS:
-        length = F.coalesce(F.size("vector"), F.lit(0))
-        lengths = [r.n for r in queries.select(length.alias("n")).distinct().collect()]
-        return reduce(DataFrame.unionByName, [VectorStore.build(vectors, n).search(queries.where(length == n), k) for n in lengths])
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return _block(queries.select("qid", "vector").toArrow(), queries.schema["qid"].dataType.simpleString(), vectors, k).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    key = F.lit(0) if same is None else F.col(same)
+    q, v = queries.select("qid", F.col("vector").alias("asked"), key.alias("same")), vectors.select("id", "vector", key.alias("same"))
+    wanted = F.lit(2 * queries.sparkSession.sparkContext.defaultParallelism)
+    spread = F.least(F.ceil(F.col("n") / MIN_VECTOR_ROWS), wanted)
+    counted = lambda rows: rows.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+    parts = counted(v).select("same", F.greatest(F.ceil(F.col("n") / MAX_VECTOR_ROWS), spread).alias("parts"))
+    blocks = counted(q).select("same", F.ceil(F.col("n") / MAX_QUERY_ROWS).alias("blocks"))
+    # one row for each value of same
+    split = F.broadcast(parts.join(blocks, "same"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = v.join(split, "same").select("same", F.pmod(F.xxhash64("id"), "parts").alias("part"), every("blocks").alias("block"), "id", "vector")
+    asked = q.join(split, "same").select("same", every("parts").alias("part"), F.pmod(F.xxhash64("qid"), "blocks").alias("block"), "qid", "asked")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        lengths = pc.fill_null(pc.list_value_length(right.column("asked").combine_chunks()), 0).to_numpy(zero_copy_only=False)
+        ids, stored, found = left.column("id").combine_chunks(), left.column("vector").combine_chunks(), [right.select(["qid"]).slice(0, 0)]
+        found[0] = found[0].append_column("id", ids.slice(0, 0)).append_column("score", pa.array([], pa.float64()))
+        for dims in np.unique(lengths):
+            of_length = right.take(pa.array(np.flatnonzero(lengths == dims)))
+            values, norms = matrix(of_length.column("asked").combine_chunks(), int(dims))
+            floor = None if at_least is None else np.full(len(norms), float(at_least))
+            at, places, scores = best_pairs(values, norms, *matrix(stored, int(dims)), ids, k, floor)
+            found.append(pa.table({"qid": of_length.column("qid").take(at), "id": ids.take(places), "score": scores}))
+        return pa.concat_tables(found)
+
+    types = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    keys, best = ("same", "part", "block"), Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    pairs = own.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(score, types)
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def upsert(vectors: DataFrame, changes: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
@@ -113,14 +111,13 @@ def semantic_hits(requests: DataFrame, entries: DataFrame, vectors: DataFrame, t
     decided = exact.select("qid", F.when(F.col("eid").isNull(), None).when(F.col("fresh"), "exact").otherwise("stale").alias("kind"), F.col("eid").alias("id"), F.lit(1.0).alias("score"))
     open_ = requests.join(decided.where("kind is null").select("qid"), "qid", "left_semi")
     info = entries.select("id", F.col("tool").alias("etool"), F.col("day").alias("eday"))
+    # candidates below the threshold decide nothing, so they are left out where pairs are scored
     if filter_first:
-        # vectors learn their tool first, so that only pairs of one tool are scored and each task keeps its best before rows are sent
         own = vectors.select("id", "vector").join(entries.select("id", "tool"), "id")
-        best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-        ranked = scored(open_, own, "tool").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= CANDIDATES)
-        ranked = ranked.join(info, "id").join(open_.select("qid", "tool", "day"), "qid")
+        ranked = top_k(open_, own, CANDIDATES, "tool", threshold)
     else:
-        ranked = top_k(open_, vectors, CANDIDATES).join(info, "id").join(open_.select("qid", "tool", "day"), "qid").where("tool = etool")
+        ranked = top_k(open_, vectors, CANDIDATES, at_least=threshold)
+    ranked = ranked.join(info, "id").join(open_.select("qid", "tool", "day"), "qid").where("tool = etool")
     good = ranked.where((F.col("score") >= threshold) & (F.col("day") - F.col("eday") <= ttl_days))
     hit = good.groupBy("qid").agg(F.min_by("id", "rank").alias("id"), F.min_by("score", "rank").alias("score"))
     semantic = open_.select("qid").join(hit, "qid", "left").select("qid", F.when(F.col("id").isNull(), "miss").otherwise("semantic").alias("kind"), "id", "score")

@@ -7,8 +7,9 @@ A further cell can hold a better vector only if its ring of angles and its side
 nearest one come within that bound, so only such cells are asked. Pruning never changes a result; how much it saves depends
 on the data (nothing on vectors without clusters).
 
-Cells of over CHUNK vectors are split by id and cells asked by over BLOCK queries by query, so no group grows with the data. Only pivots
-and the sizes of cells reach the driver. Vectors without an angle (null, empty, zero, not finite, of another length) have
+Cells are dealt to packs of up to CHUNK vectors; a query goes once to each pack in which it asks cells, with their numbers, and gets its k best
+of the pack. Cells of over CHUNK vectors are split by id and packs asked by over BLOCK queries by query, so no group grows with the data. Only
+pivots and the sizes of cells reach the driver. Vectors without an angle (null, empty, zero, not finite, of another length) have
 cosine 0 with everything, as in operators.vectors; so have such queries. Equal vectors have equal scores, and ties go by
 id. Vectors and queries are taken as 32-bit floats; ids and query ids are integers, each once, and rows without one are left out.
 """
@@ -27,6 +28,8 @@ from pyspark.sql import Window
 
 MAX_PIVOTS, SAMPLE, STEPS = 2048, 20_000, 4
 CHUNK, BLOCK = 8192, 2048
+#: Queries and vectors of one product, pairs that are scored at a time, rows that are compared with all pivots at a time.
+PRODUCT, PAIRS, SLICE = (512, 4096), 32_768, 128
 #: Angles are exact to some 1e-8 near 0; bounds give way by this much.
 SLACK = 1e-6
 
@@ -44,26 +47,81 @@ def matrix(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.sqrt((out * out).sum(axis=1))
 
 
-def best_of(queries: np.ndarray, query_norms: np.ndarray, vectors: np.ndarray, norms: np.ndarray, ids: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the places and scores of its k best vectors. A block product finds them; the scores are summed row by row, so that equal vectors have equal ones."""
+def _no_copies(vectors: np.ndarray, cells: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Places of vectors by cell, without a cell's copies of one vector beyond its k first ids, which no query can need."""
+    mixed = (vectors.view(np.uint64) * np.random.default_rng(0).integers(1, 2**63, vectors.shape[1], dtype=np.uint64)).sum(axis=1)
+    order = np.lexsort((rank, mixed, cells))
+    copy = np.zeros(len(order), bool)
+    copy[1:] = (mixed[order[1:]] == mixed[order[:-1]]) & (cells[order[1:]] == cells[order[:-1]])
+    at = np.flatnonzero(copy)
+    copy[at] = (vectors[order[at]] == vectors[order[at - 1]]).all(axis=1)
+    places = np.arange(len(order))
+    return order[places - np.maximum.accumulate(np.where(copy, 0, places)) < k]
+
+
+class _Best:
+    """The k best vectors so far of some queries."""
+
+    def __init__(self, rows: int, k: int, floor: np.ndarray) -> None:
+        self.k, self.least = k, floor
+        self.scores, self.ranks, self.places = np.full((rows, k), -np.inf), np.zeros((rows, k), np.int64), np.zeros((rows, k), np.int64)
+
+    def add(self, asked: np.ndarray, places: np.ndarray, ranks: np.ndarray, scores: np.ndarray) -> None:
+        """Pairs in the order of their queries."""
+        rows = np.unique(asked)
+        q = np.concatenate([np.repeat(rows, self.k), asked])
+        s, r, p = (np.concatenate([old[rows].ravel(), new]) for old, new in ((self.scores, scores), (self.ranks, ranks), (self.places, places)))
+        order = np.lexsort((r, -s, q))
+        starts = np.searchsorted(q[order], rows)
+        first = order[starts[:, None] + np.arange(self.k)]
+        self.scores[rows], self.ranks[rows], self.places[rows] = s[first], r[first], p[first]
+        self.least[rows] = np.maximum(self.least[rows], self.scores[rows, -1])
+
+
+def best_pairs(
+    queries: np.ndarray, query_norms: np.ndarray, vectors: np.ndarray, norms: np.ndarray, ids: pa.Array, k: int,
+    floor: np.ndarray | None = None, cells: np.ndarray | None = None, asked: np.ndarray | None = None,
+) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(places of queries, places of vectors, scores) of each query's k best vectors, of those with a score of its floor or more.
+
+    With cells (by vector) and asked (by query and cell) a query is held against the cells it asks. Products of PRODUCT queries and vectors at a time, in
+    32 bits, find what may be among the best; the scores of that are summed row by row in doubles, so that equal vectors have equal ones.
+    """
     rank = np.empty(len(norms), np.int64)
     rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(norms))
-    product = queries @ vectors.T
-    product /= np.maximum(query_norms[:, None] * norms[None, :], 1e-300)
-    k = min(k, len(norms))
-    for q, n, row in zip(queries, query_norms, product):
-        near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9) if k else np.empty(0, int)
-        scale = n * norms[near]
-        scores = np.divide((vectors[near] * q).sum(axis=1), scale, out=np.zeros(len(near)), where=scale > 0)
-        order = np.lexsort((rank[near], -scores))[:k]
-        yield near[order], scores[order]
-
-
-def best_pairs(queries: np.ndarray, query_norms: np.ndarray, vectors: np.ndarray, norms: np.ndarray, ids: pa.Array, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """(places of queries, places of vectors, scores) of best_of."""
-    found = list(best_of(queries, query_norms, vectors, norms, ids, k)) if len(norms) and len(query_norms) else []
-    places, scores = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0))
-    return pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found]), type=pa.int64()), pa.array(places, type=pa.int64()), pa.array(scores)
+    cells = np.zeros(len(norms), np.int64) if cells is None else cells
+    kept = _no_copies(vectors, cells, rank, k)
+    bounds = np.flatnonzero(np.diff(cells[kept], prepend=-1, append=-1)) if len(kept) else []
+    units = (vectors[kept] / np.maximum(norms[kept], 1e-300)[:, None]).astype(np.float32)
+    slack = (vectors.shape[1] + 8) * 2.4e-7
+    out = []
+    for start in range(0, len(query_norms), PRODUCT[0]):
+        q, n = queries[start : start + PRODUCT[0]], query_norms[start : start + PRODUCT[0]]
+        unit = (q / np.maximum(n, 1e-300)[:, None]).astype(np.float32)
+        best = _Best(len(n), k, np.full(len(n), -np.inf) if floor is None else floor[start : start + len(n)].copy())
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            rows = np.arange(len(n)) if asked is None else np.flatnonzero(asked[start : start + len(n), cells[kept[low]]])
+            for left in range(low, high, PRODUCT[1]) if len(rows) else ():
+                near = unit[rows] @ units[left : min(left + PRODUCT[1], high)].T
+                least = best.least[rows] - slack
+                good = near >= least[:, None]
+                many = np.flatnonzero(good.sum(axis=1) > 2 * k)
+                if len(many):
+                    at = near.shape[1] - k
+                    least = np.maximum(least[many], np.partition(near[many], at, axis=1)[:, at] - 2 * slack)
+                    good[many] = near[many] >= least[:, None]
+                of, at = np.nonzero(good)
+                for i in range(0, len(of), PAIRS):
+                    own, places = rows[of[i : i + PAIRS]], kept[left + at[i : i + PAIRS]]
+                    scale = n[own] * norms[places]
+                    scores = np.divide((vectors[places] * q[own]).sum(axis=1), scale, out=np.zeros(len(own)), where=scale > 0)
+                    high_enough = scores >= best.least[own]
+                    if high_enough.any():
+                        best.add(own[high_enough], places[high_enough], rank[places[high_enough]], scores[high_enough])
+        of, at = np.nonzero(best.scores > -np.inf)
+        out.append((start + of, best.places[of, at], best.scores[of, at]))
+    found = [np.concatenate(x) for x in zip(*out)] or [np.empty(0)] * 3
+    return pa.array(found[0], type=pa.int64()), pa.array(found[1], type=pa.int64()), pa.array(found[2], type=pa.float64())
 
 
 def fit_pivots(sample: np.ndarray, count: int) -> np.ndarray:
@@ -72,7 +130,7 @@ def fit_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     if not len(pivots):
         return pivots
     for _ in range(STEPS):
-        near = (sample @ pivots.T).argmax(axis=1)
+        near = np.concatenate([(sample[i : i + SLICE] @ pivots.T).argmax(axis=1) for i in range(0, len(sample), SLICE)])
         sums = np.zeros_like(pivots)
         np.add.at(sums, near, sample)
         norms = np.linalg.norm(sums, axis=1)
@@ -112,6 +170,16 @@ class Cells:
         return [o[(h > 0) & (b < k)] for o, h, b in zip(order, held, before)]
 
 
+    def packs(self) -> np.ndarray:
+        """By cell the number of its pack: cells in their order up to CHUNK vectors; a larger cell is a pack of its own."""
+        out, pack, held = np.zeros(len(self.sizes), np.int32), 0, 0
+        for cell, size in enumerate(self.sizes):
+            if held and held + size > CHUNK:
+                pack, held = pack + 1, 0
+            out[cell], held = pack, held + size
+        return out
+
+
 @dataclass
 class VectorStore:
     """rows: id, vector, cell, angle (cell null for vectors without an angle); pivots; dims."""
@@ -137,7 +205,7 @@ class VectorStore:
         pivots, dims = self.pivots, self.dims
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
                 values, norms = matrix(batch.column(1), dims)
                 none = (norms == 0) | (len(pivots) == 0)
                 cosines = (values / np.maximum(norms, 1e-300)[:, None]) @ pivots.T if len(pivots) else np.zeros((len(norms), 1))
@@ -182,10 +250,10 @@ class VectorStore:
         k = k if k > 0 else 10
         cells, asked = self.cells(), queries.select("qid", F.col("vector").cast("array<float>").alias("vector")).where("qid is not null")
         widest = np.pi if at_least is None else float(np.arccos(np.clip(at_least, -1, 1)))
-        first = self._scored(_asks(asked.withColumn("bound", F.lit(widest)), cells, self.dims, k, True), asked, cells, k)
+        first = self._scored(_asks(asked.withColumn("bound", F.lit(widest)), cells, self.dims, k, True), cells, k)
         bound = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.acos(F.least(F.greatest(F.min("score"), F.lit(-1.0)), F.lit(1.0)))).alias("kth"))
         open_ = asked.join(bound, "qid", "left").select("qid", "vector", F.least(F.coalesce("kth", F.lit(np.pi)), F.lit(widest)).alias("bound"))
-        second = self._scored(_asks(open_, cells, self.dims, k, False), asked, cells, k)
+        second = self._scored(_asks(open_, cells, self.dims, k, False), cells, k)
         found = first.unionByName(second).unionByName(self._without_angle(asked, k))
         if at_least is not None:
             found = found.where(F.col("score") >= at_least)
@@ -199,28 +267,38 @@ class VectorStore:
         widest = np.pi if at_least is None else float(np.arccos(np.clip(at_least, -1, 1)))
         open_ = asked.join(found, "qid", "left").select("qid", "vector", F.least(F.coalesce("kth", F.lit(np.pi)), F.lit(widest)).alias("bound"))
         both = _asks(open_, cells, self.dims, k, True).union(_asks(open_, cells, self.dims, k, False))
-        counted = {r.cell: r["count"] for r in both.groupBy("cell").count().collect()}
+        counted = {r.cell: r["count"] for r in both.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
         return int(sum(n * cells.sizes[c] for c, n in counted.items()))
 
-    def _scored(self, asks: DataFrame, asked: DataFrame, cells: Cells, k: int) -> DataFrame:
-        """qid, id, score: the k best of each asked cell's parts."""
-        spark, dims = asked.sparkSession, self.dims
-        counts = {r.cell: r["count"] for r in asks.groupBy("cell").count().collect()}
-        split = [(c, max(1, -(-int(cells.sizes[c]) // CHUNK)), -(-n // BLOCK)) for c, n in counts.items()]
+    def _scored(self, asks: DataFrame, cells: Cells, k: int) -> DataFrame:
+        """qid, id, score: the k best of the asked cells of each pack, within the bounds."""
+        spark, dims, packs = asks.sparkSession, self.dims, cells.packs()
+        counts = {r.pack: r["count"] for r in asks.groupBy("pack").count().collect()}
+        sizes = np.bincount(packs, cells.sizes) if len(packs) else packs
+        split = {p: (max(1, -(-int(sizes[p]) // CHUNK)), -(-n // BLOCK)) for p, n in counts.items()}
         # one row for each cell at most
-        splits = F.broadcast(spark.createDataFrame(split, "cell int, parts long, blocks long"))
+        of_cell = F.broadcast(spark.createDataFrame([(c, int(p), *split[p]) for c, p in enumerate(packs) if p in split], "cell int, pack int, parts long, blocks long"))
+        of_pack = F.broadcast(spark.createDataFrame([(p, *x) for p, x in split.items()], "pack int, parts long, blocks long"))
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        own = self.rows.join(splits, "cell").select("cell", F.pmod(F.xxhash64("id"), "parts").alias("part"), every("blocks").alias("block"), "id", "vector")
-        of_query = asks.join(splits, "cell").select("cell", every("parts").alias("part"), F.pmod(F.xxhash64("qid"), "blocks").alias("block"), "qid", "vector")
+        own = self.rows.join(of_cell, "cell").select("pack", F.pmod(F.xxhash64("id"), "parts").alias("part"), every("blocks").alias("block"), "id", "vector", "cell")
+        of_query = asks.join(of_pack, "pack").select("pack", every("parts").alias("part"), F.pmod(F.xxhash64("qid"), "blocks").alias("block"), "qid", "vector", "bound", "cells")
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
             vectors, norms = matrix(left.column("vector").combine_chunks(), dims)
             queries, query_norms = matrix(right.column("vector").combine_chunks(), dims)
             ids, qids = left.column("id").combine_chunks(), right.column("qid")
-            asked_at, places, scores = best_pairs(queries, query_norms, vectors, norms, ids, k)
+            known, cell = np.unique(left.column("cell").to_numpy(), return_inverse=True)
+            wanted = right.column("cells").combine_chunks()
+            of, number = pc.list_parent_indices(wanted).to_numpy(), pc.list_flatten(wanted).to_numpy()
+            asked = np.zeros((len(query_norms), len(known)), bool)
+            if len(known):
+                at = np.searchsorted(known, number).clip(max=len(known) - 1)
+                asked[of[known[at] == number], at[known[at] == number]] = True
+            floor = np.cos(right.column("bound").to_numpy()) - 1e-9
+            asked_at, places, scores = best_pairs(queries, query_norms, vectors, norms, ids, k, floor, cell, asked)
             return pa.table({"qid": qids.take(asked_at), "id": ids.take(places), "score": scores})
 
-        keys = ("cell", "part", "block")
+        keys = ("pack", "part", "block")
         return own.groupBy(*keys).cogroup(of_query.groupBy(*keys)).applyInArrow(score, "qid long, id long, score double")
 
     def _without_angle(self, asked: DataFrame, k: int) -> DataFrame:
@@ -233,20 +311,26 @@ class VectorStore:
 
 
 def _asks(queries: DataFrame, cells: Cells, dims: int, k: int, first: bool) -> DataFrame:
-    """qid, vector, cell: the seeds of each query, or the other cells that come within its bound."""
+    """qid, vector, bound, pack, cells: by pack the seeds of each query, or the other cells that come within its bound."""
+    packs = cells.packs()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             values, norms = matrix(batch.column(1), dims)
             unit = values / np.maximum(norms, 1e-300)[:, None]
-            chosen = []
-            if len(cells.pivots):
-                for n, seeds, least, bound in zip(norms, cells.seeds(unit, k), cells.least_angles(unit), batch.column(2).to_numpy()):
-                    further = np.setdiff1d(np.flatnonzero(least <= bound), seeds)
-                    chosen.append((seeds if first else further) if n > 0 else seeds[:0])
-            sizes = [len(c) for c in chosen] or [0] * batch.num_rows
-            index = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            cell = pa.array(np.concatenate(chosen) if chosen else np.empty(0), type=pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), cell], names=["qid", "vector", "cell"])
-
-    return queries.select(F.col("qid").cast("long"), "vector", "bound").mapInArrow(choose, "qid long, vector array<float>, cell int")
+            chosen = np.zeros((len(norms), len(packs)), bool)
+            if len(packs):
+                for row, seeds in zip(chosen, cells.seeds(unit, k)):
+                    row[seeds] = True
+                if not first:
+                    chosen = ~chosen & (cells.least_angles(unit) <= batch.column(2).to_numpy()[:, None])
+                chosen[norms == 0] = False
+            # cells are in the order of their packs
+            of, cell = np.nonzero(chosen)
+            starts = np.flatnonzero(np.diff(of, prepend=-1) | np.diff(packs[cell], prepend=-1)) if len(of) else of
+            index = pa.array(of[starts])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)), type=pa.int32()), pa.array(cell, type=pa.int32()))
+            arrays = [*(c.take(index) for c in batch.columns), pa.array(packs[cell[starts]], type=pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["qid", "vector", "bound", "pack", "cells"])
+
+    return queries.select(F.col("qid").cast("long"), "vector", "bound").mapInArrow(choose, "qid long, vector array<float>, bound double, pack int, cells array<int>")
