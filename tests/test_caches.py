@@ -2,6 +2,7 @@ import random
 import time
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tokenscope.functions import text
@@ -146,3 +147,22 @@ def test_a_move_that_fails_keeps_the_old_snapshot(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError):
         sinks.replace_snapshot(spark.range(5), path)
     assert spark.read.json(path).count() == 3
+
+
+def test_servers_of_a_table_are_asked_and_written_by_tasks(spark, tmp_path):
+    texts = spark.createDataFrame([(i, '{"tools": [{"name": "t%d ü"}]}' % i if i % 3 else '{"tools": [') for i in range(40)], "server long, text string")
+    folder = f"file:{tmp_path}/m"
+    fanout.write_manifests(texts, folder)
+    fanout.write_manifests(texts, folder)  # as when tasks run twice
+    assert sorted(p.name for p in (tmp_path / "m" / "server=7").iterdir()) == ["manifest.txt"]
+    servers = spark.range(45).selectExpr("id as server", f"concat('{folder}/server=', id) as address")
+    got = sorted((int(r.server), r.tool, r.error) for r in fanout.ask_servers(servers).collect())
+    want = [(i, f"t{i} ü", None) if i % 3 and i < 40 else (i, None, "FileNotFoundError" if i >= 40 else "JSONDecodeError") for i in range(45)]
+    assert got == want
+    assert fanout.ask_servers(servers.limit(0)).count() == 0
+
+
+def test_tasks_get_no_servers_but_their_own():
+    reader = fanout.ToolListReader([(f"s{i}", f"/folder/{i}") for i in range(10_000)], fanout.manifest_folder, 1.0)
+    # 300 kB with all servers
+    assert len(cloudpickle.dumps(reader)) < 10_000 and len(reader.partitions()) == fanout.MAX_PARTITIONS

@@ -55,9 +55,8 @@ def tool_list_fanout(s, d):
     found = table(s, d, "part").join(suppliers.agg(F.count(F.lit(1)).alias("n")).hint("broadcast"), F.col("n") > 0).select((F.col("p_partkey") % F.col("n") + 1).alias("server"), tool.alias("tool"))
     texts = found.groupBy("server").agg(F.to_json(F.struct(F.collect_list("tool").alias("tools"))).alias("text"))
     cut = F.when(F.col("server") % 10 == 0, F.expr("left(text, length(text) - 2)")).otherwise(F.col("text"))
-    texts.where("server % 7 <> 0").select("server", cut.alias("text")).write.partitionBy("server").text(folder)
-    asked = [(str(x.server), f"{folder}/server={x.server}") for x in suppliers.orderBy("server").toLocalIterator()]
-    tools = fanout.tool_lists(s, asked)
+    fanout.write_manifests(texts.where("server % 7 <> 0").select("server", cut.alias("text")), folder)
+    tools = fanout.ask_servers(suppliers.select("server", F.concat(F.lit(f"{folder}/server="), F.col("server").cast("string")).alias("address")))
     return tools.groupBy("server").agg(F.count("tool").alias("tools"), F.min("tool").alias("first"), F.max("description").alias("last"), F.min("input_schema").alias("least"), F.max("error").alias("error"))
 
 
