@@ -78,3 +78,49 @@ def test_agrees_compares_the_own_decoding(spark, monkeypatch):
     pieces.encode_texts(df, pieces.model_path(), ["doc_id"])
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})
     assert seen["fn"](batch).column(3).to_pylist() == [False]
+
+
+WORDS = ["tion", "The", "schung.", "ciónllqueue", "ble.\nOuer", "of.%%%", "日本語", "é́ﬁ", "😀x", "x" * 70, "\t", "<0x41>", "", "onoutionnt"]
+
+
+def test_words_are_encoded_together(tools):
+    library = tools[1]
+    encoder = pieces.Encoder(tools[0].v, 50)
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choice(WORDS[:4] + list("aeinrst")) for _ in range(r.randrange(1, 6))) for _ in range(80)) for _ in range(40)]
+    want = library.encode(texts, add_bos=True, add_eos=True)
+    one_by_one = encoder.parts.make
+    encoder.parts.make = lambda part: pytest.fail(f"{part!r} was encoded alone")
+    assert [unpack(x) for x in encoder.encode_all(texts)] == want
+    # long parts and characters of several bytes have no place there
+    encoder.parts.make = one_by_one
+    mixed = EDGE + [" ".join(r.choice(WORDS) for _ in range(30)) for _ in range(40)] + ["a " + "x" * 200 + " b", "trailing "]
+    r.shuffle(mixed)
+    assert [unpack(x) for x in encoder.encode_all(mixed)] == library.encode(mixed, add_bos=True, add_eos=True)
+    assert encoder.encode_all([]) == []
+
+
+@pytest.mark.parametrize("name", ["MAX_TABLE", "BLOCK"])
+def test_words_encoded_together_without_table_and_in_small_blocks(tools, monkeypatch, name):
+    monkeypatch.setattr(pieces, name, 7)
+    encoder = pieces.Encoder(tools[0].v, 50)
+    assert (encoder.agendas.table is None) == (name == "MAX_TABLE")
+    texts = [" ".join(WORDS[i:] + WORDS[:i]) for i in range(len(WORDS))]
+    assert [unpack(x) for x in encoder.encode_all(texts)] == tools[1].encode(texts, add_bos=True, add_eos=True)
+
+
+def test_equal_scores_are_joined_from_the_left():
+    # aa and ab have one score: of a, a, b the left pair is joined first, whatever the pieces' order
+    v = pieces.Vocabulary.__new__(pieces.Vocabulary)
+    v.pieces = ["ab", "aa", "a", "b", "▁"]
+    v.ids, v.rank = {p: i for i, p in enumerate(v.pieces)}, {"ab": 1.0, "aa": 1.0, "a": 3.0, "b": 3.0, "▁": 3.0}
+    v.joined, v.bytes, v.fallback = {"ab", "aa"}, {}, False
+    ids, sizes, done = pieces.Agendas(v).encode("▁aab▁abaa▁c")
+    assert ids.tolist() == [4, 1, 3, 4, 0, 1] and sizes.tolist() == [3, 3, 0] and done.tolist() == [True, True, False]
+
+
+def test_portions_hold_every_text():
+    texts = ["abc", "", "x" * 20, "de", "f", "g" * 9]
+    parts = list(pieces._portions(texts, 10))
+    assert sum(parts, []) == texts and all(len(p) == 1 or sum(map(len, p)) <= 10 for p in parts)
+    assert list(pieces._portions([], 10)) == []

@@ -6,8 +6,10 @@ among equals; the pair on top is joined, its neighbours enter the heap, and pair
 skipped. What is left of unknown symbols becomes byte pieces.
 
 A cut between two characters is safe if no piece of the vocabulary holds both side by side, since a merge
-makes a piece. Cutting makes parts repeat, so their ids are kept in a bounded memory per Python worker; that
-memory changes no result. Each Arrow batch is encoded by the sentencepiece library as well and compared.
+makes a piece. Cutting makes words and parts repeat, so their ids are kept in a bounded memory per Python worker;
+that memory changes no result. The words of some texts that it lacks are encoded together (Agendas): each of their
+parts has an agenda of its own, and in every round each agenda gives the pair on top. Each Arrow batch is encoded by
+the sentencepiece library as well and compared.
 
 Defined cases: null and empty texts have no pieces besides the begin and end ids and decode to an empty
 string; every row gives one result row, whatever its doc_id; an empty table gives an empty result.
@@ -25,6 +27,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +38,15 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 MAX_WORDS = 500_000
+#: Most characters of texts whose words are encoded together, and of words in one block of agendas.
+MAX_CHARS, BLOCK = 1 << 22, 1 << 17
+#: Most characters that have a table of their pairs.
+MAX_TABLE = 1024
 #: Parts of up to so many symbols are worked on without a heap.
 SHORT = 48
 NEVER = float("inf")
+#: Stands for the rank of a pair that is no piece.
+_NONE = 1 << 62
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -170,6 +179,107 @@ class Vocabulary:
         return [text[i:j] for i, j in zip([0, *breaks], [*breaks, len(text)])] if breaks else [text]
 
 
+class Agendas:
+    """The agendas of many words at once, over numbers for the vocabulary's characters and pieces."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        joined = sorted(set("".join(v.joined)))
+        # characters that can be joined come first; those of one byte that are no piece become that byte
+        names = list(dict.fromkeys([*joined, *v.ids, *(map(chr, range(128)) if v.fallback else ())]))
+        number = {s: i for i, s in enumerate(names)}
+        order = {r: i for i, r in enumerate(sorted(set(v.rank.values())))}
+        made = [(number[p[:i]] << 32 | number[p[i:]], order[v.rank[p]] << 32, number[p]) for p in v.ids for i in range(1, len(p)) if p[:i] in number and p[i:] in number]
+        keys, ranks, wholes = (np.array(x, dtype=np.int64) for x in zip(*sorted(made), (1 << 62, _NONE, -1)))
+        #: Pairs of symbols that are a piece: their keys in order, and by the same places rank and piece; the last place stands for no piece.
+        self.keys, self.ranks, self.wholes, self.none = keys, ranks, wholes.astype(np.int32), len(keys) - 1
+        self.joined = np.array(sorted(number[a] << 32 | number[b] for a, b in v.joined), dtype=np.int64)
+        self.of_char = np.full(0x110000, -1, dtype=np.int32)
+        for i, s in enumerate(names):
+            if len(s) == 1:
+                self.of_char[ord(s)] = i
+        self.ids = np.array([v.ids.get(s, v.bytes.get(ord(s), -1) if v.fallback and len(s) == 1 and s.isascii() else -1) for s in names], dtype=np.int64)
+        #: Where they are few, a table of the characters that can be joined: -1 for what no piece holds side by side, else the pair's place.
+        self.table, k = None, len(joined)
+        if k <= MAX_TABLE:
+            self.table = np.full((k + 1, k + 1), -1, dtype=np.int32)
+            a, b = self.joined >> 32, self.joined & 0xFFFFFFFF
+            self.table[a, b] = self._find(a, b)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places in keys of the pairs of symbols."""
+        pairs = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.keys, pairs)
+        return np.where(self.keys[at] == pairs, at, self.none)
+
+    def _neighbours(self, symbols: np.ndarray) -> np.ndarray:
+        """For the pairs of characters side by side their places in keys, -1 if no piece holds them."""
+        if self.table is not None:
+            known = np.minimum(symbols.view(np.uint32), len(self.table) - 1)
+            return self.table[known[:-1], known[1:]]
+        pairs = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+        at = np.minimum(np.searchsorted(self.joined, pairs), len(self.joined) - 1)
+        return np.where(self.joined[at] == pairs, self._find(symbols[:-1], symbols[1:]), -1)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, sizes, done) of words that each begin with a mark: all ids, their number by word, and whether the word is done.
+
+        Not done, and without ids, are words with a part of over SHORT symbols, or with characters that only several bytes stand for.
+        """
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        starts = np.flatnonzero(points == ord(MARK))
+        blocks, last = [], 0
+        while last < len(starts):
+            first, begin = last, starts[last]
+            last = max(first + 1, int(np.searchsorted(starts, begin + BLOCK)))
+            symbols = self.of_char[points[begin : starts[last] if last < len(starts) else len(points)]]
+            blocks.append(self._block(symbols, starts[first:last] - begin))
+        return tuple(np.concatenate(x) for x in zip(*blocks))
+
+    def _block(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = self._merge(symbols, starts)
+        left = np.flatnonzero(out > -2)
+        ids = np.where(out[left] >= 0, self.ids[out[left]], -1)
+        bounds = np.searchsorted(left, np.append(starts, len(symbols)))
+        sizes = np.diff(bounds)
+        done = np.diff(np.append(0, np.cumsum(ids < 0))[bounds]) == 0
+        return ids[np.repeat(done, sizes)].astype("<u4"), np.where(done, sizes, 0), done
+
+    def _merge(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """By place the symbol that begins there when no pair is left to join, -2 inside of one; -1 for unknown ones and all of a part of over SHORT."""
+        n = len(symbols)
+        out, place = np.full(n, -2, dtype=np.int32), np.arange(n)
+        found = np.append(self._neighbours(symbols), -1)
+        found[starts[1:] - 1] = -1
+        ends = np.flatnonzero(found < 0) + 1
+        counts = np.diff(ends, prepend=0)
+        found[ends - 1] = self.none
+        # of the pair that begins at each symbol: rank and place, in one number, and the piece
+        top, whole = self.ranks[found] + place, self.wholes[found]
+        live = counts <= SHORT
+        some = np.repeat(live, counts)
+        out[~some] = -1
+        symbols, place, top, whole, counts = symbols[some], place[some], top[some], whole[some], counts[live]
+        while len(counts):
+            best = np.minimum.reduceat(top, np.cumsum(counts) - counts)
+            live = best < _NONE
+            some = np.repeat(live, counts)
+            out[place[~some]] = symbols[~some]
+            symbols, place, top, whole, counts, best = symbols[some], place[some], top[some], whole[some], counts[live], best[live]
+            ends = np.cumsum(counts)
+            i = np.flatnonzero(top == np.repeat(best, counts))
+            symbols[i] = whole[i]
+            inner, last = i[i > ends - counts], i + 2 >= ends
+            found = np.full(len(i), self.none)
+            found[~last] = self._find(symbols[i[~last]], symbols[i[~last] + 2])
+            top[i], whole[i] = self.ranks[found] + place[i], self.wholes[found]
+            found = self._find(symbols[inner - 1], symbols[inner])
+            top[inner - 1], whole[inner - 1] = self.ranks[found] + place[inner - 1], self.wholes[found]
+            some = np.ones(len(symbols), dtype=bool)
+            some[i + 1] = False
+            symbols, place, top, whole, counts = symbols[some], place[some], top[some], whole[some], counts - 1
+        return out
+
+
 class _Memory(dict):
     """Ids, as bytes, of parts. At half the limit what is there becomes the older half, which the next such step drops; what is used again moves up."""
 
@@ -191,6 +301,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, limit: int = MAX_WORDS) -> None:
         self.v = v = vocabulary
         pack = lambda ids: np.array(ids, dtype="<u4").tobytes()
+        self.agendas = Agendas(v)
         self.parts = _Memory(lambda part: pack(v.to_ids(v.agenda(part))), limit)
         self.runs = _Memory(lambda run: b"".join(map(self.parts.__getitem__, v.cut(run))), limit)
         self.words = _Memory(lambda word: b"".join(map(self.parts.__getitem__, v.cut(MARK + word))), limit)
@@ -201,14 +312,38 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, with begin and end."""
-        norm = self.v.normalize(text)
-        if not norm:
-            body = b""
-        elif norm[0] == MARK and MARK + MARK not in norm:
-            body = b"".join(map(self.words.__getitem__, norm.split(MARK)[1:]))
-        else:
-            body = b"".join(map(self.runs.__getitem__, re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", norm)))
-        return self.begin + body + self.end
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, see encode."""
+        # where each space parts two words, a word is what stands between spaces, with a mark before it
+        plain = [bool(t) and self.v.prefix and t[0] != " " and "  " not in t and MARK not in t for t in texts]
+        bodies = iter(self._of_words([t for t, ok in zip(texts, plain) if ok]))
+        runs = lambda t: re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", self.v.normalize(t))
+        return [self.begin + (next(bodies) if ok else b"".join(map(self.runs.__getitem__, runs(t)))) + self.end for t, ok in zip(texts, plain)]
+
+    def _of_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of words with one space between any two. The different words are encoded together, those that this leaves out each by itself."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, type=pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary
+        every = pa.ListArray.from_arrays(pa.array([0, len(names)], type=pa.int32()), names)
+        ids, sizes, done = self.agendas.encode(MARK + pc.binary_join(every, MARK)[0].as_py())
+        stops = np.append(0, np.cumsum(4 * sizes))
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(stops), pa.py_buffer(ids)])
+        where = words.indices
+        if not done.all():
+            own = np.flatnonzero(~done)
+            place = np.arange(len(names))
+            place[own] = len(names) + np.arange(len(own))
+            found = pa.concat_arrays([found, pa.array([self.words[names[int(i)].as_py()] for i in own], type=pa.large_binary())])
+            where = pa.array(place).take(where)
+        data = found.take(where)
+        ends, ids = np.frombuffer(data.buffers()[1], dtype=np.int64), data.buffers()[2].to_pybytes()
+        ends = ends[np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))].tolist()
+        return [ids[i:j] for i, j in zip(ends, ends[1:])]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks are spaces, the first one from the leading mark is dropped; bytes that are no UTF-8 become U+FFFD each."""
@@ -267,6 +402,19 @@ def _tools(model: bytes):
     return Encoder(Vocabulary(model)), sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
+def _portions(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Runs of texts of up to most characters together; a longer text is alone."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > most:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 def encode_texts(df: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
     """Columns keep of df with ids (binary, see Encoder.encode), decoded (the library's decoding of them) and agrees: the library finds the same ids and decoding gives the same text here (Encoder.decode).
 
@@ -280,14 +428,14 @@ def encode_texts(df: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
         n = len(keep)
         found, decoded, agrees = [], [], []
         texts = texts_of(batch.column(n))
+        for some in _portions(texts, MAX_CHARS):
+            found += encoder.encode_all(some)
         for at in range(0, len(texts), 200):
-            some = texts[at : at + 200]
-            ours = [encoder.encode(t) for t in some]
+            some, ours = texts[at : at + 200], found[at : at + 200]
             theirs = library.encode(some, add_bos=True, add_eos=True, num_threads=1)
             same = [np.array(b, dtype="<u4").tobytes() == a for a, b in zip(ours, theirs)]
             ids = [b if ok else np.frombuffer(a, dtype="<u4").tolist() for a, b, ok in zip(ours, theirs, same)]
             back = library.decode(ids, num_threads=1)
-            found += ours
             decoded += back
             agrees += [ok and encoder.decode(i) == t for i, t, ok in zip(ids, back, same)]
         names = [*keep, OWN + "ids", OWN + "decoded", OWN + "agrees"]
