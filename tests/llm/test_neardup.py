@@ -293,3 +293,41 @@ def test_passage_shared_by_many_texts(spark):
     got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert sum(d != c for d, c in want) == 10
     assert got == want
+
+
+def test_texts_are_sampled_together(monkeypatch):
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(30)] + ["İx", "--", "a\x1fb", "«É»", "q\x85r"]
+    texts = [r.choice([" ", "\n", "\u3000 "]).join(r.choice(vocabulary) for _ in range(r.choice([0, 1, 4, 5, 6, 20, 21, 22, 29, 63, 64, 300]))) for _ in range(150)] + ["", " \n", "x " * 90]
+    rows = list(neardup.word_rows(texts))
+    assert [x for x, _ in rows] == [b" ".join(neardup.normal_words(t)) for t in texts]
+    assert [len(x) for _, x in rows] == [len(neardup.normal_words(t)) for t in texts]
+    hashes = [x for _, x in rows]
+    for words, x in zip(map(neardup.normal_words, texts), hashes):
+        assert len(set(words)) == len(set(x.tolist())) == len({(w, h) for w, h in zip(words, x.tolist())})
+    together = neardup.samples(hashes)
+    assert all(np.array_equal(a, neardup.samples([x])[0]) for a, x in zip(together, hashes))
+    monkeypatch.setattr(neardup, "_WORDS", 70)
+    assert all(map(np.array_equal, together, neardup.samples(hashes)))
+    monkeypatch.undo()
+    # the steps that hash and label shingles are as many for 20 texts as for 100
+    calls, mix = [], neardup.mix
+    monkeypatch.setattr(neardup, "mix", lambda *x: calls.append(1) or mix(*x))
+    counts = []
+    for n in (20, 100):
+        calls.clear()
+        neardup.samples([np.arange(40, dtype=np.uint64) + np.uint64(i) for i in range(n)])
+        counts.append(len(calls))
+    assert counts[0] == counts[1]
+
+
+def test_occurrence_follows_the_order_of_the_text():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 2, 50, 3000):
+        keys = r.integers(0, max(1, n // 3), n).astype(np.uint64) << np.uint64(50)
+        seen = {}
+        want = [seen.__setitem__(k, seen.get(k, -1) + 1) or seen[k] for k in keys.tolist()]
+        assert neardup.occurrence(keys).tolist() == want
+    owners = np.array([0, 0, 1, 1], dtype=np.uint64)
+    one = neardup.labelled(np.array([5, 5, 5, 6], dtype=np.uint64), 3, owners)
+    assert one[0] != one[1] and one[0] == one[2]

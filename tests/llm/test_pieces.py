@@ -8,7 +8,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tokenscope.llm import pieces
-from tokenscope.llm.common import prepare
+from tokenscope.llm.common import portions, prepare
 
 EDGE = ["", " ", "  ", "a  b", " a b ", "a\nb\t c", "▁x", "é́ﬁ", "😀\x00x", "a\r\nb", "<s>x</s>", "<0x41>", "▁▁ ▁", "x" * 3000, " " * 100, "日本語 テキスト", "of.%%% the&&&"]
 
@@ -121,6 +121,6 @@ def test_equal_scores_are_joined_from_the_left():
 
 def test_portions_hold_every_text():
     texts = ["abc", "", "x" * 20, "de", "f", "g" * 9]
-    parts = list(pieces._portions(texts, 10))
+    parts = list(portions(texts, 10))
     assert sum(parts, []) == texts and all(len(p) == 1 or sum(map(len, p)) <= 10 for p in parts)
-    assert list(pieces._portions([], 10)) == []
+    assert list(portions([], 10)) == []

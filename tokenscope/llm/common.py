@@ -62,6 +62,19 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def portions(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
+    """Runs of texts of up to most characters together; a longer text is alone."""
+    some, size = [], 0
+    for text in texts:
+        if some and size + len(text) > most:
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 def spread_hash(words: list[bytes], cache: dict[bytes, int], limit: int = 400_000) -> np.ndarray:
     """Stable 64-bit hashes of words. The cache is emptied at limit entries, which bounds memory and changes no result."""
     import xxhash

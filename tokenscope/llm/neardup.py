@@ -36,15 +36,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenscope.llm.alignment import within
-from tokenscope.llm.common import OWN, map_batches, mix, release, spread_hash, table, texts_of, window_hashes
+from tokenscope.llm.common import OWN, map_batches, mix, portions, release, table, texts_of, window_hashes
 from tokenscope.llm.graph import components
 
 SHINGLE, SEEDS = 5, 64
@@ -55,32 +57,60 @@ INNER_SEEDS = 40
 SMALL = 16
 USUAL, SLOTS = 64, 1 << 18
 SIMILARITY = 0.8
-#: Most values of a block of samples that are computed at once.
-_BLOCK = 1 << 18
+#: Most values of a block of samples that are computed at once, and words of texts that are sampled together.
+_BLOCK, _WORDS = 1 << 18, 1 << 15
 
-_cache: dict[bytes, int] = {}
 _edges = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+def _normal(words: list[str]) -> list[bytes]:
+    return [(w if w.isalnum() else _edges.sub("", w) or w).encode() for w in words]
+
+
 def normal_words(text: str) -> list[bytes]:
     """Lower-cased words without punctuation at their ends; a word of punctuation only stays as it is."""
-    return [(w if w.isalnum() else _edges.sub("", w) or w).encode() for w in text.lower().split()]
+    return _normal(text.lower().split())
+
+
+def word_rows(texts: list[str]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """For each text its normal words joined by spaces, and their 64-bit hashes. What differs among the words of some texts is made normal and hashed once."""
+    import xxhash
+
+    for some in portions(texts):
+        lines = [" ".join(t.lower().split()) for t in some]
+        split = pc.split_pattern(pa.array(lines, type=pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        names = words.dictionary
+        every = pa.ListArray.from_arrays(pa.array([0, len(names)], type=pa.int32()), names)
+        forms = _normal(pc.binary_join(every, " ")[0].as_py().split(" "))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, forms), np.uint64, len(forms))[words.indices.to_numpy()]
+        data = pa.array([x + b" " for x in forms], type=pa.large_binary()).take(words.indices)
+        counts = np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))
+        ends = np.frombuffer(data.buffers()[1], dtype=np.int64)[counts].tolist()
+        joined, counts = data.buffers()[2].to_pybytes(), counts.tolist()
+        for i, line in enumerate(lines):
+            # a text without words is one empty word to the split
+            yield (joined[ends[i] : ends[i + 1] - 1], hashes[counts[i] : counts[i + 1]]) if line else (b"", hashes[:0])
 
 
 def occurrence(keys: np.ndarray) -> np.ndarray:
     """How many equal keys stand before each."""
-    order = np.argsort(keys, kind="stable")
+    out, order = np.zeros(len(keys), dtype=np.int64), np.argsort(keys)
     ordered = keys[order]
-    first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    starts = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))
-    out = np.empty(len(keys), dtype=np.uint64)
-    out[order] = np.arange(len(keys)) - starts
+    same = np.append(False, ordered[1:] == ordered[:-1])[: len(keys)]
+    if same.any():
+        # only the keys that are there again need the order of the text
+        again = same | np.append(same[1:], False)
+        both = np.sort(np.cumsum(~same)[again] << 32 | order[again])
+        group, numbers = both >> 32, np.arange(len(both))
+        out[both & 0xFFFFFFFF] = numbers - np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), numbers, 0))
     return out
 
 
-def labelled(keys: np.ndarray, seed: int) -> np.ndarray:
-    """Keys mixed with their occurrence numbers."""
-    return mix(keys + mix(occurrence(keys), 7) * np.uint64(2), seed)
+def labelled(keys: np.ndarray, seed: int, owners: np.ndarray | None = None) -> np.ndarray:
+    """Keys mixed with their occurrence numbers, among the keys of each owner."""
+    times = occurrence(keys if owners is None else keys ^ mix(owners, 9))
+    return mix(keys + (mix(np.arange(times.max(initial=0) + 1, dtype=np.uint64), 7) * np.uint64(2))[times], seed)
 
 
 def _functions(count: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,14 +133,9 @@ def stretched(words: np.ndarray, step: int, seed: int) -> np.ndarray:
     return out
 
 
-def ordered_samples(keys: np.ndarray, functions: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
-    """For each hash function a hash of the two least keys (labelled, 64 bits) in text order; of the only key if there is one.
-
-    With weights a key's value is an exponential variate of that rate, so that it is least in proportion to its weight.
-    """
-    factors, offsets, marks = functions
-    if len(keys) == 1:
-        return mix(marks + keys[0])
+def _least(keys: np.ndarray, functions: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash function the places of the two least of several keys, in order."""
+    factors, offsets, _ = functions
     short = (keys >> np.uint64(32)).astype(np.uint32)
     firsts, seconds = np.empty(len(factors), np.int64), np.empty(len(factors), np.int64)
     step = max(1, _BLOCK // len(keys))
@@ -122,32 +147,75 @@ def ordered_samples(keys: np.ndarray, functions: tuple[np.ndarray, np.ndarray, n
         values[rows, i] = 0xFFFFFFFF if weights is None else np.inf
         j = values.argmin(axis=1)
         firsts[at : at + step], seconds[at : at + step] = np.minimum(i, j), np.maximum(i, j)
-    return mix(mix(marks + keys[firsts]) * np.uint64(0x9E3779B97F4A7C15) + keys[seconds])
+    return firsts, seconds
+
+
+def _joined(marks: np.ndarray, firsts: np.ndarray, seconds: np.ndarray) -> np.ndarray:
+    return mix(mix(marks + firsts) * np.uint64(0x9E3779B97F4A7C15) + seconds)
+
 
+def ordered_samples(keys: np.ndarray, functions: tuple[np.ndarray, np.ndarray, np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
+    """For each hash function a hash of the two least keys (labelled, 64 bits) in text order; of the only key if there is one.
+
+    With weights a key's value is an exponential variate of that rate, so that it is least in proportion to its weight.
+    """
+    if len(keys) == 1:
+        return mix(functions[2] + keys[0])
+    i, j = _least(keys, functions, weights)
+    return _joined(functions[2], keys[i], keys[j])
 
-def samples(words: np.ndarray) -> np.ndarray:
-    """Hashes of a text's ordered samples; words are 64-bit hashes. A text of under five words is like equal ones only and gives none."""
-    if len(words) < 5:
-        return np.empty(0, dtype=np.int64)
-    out = [ordered_samples(labelled(window_hashes(words, SHINGLE, 5), 8), LONG)]
-    if len(words) < SHORT:
-        out.append(ordered_samples(labelled(window_hashes(words, SHORT_SHINGLE, 6), 10), BRIEF))
-    for step, functions in STRETCHED.items():
-        if len(keys := stretched(words, step, 60 + 5 * step)):
-            out.append(ordered_samples(labelled(keys, 14 + step), functions))
-    return np.concatenate(out).view(np.int64)
+
+#: Kinds of samples: hash of the shingles of a row of words, words from a shingle's first to its last, seed of labels, functions, and whether for texts under SHORT only.
+KINDS = [
+    (lambda words: window_hashes(words, SHINGLE, 5), SHINGLE, 8, LONG, False),
+    (lambda words: window_hashes(words, SHORT_SHINGLE, 6), SHORT_SHINGLE, 10, BRIEF, True),
+    *((lambda words, step=step: stretched(words, step, 60 + 5 * step), (SHINGLE - 1) * step + 1, 14 + step, functions, False) for step, functions in STRETCHED.items()),
+]
+
+
+def samples(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of each text's ordered samples; words are 64-bit hashes. A text of under five words is like equal ones only and gives none.
+
+    The words of some texts stand in one row, so that shingles are hashed and labelled for all of them in one step; a shingle that reaches
+    into the next text comes after all of its own text, and is not read.
+    """
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for shingles, width, seed, functions, short in KINDS:
+        at, chosen = 0, [i for i, x in enumerate(texts) if len(x) >= max(5, width) and (not short or len(x) < SHORT)]
+        while at < len(chosen):
+            block, size = [], 0
+            while at < len(chosen) and (not block or size + len(texts[chosen[at]]) <= _WORDS):
+                block.append(chosen[at])
+                size += len(texts[chosen[at]])
+                at += 1
+            hashes = shingles(np.concatenate([texts[i] for i in block]))
+            sizes = [len(texts[i]) for i in block]
+            keys = labelled(hashes, seed, np.repeat(np.arange(len(block), dtype=np.uint64), sizes)[: len(hashes)])
+            firsts, seconds = np.empty((2, len(block), len(functions[0])), dtype=np.uint64)
+            start = 0
+            for k, n in enumerate(sizes):
+                if n > width:
+                    own = keys[start : start + n - width + 1]
+                    i, j = _least(own, functions)
+                    firsts[k], seconds[k] = own[i], own[j]
+                start += n
+            found = _joined(functions[2], firsts, seconds)
+            start = 0
+            for i, n, row in zip(block, sizes, found):
+                out[i].append(row if n > width else ordered_samples(keys[start : start + 1], functions))
+                start += n
+    return [np.concatenate(x).view(np.int64) if x else np.empty(0, dtype=np.int64) for x in out]
 
 
 def _scan(docs: DataFrame) -> DataFrame:
     """doc, whole (digest of the words, null if none), n, samples for each row."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        wholes, counts, found = [], [], []
-        for text in texts_of(batch.column(1)):
-            words = normal_words(text)
-            counts.append(len(words))
-            wholes.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
-            found.append(samples(spread_hash(words, _cache)) if words else np.empty(0, np.int64))
+        wholes, hashes = [], []
+        for words, row in word_rows(texts_of(batch.column(1))):
+            wholes.append(hashlib.blake2b(words, digest_size=16).digest() if len(row) else None)
+            hashes.append(row)
+        counts, found = list(map(len, hashes)), samples(hashes)
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), type=pa.int32()), pa.array(np.concatenate(found), type=pa.int64()))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(wholes, type=pa.binary()), pa.array(counts, type=pa.int64()), lists], names=["doc", "whole", "n", "samples"]
@@ -190,7 +258,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and body (32-bit hashes of its words) of the wanted nodes."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [(spread_hash(normal_words(t), _cache) >> np.uint64(32)).astype("<u4").tobytes() for t in texts_of(batch.column(1))]
+        out = [(row >> np.uint64(32)).astype("<u4").tobytes() for _, row in word_rows(texts_of(batch.column(1)))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=["node", "body"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")

@@ -31,15 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenscope.llm.common import OWN, map_batches, table, texts_of
+from tokenscope.llm.common import OWN, map_batches, portions, table, texts_of
 
 MARK = "▁"
 #: Piece types of the public model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 MAX_WORDS = 500_000
-#: Most characters of texts whose words are encoded together, and of words in one block of agendas.
-MAX_CHARS, BLOCK = 1 << 22, 1 << 17
+#: Characters of words in one block of agendas.
+BLOCK = 1 << 17
 #: Most characters that have a table of their pairs.
 MAX_TABLE = 1024
 #: Parts of up to so many symbols are worked on without a heap.
@@ -402,19 +402,6 @@ def _tools(model: bytes):
     return Encoder(Vocabulary(model)), sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
-def _portions(texts: list[str], most: int) -> Iterator[list[str]]:
-    """Runs of texts of up to most characters together; a longer text is alone."""
-    some, size = [], 0
-    for text in texts:
-        if some and size + len(text) > most:
-            yield some
-            some, size = [], 0
-        some.append(text)
-        size += len(text)
-    if some:
-        yield some
-
-
 def encode_texts(df: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
     """Columns keep of df with ids (binary, see Encoder.encode), decoded (the library's decoding of them) and agrees: the library finds the same ids and decoding gives the same text here (Encoder.decode).
 
@@ -428,7 +415,7 @@ def encode_texts(df: DataFrame, model_path: str, keep: list[str]) -> DataFrame:
         n = len(keep)
         found, decoded, agrees = [], [], []
         texts = texts_of(batch.column(n))
-        for some in _portions(texts, MAX_CHARS):
+        for some in portions(texts):
             found += encoder.encode_all(some)
         for at in range(0, len(texts), 200):
             some, ours = texts[at : at + 200], found[at : at + 200]
