@@ -331,3 +331,16 @@ def test_occurrence_follows_the_order_of_the_text():
     owners = np.array([0, 0, 1, 1], dtype=np.uint64)
     one = neardup.labelled(np.array([5, 5, 5, 6], dtype=np.uint64), 3, owners)
     assert one[0] != one[1] and one[0] == one[2]
+
+
+def test_blocks_of_alignments_are_exact_inside_their_band():
+    r = random.Random(8)
+    for half in (0, 1, 5, 12):
+        pairs = []
+        for _ in range(12):
+            a = [r.randrange(r.choice([3, 40])) for _ in range(r.randrange(1, 40))]
+            b = [r.randrange(40) if r.random() < 0.2 else x for x in a if r.random() > 0.1] or [1]
+            pairs.append((a, b))
+        found = alignment._block([(np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)) for a, b in pairs], half)
+        for (a, b), d in zip(pairs, found.tolist()):
+            assert d == distance(a, b) or d > half and d >= distance(a, b)

@@ -30,28 +30,37 @@ def _block(pairs: list[tuple[np.ndarray, np.ndarray]], half: int) -> np.ndarray:
     """Distances of the pairs by alignments inside a band of half diagonals to each side: exact up to half, else upper bounds."""
     n = max(len(a) for a, _ in pairs)
     width, count = 2 * half + 1, len(pairs)
-    left = np.full((count, n), -1, dtype=np.int32)
-    right = np.full((count, n + width + half), -2, dtype=np.int32)
+    # a column for each pair, so that every step runs along all pairs
+    left = np.full((n, count), -1, dtype=np.int32)
+    right = np.full((n + width + half, count), -2, dtype=np.int32)
     for i, (a, b) in enumerate(pairs):
-        left[i, : len(a)] = a
-        right[i, half : half + min(len(b), n + width)] = b[: n + width]
-    steps = np.arange(width, dtype=np.int32)
-    row = np.tile(np.where(steps >= half, steps - half, FAR).astype(np.int32), (count, 1))
-    ends = np.array([len(a) for a, _ in pairs])
+        left[: len(a), i] = a
+        right[half : half + min(len(b), n + width), i] = b[: n + width]
+    # distances less the number of their diagonal: what a step along the row costs is gone from them
+    steps = np.arange(width)
+    row = np.repeat((np.where(steps >= half, steps - half, FAR) - steps).astype(np.int32)[:, None], count, axis=1)
+    best, other, differ = row.copy(), row.copy(), np.empty((width, count), dtype=bool)
     last = np.array([len(b) - len(a) + half for a, b in pairs])
     out = np.full(count, FAR, dtype=np.int64)
-    reach = (last >= 0) & (last < width)
+    ending: dict[int, list[int]] = {}
+    for i in np.flatnonzero((last >= 0) & (last < width)).tolist():
+        ending.setdefault(len(pairs[i][0]), []).append(i)
+    shifts = [1 << k for k in range((width - 1).bit_length())]
     for i in range(n + 1):
-        done = np.flatnonzero((ends == i) & reach)
-        out[done] = row[done, last[done]]
+        if done := ending.get(i):
+            out[done] = row[last[done], done] + last[done]
         if i == n:
             break
-        best = row + (left[:, i : i + 1] != right[:, i : i + width])
-        np.minimum(best[:, :-1], row[:, 1:] + 1, out=best[:, :-1])
-        best -= steps
-        np.minimum.accumulate(best, axis=1, out=best)
-        best += steps
-        row = best.astype(np.int32, copy=False)
+        np.not_equal(left[i], right[i : i + width], out=differ)
+        np.add(row, differ, out=best)
+        row += 2
+        np.minimum(best[:-1], row[1:], out=best[:-1])
+        # the least so far along the row, of 2, 4, 8, ... of it
+        for shift in shifts:
+            other[:shift] = best[:shift]
+            np.minimum(best[shift:], best[:-shift], out=other[shift:])
+            best, other = other, best
+        row, best = best, row
     return out
 
 
