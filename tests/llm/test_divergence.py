@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql.classic.dataframe import DataFrame
+
 from tokenscope.llm import divergence
 from tokenscope.llm.common import prepare
 
@@ -64,6 +66,36 @@ def test_equals_loops(spark):
         assert sorted(map(tuple, got.collect())) == brute(rows, min_docs, top)
 
 
+def test_equals_loops_with_many_groups_and_small_portions(spark, monkeypatch):
+    rows = corpus()
+    for name, value in (("FEW", 0), ("HELD", 20), ("PIECE", 7)):
+        monkeypatch.setattr(divergence, name, value)
+    assert sorted(map(tuple, divergence.audit(frame(spark, rows).repartition(3), 2, 3).collect())) == brute(rows, 2, 3)
+
+
+def test_zeros_are_never_rows(spark, monkeypatch):
+    # 40 terms, each in one of 40 sources: 40 counts, 1,600 with the zeros
+    rows = [(f"term{chr(97 + i % 26)}{chr(97 + i // 26)}", "en", f"s{i}") for i in range(40)] * 2
+    written, checkpoint = [], DataFrame.checkpoint
+
+    def spy(df, *args):
+        out = checkpoint(df, *args)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(DataFrame, "checkpoint", spy)
+    assert sorted(map(tuple, divergence.audit(frame(spark, rows), 2, 10).collect())) == brute(rows, 2, 10)
+    assert 0 < sum(written) <= 200
+
+
+def test_pieces_are_cut_between_terms(monkeypatch):
+    text = "Aß b-c\x00dd " + "x" * 30 + " E漢f"
+    want = TERM.findall(text.translate(LOWER))
+    for most in (1, 5, 1 << 22):
+        monkeypatch.setattr(divergence, "PIECE", most)
+        assert [t.decode() for terms in divergence._pieces(text.encode()) for t in terms] == want
+
+
 def test_ties_take_the_smaller_item(spark):
     rows = [("aa bb", "en", "s")] * 10 + [("cc", "en", s) for s in "tu"] * 5
     got = [tuple(x) for x in divergence.audit(frame(spark, rows)).where("source = 's'").orderBy("part", "rank").collect()]
