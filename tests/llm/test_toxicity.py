@@ -125,6 +125,20 @@ def test_scores_equal_those_of_single_windows(monkeypatch):
         assert abs(got - 1 / (1 + np.exp(-z))) < 1e-5
 
 
+def test_scoring_makes_no_tanh_and_bears_large_weights(monkeypatch):
+    """tanh is the dearest step: scoring goes without, shares the first step of a word, and gives what forward gives, also where exp overflows."""
+    r = np.random.default_rng(3)
+    ids, net = r.integers(0, 40, 90), tox.Network(5)
+    for large in (1, 60):
+        x = (large * r.standard_normal((40, 2 * tox.WIDTH))).astype(np.float32)
+        want = tox.window_scores(net, x, [ids])
+        assert np.abs(net.forward(x, tox.windows(ids)) - want).max() < 1e-4
+        with monkeypatch.context() as patched, np.errstate(all="raise", under="ignore"):
+            patched.setattr(np, "tanh", None)
+            got = net.quick(x, ids)
+        assert np.abs(got - want).max() < 1e-4
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
 def test_what_it_learns_from_the_tables():
     """Held-out rows of the larger tables: order, hits, and false alarms whatever the length."""
